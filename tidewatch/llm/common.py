@@ -70,3 +70,16 @@ class Scratch:
 def word_count(text):
     """Words of a text column, 0 for null: whole runs of non-separators."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Ids that among() broadcasts at most: 8 bytes each, some 60 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def among(frame: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows of frame whose value of on is in ids, a written table of distinct longs.
+
+    Ids that a count proves few are broadcast, so that frame isn't shuffled; more are joined.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return frame.join(F.broadcast(ids) if few else ids, on, "left_semi")
