@@ -11,8 +11,10 @@ executors; spark.read gets them back.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,8 +31,10 @@ from .common import Scratch, table
 BLOCK = 128
 #: Share of a block's values that fit the packed width.
 PERCENTILE = 0.9
-#: Ids after which a segment is closed, and encoded pieces that a worker keeps.
-SEGMENT, CACHE = 1 << 17, 500_000
+#: Ids after which a segment is closed; encoded pieces that a worker keeps, and as many again of those used before.
+SEGMENT, CACHE = 1 << 17, 400_000
+#: Between a letter or digit and a stop or comma a byte-level tokenizer cuts; the mark starts a piece with no space before it.
+STOP, MARK = re.compile(r"(?<=[^\W_])(?=[.,])"), "\0"
 MAGIC, HEAD = b"PFR1", struct.Struct("<4sIQI")
 END_ID = 2
 
@@ -139,24 +143,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; none for null."""
         special = self.special
-        pieces = [None if not t or any(s in t for s in special) else ("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list(set(chain.from_iterable(filter(None, pieces))).difference(cache))
+        pieces = [None if not t or MARK in t or any(s in t for s in special) else STOP.sub(f" {MARK}", "\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        new = (set(chain.from_iterable(filter(None, pieces))).difference(cache))
+        again = [p for p in new if p in old]
+        cache.update((p, old[p]) for p in again)
+        new.difference_update(again)
         # A piece that starts with more white space, or none, could belong with the white space before it.
         odd = {p for p in new if p in ("", "\n") or p[0].isspace() and (p[0] != "\n" or p[1].isspace()) or "\x1c" <= p[-1] <= "\x1f"}
         cache.update(dict.fromkeys(odd))
         new = [p for p in new if p not in odd]
-        cache.update(zip(new, self._ids([p if p[0] == "\n" else " " + p for p in new])))
+        cache.update(zip(new, self._ids([p if p[0] == "\n" else p[1:] if p[0] == MARK else " " + p for p in new])))
         made, cut = [], len(self.line)
         for text, parts in zip(texts, pieces):
             try:
@@ -228,7 +236,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     # one row for each shard: as many as the write had tasks
     order = Window.orderBy("first", "shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    return files.join(shards, "shard").select((F.col("before") + F.col("shard_start")).alias("start"), "segment")
+    # so the write's task count bounds what is broadcast
+    return files.join(F.broadcast(shards), "shard").select((F.col("before") + F.col("shard_start")).alias("start"), "segment")
 
 
 def document_digests(segments: DataFrame) -> DataFrame:
