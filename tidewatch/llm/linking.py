@@ -43,17 +43,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return kept.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
 
 
-def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch: Scratch, prune=None) -> DataFrame:
+def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch: Scratch, prune=None, unique: bool = False) -> DataFrame:
     """(node, component) of all nodes that compare() links with another node of a bucket.
 
     buckets: (key, node, size) with several rows for a node; compare: from pairs (a, b)
     to those that are linked; prune: a condition on columns size_a and size_b that a
-    linked pair meets. component is the smallest node that can be reached.
+    linked pair meets. component is the smallest node that can be reached. unique: no row
+    is there twice and no key is hot, so rows are dealt by key once.
     """
-    buckets = scratch.keep(buckets.distinct())
-    counted = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("hub")).filter("n > 1")
-    members = scratch.keep(buckets.join(counted.select("key", "hub"), "key"))
-    scratch.drop(buckets)
+    if unique:
+        buckets = buckets.repartition("key")
+        counted = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("size").alias("largest")).filter("n > 1 and largest > 0")
+        members = scratch.keep(buckets.join(counted.select("key", "hub"), "key"))
+    else:
+        buckets = scratch.keep(buckets.distinct())
+        counted = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("hub")).filter("n > 1")
+        members = scratch.keep(buckets.join(counted.select("key", "hub"), "key"))
+        scratch.drop(buckets)
     sizes = members.groupBy("node").agg(F.first("size").alias("size"))
 
     def pruned(pairs: DataFrame) -> DataFrame:

@@ -5,11 +5,15 @@ from __future__ import annotations
 from .bpe import op7_bpe_round_trip
 from .media import op10_media_columns
 from .minhash import op1_minhash_near_dedup
+from .mixing import op3_source_mixing
+from .paragraphs import op8_substring_dedup
 from .tokenfiles import op9_token_files
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_source_mixing": op3_source_mixing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
     "op10_media_columns": op10_media_columns,
 }
