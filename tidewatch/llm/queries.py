@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe_round_trip
+from .fuzzy import op4_document_fingerprints
 from .media import op10_media_columns
 from .minhash import op1_minhash_near_dedup
 from .mixing import op3_source_mixing
@@ -12,6 +13,7 @@ from .tokenfiles import op9_token_files
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
