@@ -122,8 +122,10 @@ def dealt_in_order(docs: DataFrame, tasks: int) -> DataFrame:
     """
     quantiles = docs.approxQuantile("doc_id", [i / tasks for i in range(1, tasks)], 0.2 / tasks) if tasks > 1 else []
     splits = [-math.inf, *sorted(set(quantiles)), math.inf]
-    parts = Bucketizer(splits=splits, inputCol="doc_id", outputCol="part")
-    docs = parts.transform(docs).withColumn("part", F.col("part").cast("int"))
+    if len(splits) > 2:
+        docs = Bucketizer(splits=splits, inputCol="doc_id", outputCol="part").transform(docs).withColumn("part", F.col("part").cast("int"))
+    else:
+        docs = docs.withColumn("part", F.lit(0))
     # The first document of each part: as many rows as there are parts, so they can be broadcast.
     heads = sorted(docs.groupBy("part").agg(F.min("doc_id")).collect())
     before = [(doc_id, heads[k - 1][0]) for k, (_, doc_id) in enumerate(heads)]
