@@ -76,10 +76,10 @@ def word_count(text):
 BROADCAST_IDS = 1_000_000
 
 
-def among(frame: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """The rows of frame whose value of on is in ids, a written table of distinct longs.
+def among(frame: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows of frame whose value of on is in ids (left_anti: isn't), a written table of distinct longs.
 
     Ids that a count proves few are broadcast, so that frame isn't shuffled; more are joined.
     """
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return frame.join(F.broadcast(ids) if few else ids, on, "left_semi")
+    return frame.join(F.broadcast(ids) if few else ids, on, how)

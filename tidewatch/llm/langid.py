@@ -18,6 +18,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .shingles import BASE, mixed
@@ -164,28 +165,32 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]
     return [(r.text, r.lang) for r in rows.collect()]
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and rejected for each row of docs (doc_id, text).
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
+    """The columns keep of docs (text, ...), with lang_pred, score and rejected, row by row.
 
     lang_pred is `und`, with score 0 and rejected, where text is null or has no letters.
     rejected also where the calibrated probability is below the model's threshold. Repeated
-    rows get equal results; a null doc_id passes through; other columns are not looked at.
+    rows get equal results; an empty table gives an empty result; columns that aren't named
+    in keep are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    chosen = docs.select(*keep, F.col("text").alias("_text"))
+    names = [*keep, "lang_pred", "score", "rejected"]
+    schema = T.StructType([*chosen.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part in chopped(batch):
-                langs, score, rejected = model.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+                langs, score, rejected = model.predict(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, lang_pred string, score double, rejected boolean")
+    return chosen.mapInArrow(rows, schema)
 
 
 def chopped(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Slices of about size bytes, of at least one row."""
-    lengths = np.array([s if s is not None else 0 for s in pa.compute.binary_length(batch.column(1)).to_pylist()], np.int64)
+    """Slices of about size bytes of the last column, of at least one row."""
+    lengths = np.array([s if s is not None else 0 for s in pa.compute.binary_length(batch.column(batch.num_columns - 1)).to_pylist()], np.int64)
     owner = np.cumsum(lengths) // size
     cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
