@@ -3,7 +3,7 @@
 `link()` compares each item with its buckets' hubs first, joins what is linked, and goes
 on only in buckets whose items are still in more than one component. There, items outside
 of a bucket's largest component are compared with all items of other components, some
-dozens of pivots in a round, until none is left. So every pair that shares a bucket is
+hundreds of pivots in a round, until none is left. So every pair that shares a bucket is
 compared, unless its items are already known to be in one component.
 """
 
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Items of a bucket, outside of its largest component, that one round compares with the rest of the bucket.
-PIVOTS = 32
+PIVOTS = 256
+#: Times that nodes without hope are taken out, each of which can leave more.
+PEELS = 4
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -43,13 +45,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return kept.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
 
 
-def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch: Scratch, prune=None, unique: bool = False) -> DataFrame:
+def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch: Scratch, prune=None, unique: bool = False, own=None, hopeless=None) -> DataFrame:
     """(node, component) of all nodes that compare() links with another node of a bucket.
 
     buckets: (key, node, size) with several rows for a node; compare: from pairs (a, b)
     to those that are linked; prune: a condition on columns size_a and size_b that a
     linked pair meets. component is the smallest node that can be reached. unique: no row
-    is there twice and no key is hot, so rows are dealt by key once.
+    is there twice and no key is hot, so rows are dealt by key once. own: from nodes to
+    (node, own), how many elements of a node no other of them has; hopeless: a condition on
+    size, own and least (the smallest size in the bucket) under which a node can't be linked
+    with any other of its bucket. Such nodes are left out of the rounds of pivots.
     """
     if unique:
         buckets = buckets.repartition("key")
@@ -97,6 +102,24 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch:
     if not rest.isEmpty():
         merged(rest)
     seen = seen.unionByName(rest)
+    for _ in range(PEELS if own is not None else 0):
+        # In buckets of more than one component, nodes leave that have too much of their own.
+        here = labelled(members.select("key", "node", "size"), "node", "c")
+        mixed = here.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("size").alias("least")).filter("c0 != c1").select("key", "least")
+        mixed = scratch.keep(members.select("key", "node", "size").join(mixed, "key"))
+        ids = scratch.keep(mixed.select("node").distinct())
+        members = scratch.keep(mixed.join(own(ids), "node").filter(~hopeless).select("key", "node", "size", "own"))
+        if members.count() <= 0.9 * mixed.count():
+            continue
+        # The node with the least of its own is likely what the others are copies of: one more hub.
+        hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "size"), F.struct("own", "node")).alias("hub"))
+        pairs = members.join(hubs, "key").select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("hub.node").alias("b"), F.col("hub.size").alias("size_b"))
+        pairs = labelled(labelled(pruned(pairs).join(seen, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca != cb")
+        pairs = scratch.keep(pairs.select("a", "b"))
+        if not pairs.isEmpty():
+            merged(pairs)
+            seen = seen.unionByName(pairs)
+        break
     done = None
     while True:
         here = labelled(members.select("key", "node", "size"), "node", "c")
