@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Items of a bucket, outside of its largest component, that one round compares with the rest of the bucket.
-PIVOTS = 256
+#: Items of a bucket, outside of its largest component, that a round compares with the rest of the bucket: few at
+#: first, as what they join needn't be compared any more; the last number holds for all further rounds.
+PIVOTS = [4, 16, 64, 256]
 #: Times that nodes without hope are taken out, each of which can leave more.
 PEELS = 4
 
@@ -45,16 +46,26 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return kept.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
 
 
-def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch: Scratch, prune=None, unique: bool = False, own=None, hopeless=None) -> DataFrame:
+def hopeless(percent: int):
+    """Whether a set of size elements, own of them its own, can't be similar to any other of size least or more.
+
+    With m elements shared at most, the similarity to a set of b is at most m / (b + size - m).
+    """
+    least = F.greatest("least", F.ceil(F.col("size") * percent / 100))
+    return 100 * (F.col("size") - F.col("own")) < percent * (least + F.col("own"))
+
+
+def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch: Scratch, prune=None, unique: bool = False, own=None, percent: int | None = None, prepare=None) -> DataFrame:
     """(node, component) of all nodes that compare() links with another node of a bucket.
 
     buckets: (key, node, size) with several rows for a node; compare: from pairs (a, b)
     to those that are linked; prune: a condition on columns size_a and size_b that a
     linked pair meets. component is the smallest node that can be reached. unique: no row
     is there twice and no key is hot, so rows are dealt by key once. own: from nodes to
-    (node, own), how many elements of a node no other of them has; hopeless: a condition on
-    size, own and least (the smallest size in the bucket) under which a node can't be linked
-    with any other of its bucket. Such nodes are left out of the rounds of pivots.
+    (node, own), how many elements of a node no other of them has; percent: the least
+    similarity of a link, by which nodes and pairs with too much of their own are left out of
+    the rounds of pivots. prepare:
+    called once with the nodes of buckets of two and more, before anything is compared.
     """
     if unique:
         buckets = buckets.repartition("key")
@@ -65,6 +76,8 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch:
         counted = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("hub")).filter("n > 1")
         members = scratch.keep(buckets.join(counted.select("key", "hub"), "key"))
         scratch.drop(buckets)
+    if prepare is not None:
+        prepare(scratch.keep(members.select("node").distinct()))
     sizes = members.groupBy("node").agg(F.first("size").alias("size"))
 
     def pruned(pairs: DataFrame) -> DataFrame:
@@ -108,7 +121,7 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch:
         mixed = here.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("size").alias("least")).filter("c0 != c1").select("key", "least")
         mixed = scratch.keep(members.select("key", "node", "size").join(mixed, "key"))
         ids = scratch.keep(mixed.select("node").distinct())
-        members = scratch.keep(mixed.join(own(ids), "node").filter(~hopeless).select("key", "node", "size", "own"))
+        members = scratch.keep(mixed.join(own(ids), "node").filter(~hopeless(percent)).select("key", "node", "size", "own"))
         if members.count() <= 0.9 * mixed.count():
             continue
         # The node with the least of its own is likely what the others are copies of: one more hub.
@@ -120,9 +133,14 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch:
             merged(pairs)
             seen = seen.unionByName(pairs)
         break
-    done = None
+    done, turn = None, 0
+    if "own" not in members.columns:
+        members = members.withColumn("own", F.lit(0))
+    # Two sets share what neither has for itself, at most.
+    most = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b"))
     while True:
-        here = labelled(members.select("key", "node", "size"), "node", "c")
+        pivots, turn = PIVOTS[min(turn, len(PIVOTS) - 1)], turn + 1
+        here = labelled(members.select("key", "node", "size", "own"), "node", "c")
         parts = here.groupBy("key", "c").agg(F.count("*").alias("n"))
         parts = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most")
         here = here.join(parts.select("key", "main"), "key")
@@ -132,11 +150,15 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch:
         left = scratch.keep(outside.groupBy("key").agg(F.count("*").alias("left")))
         if left.isEmpty():
             break
-        chosen = outside.join(left, "key").filter(F.pmod(F.xxhash64("node", "key", "left"), F.ceil(F.col("left") / PIVOTS)) == 0)
-        # A round always takes some: the smallest item of each bucket joins those that the hash has chosen.
-        chosen = chosen.select("key", "node", "size", "c").unionByName(outside.groupBy("key").agg(F.min(F.struct("node", "size", "c")).alias("x")).select("key", "x.*")).distinct()
+        chosen = outside.join(left, "key").filter(F.pmod(F.xxhash64("node", "key", "left"), F.ceil(F.col("left") / pivots)) == 0)
+        # A round always takes some: the item of the least own elements in a bucket joins those that the hash has chosen.
+        chosen = chosen.select("key", "own", "node", "size", "c").unionByName(outside.groupBy("key").agg(F.min(F.struct("own", "node", "size", "c")).alias("x")).select("key", "x.*")).distinct()
         chosen = scratch.keep(chosen)
-        pairs = chosen.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("c").alias("ca")).join(here.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("cb")), "key").filter("ca != cb")
+        pairs = chosen.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("own").alias("own_a"), F.col("c").alias("ca"))
+        others = here.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"), F.col("c").alias("cb"))
+        pairs = pairs.join(others, "key").filter("ca != cb")
+        if percent is not None:
+            pairs = pairs.filter(100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
         pairs = scratch.keep(pruned(pairs).join(seen, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             merged(pairs)

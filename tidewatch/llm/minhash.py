@@ -168,10 +168,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         alone = texts.mapInArrow(_shingle_rows, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
         return ids.join(alone.groupBy("node").agg(F.count("*").alias("own")), "node", "left").fillna(0, ["own"])
 
-    # With m shingles shared at most, the similarity to a set of b is at most m / (b + size - m).
-    least = F.greatest("least", F.ceil(F.col("size") * percent / 100))
-    hopeless = 100 * (F.col("size") - F.col("own")) < percent * (least + F.col("own"))
-    found = link(buckets, compare, scratch, prune=100 * smaller >= percent * larger, own=own, hopeless=hopeless)
+    found = link(buckets, compare, scratch, prune=100 * smaller >= percent * larger, own=own, percent=percent)
     # A link of two documents is one of their classes.
     named = classes.join(found, "node").select("set_hash", F.col("component"))
     named = classes.select("set_hash", "node").join(named, "set_hash", "left").select("set_hash", F.coalesce("component", "node").alias("component"))

@@ -93,7 +93,7 @@ def paragraphs(docs: DataFrame, with_bands: bool = False, with_sets: bool = Fals
     start and end are bytes; place is the number of paragraphs before it in its document.
     with_bands adds size and the bands' keys; with_sets gives set_id and members only.
     """
-    schema = "set_id long, members binary" if with_sets else "set_id long, doc_id long, place int, start int, end int, words int" + ", size int, keys array<int>" * with_bands
+    schema = "set_id long, members array<long>" if with_sets else "set_id long, doc_id long, place int, start int, end int, words int" + ", size int, keys array<int>" * with_bands
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,8 +103,8 @@ def paragraphs(docs: DataFrame, with_bands: bool = False, with_sets: bool = Fals
                 if len(own):
                     sets = set_ids(values, offsets)
                     if with_sets:
-                        data = values.view(np.uint8)
-                        yield pa.RecordBatch.from_arrays([pa.array(sets), pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(data)])], ["set_id", "members"])
+                        members = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+                        yield pa.RecordBatch.from_arrays([pa.array(sets), members], ["set_id", "members"])
                     else:
                         place = np.arange(len(own)) - np.searchsorted(own, own)
                         columns = [sets, ids[at : at + len(raws)][own], *(x.astype(np.int32) for x in (place, first, end, words))]
@@ -118,21 +118,6 @@ def paragraphs(docs: DataFrame, with_bands: bool = False, with_sets: bool = Fals
     return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null").mapInArrow(made, schema)
 
 
-def _similar(percent: int):
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for a, b, ma, mb in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = set(np.frombuffer(ma, np.uint64).tolist()), set(np.frombuffer(mb, np.uint64).tolist())
-                shared = len(x & y)
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    left.append(a)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return kept
-
-
 def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap: int = GAP, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, start, end, words, first_doc, component): byte spans of text that an earlier document has.
 
@@ -147,16 +132,26 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
     banded = classes.select(F.posexplode("keys").alias("band", "key"), "set_id", "size")
     buckets = banded.select((F.col("key").cast("long") * BANDS + F.col("band")).alias("key"), F.col("set_id").alias("node"), "size")
 
+    sets = None
+
+    def prepare(ids: DataFrame) -> None:
+        nonlocal sets
+        found = paragraphs(docs, with_sets=True).withColumnRenamed("set_id", "node")
+        sets = scratch.keep(among(found, ids, "node").groupBy("node").agg(F.first("members").alias("members")))
+
     def compare(pairs: DataFrame) -> DataFrame:
-        ids = scratch.keep(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
-        sets = scratch.keep(among(paragraphs(docs, with_sets=True).withColumnRenamed("set_id", "a"), ids, "a").dropDuplicates(["a"]))
-        both = pairs.join(sets.withColumnRenamed("members", "ma"), "a").join(sets.select(F.col("a").alias("b"), F.col("members").alias("mb")), "b")
-        linked = scratch.keep(both.select("a", "b", "ma", "mb").mapInArrow(_similar(percent), "a long, b long"))
-        scratch.drop(sets)
-        return linked
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
+        shared = F.size(F.array_intersect("ma", "mb"))
+        return scratch.keep(both.filter(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b"))
+
+    def own(ids: DataFrame) -> DataFrame:
+        """How many shingles of each paragraph no other of them has."""
+        each = sets.join(ids, "node", "left_semi").select("node", F.explode("members").alias("shingle"))
+        alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+        return ids.join(alone.groupBy("node").agg(F.count("*").alias("own")), "node", "left").fillna(0, ["own"])
 
     smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    near = link(buckets, compare, scratch, prune=100 * smaller >= percent * larger, unique=True)
+    near = link(buckets, compare, scratch, prune=100 * smaller >= percent * larger, unique=True, own=own, percent=percent, prepare=prepare)
     # Classes that occur twice or are linked with others, and the first place of their component.
     many = classes.select("set_id", "head", "n").join(near.withColumnRenamed("node", "set_id"), "set_id", "left").filter("n > 1 or component is not null")
     many = scratch.keep(many.select("set_id", "head", F.coalesce("component", "set_id").alias("component")))
