@@ -76,7 +76,7 @@ def joined_user_turns(turns: Column) -> Column:
 def parse_risk(reply: Column) -> Column:
     """The first number of a model's reply, 0 to 1; 0.5 without one."""
     number = F.regexp_extract(reply, r"(\d?\.\d+|\d)", 1)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number.try_cast("double"))), F.lit(0.5))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number.try_cast("double"), F.lit(0.5))))
 
 
 def guard_verdict(reply: Column) -> Column:

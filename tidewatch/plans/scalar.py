@@ -146,7 +146,7 @@ def content_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.sort_array(text.content_words(F.col("text"))), " ").alias("words"))
 
 
-@query(rf"WITH x AS (SELECT doc_id, regexp_extract(text, '(\d?\.\d+|\d)', 1) AS n FROM documents) SELECT doc_id, coalesce(greatest(0.0, least(1.0, try_cast(n AS DOUBLE))), 0.5)::DOUBLE AS risk FROM x")
+@query(rf"WITH x AS (SELECT doc_id, regexp_extract(text, '(\d?\.\d+|\d)', 1) AS n FROM documents) SELECT doc_id, greatest(0.0, least(1.0, coalesce(try_cast(n AS DOUBLE), 0.5)))::DOUBLE AS risk FROM x")
 def parse_risk(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.parse_risk(F.col("text")).alias("risk"))
 
