@@ -43,6 +43,10 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of small columns that one task handles at least, where a count is known.
+ROWS_PER_FILE = 100_000
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
@@ -52,9 +56,15 @@ class Scratch:
         self.count = 0
         atexit.register(delete, spark, self.base)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Writes df and returns a frame that reads the written files."""
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Writes df and returns a frame that reads the written files.
+
+        rows: a bound on df's rows, from a count; it limits the files, and so the tasks of
+        later steps, to one for each ROWS_PER_FILE rows.
+        """
         self.count += 1
+        if rows is not None:
+            df = df.coalesce(1 + rows // ROWS_PER_FILE)
         path = f"{self.base}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)

@@ -30,13 +30,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     is a written table, so a lost executor costs one round at most.
     """
     kept = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    rows = kept.count()  # a large or small star has no more edges than there were
     while True:
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        made = scratch.keep(small)
+        made = scratch.keep(small, rows)
         scratch.drop(kept)
         kept = made
         ends = kept.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).select("u")
@@ -91,27 +92,29 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch:
     stars = scratch.keep(stars.select("a", "b", "n"))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     seen = scratch.keep(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = scratch.keep(components(compare(seen), scratch))
+    found = scratch.keep(components(compare(seen), scratch), 2 * seen.count())
 
     def labelled(frame: DataFrame, node: str, label: str) -> DataFrame:
         names = found.select(F.col("node").alias(node), F.col("component").alias(label))
         return frame.join(names, node, "left").withColumn(label, F.coalesce(label, node))
 
+    nodes = sizes.count()
+
     def merged(pairs: DataFrame) -> None:
         """Compares pairs and joins the components of those that are linked."""
         nonlocal found
         linked = labelled(labelled(compare(pairs), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a != b")
-        linked = scratch.keep(linked.distinct())
+        linked = scratch.keep(linked.distinct(), nodes)
         if linked.isEmpty():
             return
         over = components(linked, scratch).select(F.col("node").alias("component"), F.col("component").alias("over"))
         # Roots that were alone until now are new nodes.
         known = found.unionByName(over.select(F.col("component").alias("node"), "component")).distinct()
-        found = scratch.keep(known.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")))
+        found = scratch.keep(known.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")), nodes)
 
     # The other hubs of an item, where they are in another component.
     rest = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-    rest = scratch.keep(labelled(labelled(rest, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b"))
+    rest = scratch.keep(labelled(labelled(rest, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b"), stars.count())
     if not rest.isEmpty():
         merged(rest)
     seen = seen.unionByName(rest)
@@ -147,7 +150,7 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch:
         outside = here.filter("c != main")
         if done is not None:
             outside = outside.join(done, ["key", "node"], "left_anti")
-        left = scratch.keep(outside.groupBy("key").agg(F.count("*").alias("left")))
+        left = scratch.keep(outside.groupBy("key").agg(F.count("*").alias("left")), nodes)
         if left.isEmpty():
             break
         chosen = outside.join(left, "key").filter(F.pmod(F.xxhash64("node", "key", "left"), F.ceil(F.col("left") / pivots)) == 0)
