@@ -162,10 +162,11 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch:
         pairs = pairs.join(others, "key").filter("ca != cb")
         if percent is not None:
             pairs = pairs.filter(100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
-        pairs = scratch.keep(pruned(pairs).join(seen, ["a", "b"], "left_anti"))
+        # A pair may come a second time, when its other item is the pivot, if it still isn't of one component.
+        pairs = scratch.keep(pruned(pairs))
         if not pairs.isEmpty():
             merged(pairs)
-            seen = scratch.keep(seen.unionByName(pairs))
+        scratch.drop(pairs)
         step = chosen.select("key", "node")
         done = step if done is None else scratch.keep(done.unionByName(step))
     return found
