@@ -25,7 +25,7 @@ from .shingles import BASE, mixed
 
 GRAMS, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 17, 16
 #: Labelled rows that training reads at most, by a hash of doc_id, and their longest text in bytes.
-SAMPLE, LONGEST = 6_000, 1 << 16
+SAMPLE, LONGEST = 6_000, 1 << 15
 #: One in so many sampled rows calibrates; passes over the others; step size; rows of a step.
 CALIBRATION, EPOCHS, RATE, BATCH = 5, 8, 1.0, 16
 #: Share of calibration texts, whose language is found, that rejection may lose.
@@ -160,9 +160,13 @@ def held_out():
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """At most sample labelled rows that aren't held out, the same for equal tables."""
     rows = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
-    # The hash alone is sorted first; texts follow for the chosen rows.
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "lang").orderBy("h", "doc_id", "text").limit(sample)
-    return [(r.text, r.lang) for r in rows.collect()]
+    rows = rows.withColumn("h", F.xxhash64("doc_id"))
+    # Hashes alone are put in order; texts are read for those up to the last one that is taken.
+    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    chosen = rows.filter(F.col("h") <= last).select("h", "doc_id", "text", "lang").collect()
+    return [(r.text, r.lang) for r in sorted(chosen, key=lambda r: (r.h, r.doc_id, r.text))[:sample]]
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
