@@ -306,3 +306,19 @@ def test_substring_dedup_edges(spark):
     out = paragraphs.substring_dedup(docs(spark, EDGE)).collect()
     assert sorted((str(r.doc_id), r.text) for r in out if r.text) == sorted((str(i), t) for i, t in EDGE if t)
     assert paragraphs.substring_dedup(docs(spark, EDGE).limit(0)).collect() == []
+
+
+def test_substring_dedup_keeps_what_no_other_document_keeps(spark):
+    rnd, rows = random.Random(11), []
+    for k in range(12):
+        a, b, changed = words(rnd, 60), words(rnd, 60), words(rnd, 5)
+        rows += [(10 * k + j, f"{a} {words(rnd, 5) if j in (0, 4) else changed} {b}") for j in range(5)]
+    out = {r.doc_id: r for r in paragraphs.substring_dedup(docs(spark, rows)).collect()}
+    kept = {k: [out[10 * k + j].text.split() for j in range(5)] for k in range(12)}
+    for i, t in rows:
+        # Every word of a component's first place, and every word that no other document has, is left somewhere.
+        assert set(t.split()) <= {w for part in kept[i // 10] for w in part}, i
+    for r in out.values():
+        raw = dict(rows)[r.doc_id].encode()
+        assert r.removed_words == sum(len(raw[s.start : s.end].split()) for s in r.spans or [])
+    assert sum(r.removed_words for r in out.values()) >= 12 * 4 * 80

@@ -6,7 +6,7 @@ words. Equal passages are cut alike, up to RADIUS words from their ends. Paragra
 sets of five-word shingles are one class; classes that share a MinHash band are compared by
 exact Jaccard similarity and clustered into components. Of each component the first place
 (smallest doc_id, then place) stays; where other documents repeat paragraphs in a run of
-enough words, the run is removed.
+enough words, those paragraphs are removed.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .shingles import BASE, PLACES, SHORT, WORDS, batched, minhash, mixed, word_
 RADIUS = 5
 #: Bands of one minimum: a pair of similarity 0.8 shares a band with probability 0.96; equal sets always do.
 BANDS, PERCENT = 2, 80
-#: Words of a run of repeated paragraphs from which it is removed, and of paragraphs in between that go with it.
+#: Words of a run of repeated paragraphs from which they are removed, and of other text in between, which stays.
 RUN, GAP = 16, 12
 
 
@@ -123,7 +123,7 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
 
     Paragraphs count as repeated if their component's first place is in another document.
     Runs join repeated paragraphs with at most gap words between them; runs of fewer than
-    run repeated words are left out.
+    run repeated words are left out. Spans hold repeated paragraphs only, never a gap.
     """
     scratch = scratch or Scratch(docs.sparkSession, "paragraphs")
     found = paragraphs(docs, with_bands=True)
@@ -160,14 +160,17 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
     scratch.drop(classes)
     few = named.count() <= FEW
     places = paragraphs(docs).join(F.broadcast(named) if few else named, "set_id").filter("doc_id != first_doc")
-    # Runs: a document's repeated paragraphs, in order; the words up to the next say where one ends.
+    # Runs: a document's repeated paragraphs, in order; blocks: those of a run with nothing else in between.
     order = Window.partitionBy("doc_id").orderBy("place")
     placed = places.withColumn("gap", F.col("start") - F.lag("end").over(order)).withColumn("skip", F.col("place") - F.lag("place").over(order) - 1)
     # A gap is measured in bytes, at 8 for a word and its separator; next places have none.
     new = F.when((F.col("skip") == 0) | (F.col("gap") <= 8 * gap), 0).otherwise(1)
-    runs = placed.withColumn("run", F.sum(new).over(order)).groupBy("doc_id", "run")
-    runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first_doc").alias("first_doc"), F.min("component").alias("component"))
-    return runs.filter(F.col("words") >= run).drop("run")
+    apart = F.when(F.col("skip") <= 0, 0).otherwise(1)
+    blocks = placed.withColumn("run", F.sum(new).over(order)).withColumn("block", F.sum(apart).over(order)).groupBy("doc_id", "run", "block")
+    blocks = blocks.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first_doc").alias("first_doc"), F.min("component").alias("component"))
+    # A gap says whether a run is long enough; its own text is no repeat and stays.
+    enough = F.sum("words").over(Window.partitionBy("doc_id", "run")) >= run
+    return blocks.withColumn("enough", enough).filter("enough").select("doc_id", "start", "end", "words", "first_doc", "component")
 
 
 #: Repeated classes that are broadcast at most, at 24 bytes each.
