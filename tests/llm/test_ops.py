@@ -322,3 +322,25 @@ def test_substring_dedup_keeps_what_no_other_document_keeps(spark):
         raw = dict(rows)[r.doc_id].encode()
         assert r.removed_words == sum(len(raw[s.start : s.end].split()) for s in r.spans or [])
     assert sum(r.removed_words for r in out.values()) >= 12 * 4 * 80
+
+
+def test_paragraphs_depend_on_their_text_alone():
+    rnd = random.Random(12)
+    raws = [words(rnd, rnd.randint(0, 40)).encode() for _ in range(300)] + [b"", b"a", b"a b", b"a b " * 30, b"a " * 30]
+
+    def cuts(batch):
+        own, first, end, n, values, offsets = paragraphs.cut(batch)
+        return [[(first[k], end[k], n[k], values[offsets[k] : offsets[k + 1]].tolist()) for k in np.flatnonzero(own == i)] for i in range(len(batch))]
+
+    alone = [cuts([r])[0] for r in raws]
+    assert cuts(raws) == alone and cuts(raws[::-1]) == alone[::-1]
+
+
+def test_substring_dedup_removes_exact_copies_in_full(spark):
+    rnd = random.Random(13)
+    rows = [(k, words(rnd, (20, 25, 30, 40)[k % 4])) for k in range(60)]
+    copies = [(1000 + k, t) for k, t in rows]
+    mixed = [r for k in range(60) for r in (copies[k], (2000 + k, words(rnd, 30)))]
+    out = {r.doc_id: r for r in paragraphs.substring_dedup(docs(spark, rows + mixed)).collect()}
+    assert all(not out[i].text and out[i].removed_words == len(t.split()) for i, t in copies)
+    assert all(out[i].text == t for i, t in rows)

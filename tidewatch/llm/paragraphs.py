@@ -47,10 +47,19 @@ def cut(raws: list[bytes], radius: int = RADIUS) -> tuple[np.ndarray, ...]:
     owner = np.searchsorted(begin, start, side="right") - 1
     pair = np.full(n + 2 * radius, np.iinfo(np.uint64).max, np.uint64)
     pair[radius : radius + n - 1] = mixed(h[:-1] * PLACES[0] + h[1:] * PLACES[1])
+    # A pair of words of two texts is none, and what stands beyond a text's bounds doesn't count: cuts depend on the text alone.
+    inner = pair[radius : radius + n - 1]
+    inner[owner[1:] != owner[:-1]] = np.iinfo(np.uint64).max
     own = pair[radius : radius + n]
+    texts = np.full(n + 2 * radius, -1, np.int64)
+    texts[radius : radius + n] = owner
     cuts = np.ones(n, bool)
     for d in range(1, radius + 1):
-        cuts &= (own < pair[radius - d : radius - d + n]) & (own < pair[radius + d : radius + d + n])
+        # Of equal pairs the first one counts as the smallest.
+        before, after = slice(radius - d, radius - d + n), slice(radius + d, radius + d + n)
+        cuts &= ((own < pair[before]) | (texts[before] != owner)) & ((own <= pair[after]) | (texts[after] != owner))
+    cuts[-1] = False
+    cuts[:-1] &= owner[1:] == owner[:-1]
     cuts[0] = True
     cuts[1:] |= owner[1:] != owner[:-1]
     first = np.flatnonzero(cuts)
