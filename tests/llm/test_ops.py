@@ -308,16 +308,17 @@ def test_substring_dedup_edges(spark):
     assert paragraphs.substring_dedup(docs(spark, EDGE).limit(0)).collect() == []
 
 
-def test_substring_dedup_keeps_what_no_other_document_keeps(spark):
+def test_substring_dedup_keeps_every_first_place(spark):
     rnd, rows = random.Random(11), []
     for k in range(12):
         a, b, changed = words(rnd, 60), words(rnd, 60), words(rnd, 5)
         rows += [(10 * k + j, f"{a} {words(rnd, 5) if j in (0, 4) else changed} {b}") for j in range(5)]
     out = {r.doc_id: r for r in paragraphs.substring_dedup(docs(spark, rows)).collect()}
-    kept = {k: [out[10 * k + j].text.split() for j in range(5)] for k in range(12)}
-    for i, t in rows:
-        # Every word of a component's first place, and every word that no other document has, is left somewhere.
-        assert set(t.split()) <= {w for part in kept[i // 10] for w in part}, i
+    own, first, end, _, values, offsets = paragraphs.cut([t.encode() for _, t in rows])
+    removed = [any(s.start <= first[k] and end[k] <= s.end for s in out[rows[i][0]].spans or []) for k, i in enumerate(own)]
+    roots = brute_components({k: frozenset(values[offsets[k] : offsets[k + 1]].tolist()) for k in range(len(own))}, 80)
+    # Whatever is removed is a paragraph whose component starts in an earlier document, and stays there.
+    assert all(own[roots[k]] < own[k] and not removed[roots[k]] for k in range(len(own)) if removed[k])
     for r in out.values():
         raw = dict(rows)[r.doc_id].encode()
         assert r.removed_words == sum(len(raw[s.start : s.end].split()) for s in r.spans or [])
@@ -344,3 +345,23 @@ def test_substring_dedup_removes_exact_copies_in_full(spark):
     out = {r.doc_id: r for r in paragraphs.substring_dedup(docs(spark, rows + mixed)).collect()}
     assert all(not out[i].text and out[i].removed_words == len(t.split()) for i, t in copies)
     assert all(out[i].text == t for i, t in rows)
+
+
+def test_paragraph_bands_miss_no_similar_pair():
+    rng, values, offsets = np.random.default_rng(14), [], [0]
+    for _ in range(4000):
+        n = int(rng.integers(1, 60))
+        base = rng.integers(0, 2**63, n, np.uint64)
+        lost = int(rng.integers(0, n // 4 + 1))
+        other = np.concatenate([base[lost:], rng.integers(0, 2**63, int(rng.integers(0, lost + 1)), np.uint64)])
+        for s in (base, other if len(other) else base):
+            values.append(np.unique(s))
+            offsets.append(offsets[-1] + len(values[-1]))
+    keys, ends = paragraphs.least_keys(np.concatenate(values), np.array(offsets), 80)
+    similar = 0
+    for k in range(0, len(values), 2):
+        shared, union = shingles.jaccard_counts(values[k], values[k + 1])
+        if 100 * shared >= 80 * union:
+            similar += 1
+            assert set(keys[ends[k] : ends[k + 1]]) & set(keys[ends[k + 1] : ends[k + 2]])
+    assert similar > 1000 and len(paragraphs.least_keys(np.zeros(0, np.uint64), np.zeros(3, np.int64), 80)[0]) == 0

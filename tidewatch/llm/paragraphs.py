@@ -3,8 +3,8 @@
 Texts have passages in common that start and end anywhere, so paragraphs are cut where the
 words say so: before each word pair whose hash is the smallest of all pairs within RADIUS
 words. Equal passages are cut alike, up to RADIUS words from their ends. Paragraphs of equal
-sets of five-word shingles are one class; classes that share a MinHash band are compared by
-exact Jaccard similarity and clustered into components. Of each component the first place
+sets of five-word shingles are one class; classes that share a MinHash band, one of each set's
+smallest hashes, are compared by exact Jaccard similarity and clustered into components. Of each component the first place
 (smallest doc_id, then place) stays; where other documents repeat paragraphs in a run of
 enough words, those paragraphs are removed.
 """
@@ -22,11 +22,11 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, among, table
 from .linking import link
-from .shingles import BASE, PLACES, SHORT, WORDS, batched, minhash, mixed, word_hashes
+from .shingles import BASE, PLACES, SHORT, WORDS, batched, mixed, word_hashes
 
 RADIUS = 5
-#: Bands of one minimum: a pair of similarity 0.8 shares a band with probability 0.96; equal sets always do.
-BANDS, PERCENT = 2, 80
+#: Similarity, in hundredths, from which paragraphs are linked.
+PERCENT = 80
 #: Words of a run of repeated paragraphs from which they are removed, and of other text in between, which stays.
 RUN, GAP = 16, 12
 
@@ -96,7 +96,21 @@ def set_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mixed(a ^ mixed(b + np.diff(offsets).astype(np.uint64))).view(np.int64)
 
 
-def paragraphs(docs: DataFrame, with_bands: bool = False, with_sets: bool = False) -> DataFrame:
+def least_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest hashes of each set, as bands, and their offsets.
+
+    Sets of similarity t share at least ceil(t n) members of either's n. Leaving out so many
+    less one of the largest, two such sets have a smallest shared one among what is left of
+    both: no pair from percent on is without a band in common.
+    """
+    size = np.diff(offsets)
+    kept = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(kept)])
+    at = np.repeat(offsets[:-1] - ends[:-1], kept) + np.arange(ends[-1])
+    return (values[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), ends
+
+
+def paragraphs(docs: DataFrame, with_bands: bool = False, with_sets: bool = False, percent: int = PERCENT) -> DataFrame:
     """(set_id, doc_id, start, end, words) of all paragraphs, in bytes of UTF-8 and words before it.
 
     start and end are bytes; place is the number of paragraphs before it in its document.
@@ -119,8 +133,8 @@ def paragraphs(docs: DataFrame, with_bands: bool = False, with_sets: bool = Fals
                         columns = [sets, ids[at : at + len(raws)][own], *(x.astype(np.int32) for x in (place, first, end, words))]
                         columns = [pa.array(c) for c in columns]
                         if with_bands:
-                            keys = minhash(values, offsets, BANDS).view(np.int32)
-                            columns += [pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))]
+                            keys, ends = least_keys(values, offsets, percent)
+                            columns += [pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys))]
                         yield pa.RecordBatch.from_arrays(columns, ["set_id", "doc_id", "place", "start", "end", "words", "size", "keys"][: len(columns)])
                 at += len(raws)
 
@@ -135,11 +149,10 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
     run repeated words are left out. Spans hold repeated paragraphs only, never a gap.
     """
     scratch = scratch or Scratch(docs.sparkSession, "paragraphs")
-    found = paragraphs(docs, with_bands=True)
+    found = paragraphs(docs, with_bands=True, percent=percent)
     head = F.min(F.struct("doc_id", "place")).alias("head")
     classes = scratch.keep(found.groupBy("set_id").agg(head, F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    banded = classes.select(F.posexplode("keys").alias("band", "key"), "set_id", "size")
-    buckets = banded.select((F.col("key").cast("long") * BANDS + F.col("band")).alias("key"), F.col("set_id").alias("node"), "size")
+    buckets = classes.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("set_id").alias("node"), "size")
 
     sets = None
 
