@@ -17,6 +17,8 @@ from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.paragraphs import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near-duplicates are linked from 0.8 on; of pairs at 0.8, one in 129,000 shares none of 50 bands of 7.
+PERCENT, BANDS, ROWS = 80, 50, 7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id are one document and stay or go together.
     """
     scratch = Scratch(spark, "near-dedup")
-    gone = scratch.keep(near_duplicates(docs, scratch=scratch).filter("not kept").select("doc_id").distinct())
+    gone = scratch.keep(near_duplicates(docs, PERCENT, BANDS, ROWS, scratch).filter("not kept").select("doc_id").distinct())
     return among(docs.select(*COLUMNS), gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

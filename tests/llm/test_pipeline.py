@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tidewatch.llm import minhash
 
 from .test_ops import DOCS, words
 
@@ -35,3 +36,18 @@ def test_stages(spark, tmp_path):
     assert sorted(ids["BPE"]) == sorted(ids["mixing"])
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.ids_sha256 for r in whole) == sorted(r.ids_sha256 for r in seen["BPE"])
+
+
+def test_near_dedup_links_from_80_hundredths_on(spark, tmp_path):
+    rnd, rows = random.Random(15), []
+    for k in range(20):
+        base = words(rnd, 104).split()
+        # A copy with the last 10 to 11 of 100 shingles changed has similarity 0.80 to 0.82.
+        rows += [(k, " ".join(base), "en", "x", 0), (100 + k, " ".join(base[: 104 - 10 - k % 2] + words(rnd, 10 + k % 2).split()), "en", "x", 0)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == set(range(20))
+
+
+def test_bands_miss_few_pairs():
+    for percent, bands, size in ((80, corpus_pipeline.BANDS, corpus_pipeline.ROWS), (85, minhash.BANDS, minhash.ROWS)):
+        assert (1 - (percent / 100) ** size) ** bands < 1 / 86_000

@@ -21,8 +21,8 @@ from .common import Scratch, among, table
 from .linking import link
 from .shingles import band_keys, batched, jaccard_counts, minhash, shingle_sets
 
-#: 36 bands of 9: of pairs at the threshold of 0.85, one in 13,000 shares no band; at 0.6, three in ten share one.
-BANDS, ROWS = 36, 9
+#: 48 bands of 9: of pairs at the threshold of 0.85, one in 310,000 shares no band; at 0.6, four in ten share one.
+BANDS, ROWS = 48, 9
 #: Minima that signatures keep for the comparison of candidates.
 KEPT = 144
 #: Linked from this many hundredths on.
