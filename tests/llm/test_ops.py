@@ -365,3 +365,30 @@ def test_paragraph_bands_miss_no_similar_pair():
             similar += 1
             assert set(keys[ends[k] : ends[k + 1]]) & set(keys[ends[k + 1] : ends[k + 2]])
     assert similar > 1000 and len(paragraphs.least_keys(np.zeros(0, np.uint64), np.zeros(3, np.int64), 80)[0]) == 0
+
+
+def test_url_scores_equal_a_model_of_all_contexts(spark):
+    rnd, weight = random.Random(16), urls.WEIGHT
+    texts = [(f"https://{words(rnd, 2).replace(' ', '.')}.{k}/{words(rnd, 3).replace(' ', '/')}", k) for k in ("allow", "block") for _ in range(400)]
+    assert len({t[j - 4 : j] for t, _ in texts for j in range(4, len(t))}) > 8192
+    frame = spark.createDataFrame(texts, "url string, rule_verdict string")
+    counts = {}
+
+    def contexts(t, j):
+        return [(["^"] * 4 + list(t))[j + 4 - k : j + 4] for k in range(5)]
+
+    for t, kind in texts:
+        for j, c in enumerate(t):
+            for x in map(tuple, contexts(t, j)):
+                for key in ((kind, x, c), (kind, x)):
+                    counts[key] = counts.get(key, 0) + 1
+    got = {r.url: r.score for r in urls.scored(frame, frame, Scratch(spark, "urls-test")).collect()}
+    for t, _ in texts[::20]:
+        total = 0.0
+        for j, c in enumerate(t):
+            for kind, sign in (("allow", 1), ("block", -1)):
+                p = 1 / urls.SYMBOLS
+                for x in map(tuple, contexts(t, j)):
+                    p = (counts.get((kind, x, c), 0) + weight * p) / (counts.get((kind, x), 0) + weight)
+                total += sign * float(np.log(p))
+        assert abs(got[t] - total / len(t)) < 1e-7

@@ -8,7 +8,6 @@ is the calibrated, length-normalised difference of log-likelihoods.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .shingles import BASE, mixed
 
 #: Verdict, host and path of each rule.
 RULES = [
@@ -30,9 +28,14 @@ RULES = [
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-_?=&#:%+~,;@!*'()$[]|"
 SYMBOLS = 64
 OTHER, START = 62, 63
-#: Contexts of 0 to 4 characters; the long ones are hashed into so many slots. Counts are thus bounded.
-SLOTS = [1, 64, 4096, 8192, 8192]
-FIRST = np.concatenate([[0], np.cumsum(SLOTS)])
+#: Characters of the longest context.
+ORDER = 4
+#: Contexts of so many characters have tables bounded by the alphabet, 64 ** 3 rows, which are broadcast.
+SMALL = 2
+#: A gram is hot, and so broadcast, from one in so many of all rows (URL, gram) on: there are fewer hot grams than that.
+HOT = 10_000
+#: Log-ratios are summed as whole multiples of one in so many, so that the order of rows doesn't matter.
+UNIT = 1 << 32
 #: Weight of the shorter context's estimate, in observations.
 WEIGHT = 4.0
 BINS = 2000
@@ -61,100 +64,96 @@ def ruled(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFra
     return urls.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def contexts(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each character of URLs: its symbol, the slots of its contexts (one row an order), the URL's number."""
-    order = len(SLOTS) - 1
+def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each character of URLs: the number of its gram, and the URL's number.
+
+    A gram is the ORDER characters before, the nearest one as the highest digit, then the
+    character itself. So the context of k characters is a gram's first k digits.
+    """
     raws = [u.encode("utf-8", "surrogatepass") for u in urls]
     lengths = np.fromiter(map(len, raws), np.int64, len(raws))
     data = CODES[np.frombuffer(b"".join(raws), np.uint8)]
     owner = np.repeat(np.arange(len(raws)), lengths)
     place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    slots = np.empty((order + 1, len(data)), np.int64)
-    slots[0] = 0
-    value = np.zeros(len(data), np.uint64)
-    for k in range(1, order + 1):
+    value = np.zeros(len(data), np.int64)
+    for k in range(1, ORDER + 1):
         before = np.full(len(data), START, np.int64)
-        before[k:] = np.where(place[k:] >= k, data[:-k] if k else data, START)
-        value = value * np.uint64(SYMBOLS) + before.astype(np.uint64)
-        slots[k] = FIRST[k] + ((value if k <= 2 else mixed(value * np.uint64(BASE))) % np.uint64(SLOTS[k])).astype(np.int64)
-    return data, slots, owner
-
-
-@dataclass
-class Ratio:
-    """Counts of symbols by slot for accepted (0) and rejected (1) URLs, and the threshold of scores."""
-
-    counts: np.ndarray
-    threshold: float = 0.0
-
-    def __post_init__(self):
-        self.sums = self.counts.sum(axis=2)
-
-    def scores(self, urls: list[str]) -> np.ndarray:
-        """Mean log-likelihood ratio per character, above 0 where accepted ones are likelier; 0 for no text."""
-        data, slots, owner = contexts(urls)
-        total = np.zeros(len(data))
-        for kind, sign in ((0, 1.0), (1, -1.0)):
-            p = np.full(len(data), 1.0 / SYMBOLS)
-            for at in slots:
-                p = (self.counts[kind, at, data] + WEIGHT * p) / (self.sums[kind, at] + WEIGHT)
-            total += sign * np.log(p)
-        n = np.bincount(owner, minlength=len(urls))
-        return np.bincount(owner, total, minlength=len(urls)) / np.maximum(n, 1)
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Non-zero cells (kind, slot, symbol) of a partition, so that few rows are shuffled."""
-    cells = np.zeros(2 * int(FIRST[-1]) * SYMBOLS, np.int64)
-    for batch in batches:
-        for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-            data, slots, owner = contexts([u or "" for u in part.column(0).to_pylist()])
-            kind = np.array([v == "block" for v in part.column(1).to_pylist()], np.int64)[owner]
-            for at in slots:
-                cells += np.bincount((kind * int(FIRST[-1]) + at) * SYMBOLS + data, minlength=len(cells))
-    used = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
-
-
-def train(labelled: DataFrame) -> Ratio:
-    """Models from all labelled rows (url, rule_verdict) but every fifth, by a hash, which set the threshold.
-
-    The driver gets at most 2 * 20,545 * 64 counts and 2 * 2,001 sums. The threshold is
-    where as large a share of accepted as of rejected URLs lies on the wrong side; without
-    examples of both kinds it is 0.
-    """
-    held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    cells = labelled.filter(~held).select("url", "rule_verdict").mapInArrow(_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(2 * int(FIRST[-1]) * SYMBOLS)
-    counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
-    model = Ratio(counts.reshape(2, int(FIRST[-1]), SYMBOLS))
-    step = F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2), F.floor(F.col("score") * 100)))
-    sums = {(r[0], r[1]): r[2] for r in scored(labelled.filter(held), model).groupBy("rule_verdict", step.alias("bin")).count().collect()}
-    bins = np.arange(-BINS // 2, BINS // 2 + 1)
-    allow, block = (np.array([sums.get((k, int(b)), 0) for b in bins], float) for k in ("allow", "block"))
-    if allow.sum() and block.sum():
-        lost = np.concatenate([[0], np.cumsum(allow)]) / allow.sum()
-        let = 1 - np.concatenate([[0], np.cumsum(block)]) / block.sum()
-        # Of equally good thresholds the middle one.
-        worse = np.maximum(lost, let)
-        best = np.flatnonzero(worse <= worse.min() + 1e-12)
-        model.threshold = float((bins[0] + (best[0] + best[-1]) / 2) / 100)
-    return model
+        before[k:] = np.where(place[k:] >= k, data[:-k], START)
+        value = value * SYMBOLS + before
+    return value * SYMBOLS + data, owner
 
 
-def scored(urls: DataFrame, model: Ratio) -> DataFrame:
-    shared = urls.sparkSession.sparkContext.broadcast(model)
+def counted(urls: DataFrame) -> DataFrame:
+    """(id, gram, n) of rows (id, url): how often each gram is in the rows of an id, summed within batches."""
 
-    @F.pandas_udf("double")
-    def score(url):
-        import pandas as pd
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                gram, owner = grams([u or "" for u in part.column(1).to_pylist()])
+                ids = part.column(0).to_numpy()[owner]
+                order = np.lexsort((gram, ids))
+                gram, ids = gram[order], ids[order]
+                new = np.ones(len(gram), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1])
+                at = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(gram[at]), pa.array(np.diff(np.append(at, len(gram))))], ["id", "gram", "n"])
 
-        model, out = shared.value, []
-        for i in range(0, len(url), 4096):
-            out.append(model.scores([u or "" for u in url[i : i + 4096]]))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    return urls.mapInArrow(made, "id long, gram long, n long")
 
-    return urls.withColumn("score", score("url"))
+
+def ratios(labelled: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gram, df, r) of wanted (gram, df): log of the accepted over the rejected model's probability, in UNITs.
+
+    Both models come from all rows of labelled (url, rule_verdict). Each order's estimate is
+    weighed with the shorter context's; counts of all contexts stay in tables.
+    """
+    kinds = labelled.select((F.col("rule_verdict") == "block").cast("long").alias("id"), "url")
+    counts = counted(kinds).groupBy("gram").agg(*(F.sum(F.when(F.col("id") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
+    counts = scratch.keep(counts)
+    out = wanted.withColumns({f"p{k}": F.lit(1.0 / SYMBOLS) for k in (0, 1)})
+    symbol = F.col("gram") % SYMBOLS
+    for order in range(ORDER + 1):
+        context = F.shiftright("gram", 6 * (ORDER + 1 - order))
+        cells = counts.groupBy(context.alias("context"), symbol.alias("symbol")).agg(*(F.sum(f"n{k}").alias(f"c{k}") for k in (0, 1)))
+        sums = counts.groupBy(context.alias("context")).agg(*(F.sum(f"n{k}").alias(f"s{k}") for k in (0, 1)))
+        if order <= SMALL:
+            cells, sums = F.broadcast(cells), F.broadcast(sums)
+        out = out.withColumns({"context": context, "symbol": symbol}).join(sums, "context", "left").join(cells, ["context", "symbol"], "left").fillna(0, ["c0", "c1", "s0", "s1"])
+        out = out.select("gram", "df", *(((F.col(f"c{k}") + WEIGHT * F.col(f"p{k}")) / (F.col(f"s{k}") + WEIGHT)).alias(f"p{k}") for k in (0, 1)))
+    return out.select("gram", "df", F.round((F.log("p0") - F.log("p1")) * UNIT).cast("long").alias("r"))
+
+
+def scored(urls: DataFrame, labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds score to urls (url, ...): the mean log-likelihood ratio per character, above 0 where accepted ones are likelier; 0 for no text."""
+    distinct = scratch.keep(urls.select("url").filter("url != ''").distinct().withColumn("id", F.monotonically_increasing_id()))
+    found = scratch.keep(counted(distinct.select("id", "url")))
+    known = scratch.keep(ratios(labelled, found.groupBy("gram").agg(F.count("*").alias("df")), scratch))
+    # Grams of very many URLs would each land in one task.
+    often = 1 + found.count() // HOT
+    hot = known.filter(F.col("df") > often).select("gram", "r")
+    rare = found.join(F.broadcast(hot.select("gram")), "gram", "left_anti").join(known.filter(F.col("df") <= often).select("gram", "r"), "gram")
+    both = found.join(F.broadcast(hot), "gram").select("id", "n", "r").unionByName(rare.select("id", "n", "r"))
+    means = both.groupBy("id").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n") / UNIT).alias("score"))
+    return urls.join(distinct.join(means, "id").select("url", "score"), "url", "left").fillna(0.0, ["score"])
+
+
+def threshold(held: DataFrame) -> float:
+    """From scored examples (rule_verdict, score): where as large a share of accepted as of rejected ones lies on the wrong side.
+
+    The driver gets 2 * 2,001 sums; without examples of both kinds it is 0.
+    """
+    step = F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2), F.floor(F.col("score") * 100)))
+    sums = {(r[0], r[1]): r[2] for r in held.groupBy("rule_verdict", step.alias("bin")).count().collect()}
+    bins = np.arange(-BINS // 2, BINS // 2 + 1)
+    allow, block = (np.array([sums.get((k, int(b)), 0) for b in bins], float) for k in ("allow", "block"))
+    if not (allow.sum() and block.sum()):
+        return 0.0
+    lost = np.concatenate([[0], np.cumsum(allow)]) / allow.sum()
+    let = 1 - np.concatenate([[0], np.cumsum(block)]) / block.sum()
+    # Of equally good thresholds the middle one.
+    worse = np.maximum(lost, let)
+    best = np.flatnonzero(worse <= worse.min() + 1e-12)
+    return float((bins[0] + (best[0] + best[-1]) / 2) / 100)
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, scratch: Scratch | None = None) -> DataFrame:
@@ -167,9 +166,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, scr
     """
     scratch = scratch or Scratch(pages.sparkSession, "urls")
     named = ruled(pages.select("page_id", "url"), rules)
-    model = train(named.filter("rule is not null").select("url", "rule_verdict"))
-    judged = scored(named, model)
-    own = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
+    # Every fifth example, by a hash, isn't learned from and sets the threshold.
+    held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    judged = scratch.keep(scored(named, named.filter(F.col("rule").isNotNull() & ~held), scratch))
+    limit = threshold(judged.filter(F.col("rule").isNotNull() & held))
+    own = F.when(F.col("score") >= limit, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "score")
 
 
