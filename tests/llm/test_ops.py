@@ -392,3 +392,18 @@ def test_url_scores_equal_a_model_of_all_contexts(spark):
                     p = (counts.get((kind, x, c), 0) + weight * p) / (counts.get((kind, x), 0) + weight)
                 total += sign * float(np.log(p))
         assert abs(got[t] - total / len(t)) < 1e-7
+
+
+def test_language_id_rejects_what_it_never_learned():
+    rnd = random.Random(17)
+
+    def text(letters, n=40):
+        return " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(n))
+
+    kinds = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
+    rows = [(text(kinds[k]), k) for k in (rnd.choice(list(kinds)) for _ in range(1000))]
+    model = langid.train(rows[:600])
+    clean = model.predict([t for t, _ in rows[600:]])[2]
+    unseen = model.predict([text("абвгдежз") for _ in range(100)])[2]
+    junk = model.predict([text("abcdefghijklmnopqrstuvwx") for _ in range(100)])[2]
+    assert clean.mean() <= 0.01 and unseen.mean() >= 0.95 and junk.mean() >= 0.95

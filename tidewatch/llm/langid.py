@@ -101,6 +101,20 @@ class Model:
         return [self.labels[b] if k else UNKNOWN for b, k in zip(best, known)], score, ~known | (score < self.threshold)
 
 
+def lowest(right: np.ndarray) -> float:
+    """The probability that all but LOST of rightly named texts reach, from their sorted probabilities.
+
+    Of fewer than 1 / LOST texts the lowest can't tell: the log-odds' lower tail is carried on
+    as an exponential one, through the median and the lowest.
+    """
+    n = len(right)
+    if n * LOST >= 1:
+        return float(right[int(LOST * n)])
+    odds = np.log(right + 1e-12) - np.log1p(1e-12 - right)
+    slope = (np.median(odds) - odds[0]) / np.log(max(n, 4) / 2)
+    return float(1 / (1 + np.exp(slope * -np.log(n * LOST) - odds[0])))
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model of (text, language) rows; every CALIBRATION-th row calibrates it."""
     labels = sorted({lang for _, lang in rows})
@@ -148,8 +162,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         model.temperature = float(min(temperatures, key=lambda t: -(sure * np.log(softmax(z / t) + 1e-12)).sum()))
         p = softmax(z / model.temperature)
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-        # Below what LOST of the rightly named texts reach, and never above an even guess.
-        model.threshold = min(float(right[int(LOST * len(right))]), 1.0 / len(labels) + 0.05) if len(right) else 0.0
+        model.threshold = lowest(right) if len(right) else 0.0
     return model
 
 
