@@ -407,3 +407,17 @@ def test_language_id_rejects_what_it_never_learned():
     unseen = model.predict([text("абвгдежз") for _ in range(100)])[2]
     junk = model.predict([text("abcdefghijklmnopqrstuvwx") for _ in range(100)])[2]
     assert clean.mean() <= 0.01 and unseen.mean() >= 0.95 and junk.mean() >= 0.95
+
+
+def test_token_files_edges(spark):
+    kept = Scratch(spark, "files-edges")
+    tokenfiles.write_token_files(docs(spark, EDGE), f"{kept.base}/a")
+    got = tokenfiles.document_digests(tokenfiles.read_token_files(spark, f"{kept.base}/a")).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in EDGE)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert min(got, key=lambda r: r.start).doc_id is None and {r.doc_id: r.n_tokens for r in got}[1] == 1
+    tokenfiles.write_token_files(docs(spark, EDGE).limit(0), f"{kept.base}/b")
+    assert tokenfiles.document_digests(tokenfiles.read_token_files(spark, f"{kept.base}/b")).collect() == []

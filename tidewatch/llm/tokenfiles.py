@@ -35,7 +35,7 @@ PERCENTILE = 0.9
 SEGMENT, CACHE = 1 << 17, 400_000
 #: Between a letter or digit and a stop or comma a byte-level tokenizer cuts; the mark starts a piece with no space before it.
 STOP, MARK = re.compile(r"(?<=[^\W_])(?=[.,])"), "\0"
-MAGIC, HEAD = b"PFR1", struct.Struct("<4sIQI")
+MAGIC, HEAD = b"PFR2", struct.Struct("<4sIQI")
 END_ID = 2
 
 
@@ -58,8 +58,8 @@ def unpack(raw: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(spread.reshape(len(raw), -1), axis=1).view(kind).astype(np.uint32).reshape(len(raw), BLOCK)
 
 
-def write_segment(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
-    """A segment's bytes: head, documents, block starts, blocks."""
+def write_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+    """A segment's bytes: head, documents (ids, lengths, a bit each for a null id), block starts, blocks."""
     n = len(ids)
     count = -(-n // BLOCK)
     filled = np.empty(count * BLOCK, np.uint32)
@@ -88,19 +88,23 @@ def write_segment(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> by
         at = start[b] + 6 + 16 * int(width[b])
         body[at : at + len(where)] = where
         body[at + len(where) : at + 5 * len(where)] = rest[b, where].astype("<u4").view(np.uint8)
-    return b"".join([HEAD.pack(MAGIC, len(doc_ids), n, count), np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<u8").tobytes(), start.astype("<u8").tobytes(), body.tobytes()])
+    return b"".join([HEAD.pack(MAGIC, len(doc_ids), n, count), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u8").tobytes(), np.packbits([d is None for d in doc_ids]).tobytes(), start.astype("<u8").tobytes(), body.tobytes()])
 
 
 def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, lengths and ids of a segment."""
+    """doc_ids (masked where null), lengths and ids of a segment."""
     magic, n_docs, n, count = HEAD.unpack_from(raw)
     if magic != MAGIC:
         raise ValueError("not a segment of token ids")
     at = HEAD.size
     doc_ids = np.frombuffer(raw, "<i8", n_docs, at)
     lengths = np.frombuffer(raw, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
-    start = np.frombuffer(raw, "<u8", count + 1, at + 16 * n_docs).astype(np.int64)
-    body = np.frombuffer(raw, np.uint8, int(start[-1]), at + 16 * n_docs + 8 * (count + 1))
+    null = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n_docs // 8), at + 16 * n_docs), count=n_docs).astype(bool)
+    if null.any():
+        doc_ids = np.ma.masked_array(doc_ids, null)
+    at += 16 * n_docs + -(-n_docs // 8)
+    start = np.frombuffer(raw, "<u8", count + 1, at).astype(np.int64)
+    body = np.frombuffer(raw, np.uint8, int(start[-1]), at + 8 * (count + 1))
     ids = np.empty((count, BLOCK), np.uint32)
     if count:
         head = body[start[:-1][:, None] + np.arange(6)]
@@ -118,7 +122,7 @@ def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def read_block(raw: bytes, number: int) -> np.ndarray:
     """One block's ids, found by the index of block starts; the last block is filled up with its last id."""
     _, n_docs, _, count = HEAD.unpack_from(raw)
-    at = HEAD.size + 16 * n_docs
+    at = HEAD.size + 16 * n_docs + -(-n_docs // 8)
     first, last = np.frombuffer(raw, "<u8", 2, at + 8 * number).astype(np.int64)
     block = raw[at + 8 * (count + 1) + first : at + 8 * (count + 1) + last]
     low, width, k = struct.unpack_from("<IBB", block)
@@ -198,7 +202,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
 
     Shards follow each other in doc_id order, as do segments in a shard. shard_start is a
     segment's place in its shard. A null or empty text has the end id only; rows of equal
-    doc_id follow each other by text. A worker holds one segment and 128 texts.
+    doc_id follow each other by text, those of null doc_id stand first. A worker holds one segment and 128 texts.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
