@@ -54,6 +54,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.count = 0
+        self.kept: list[tuple[DataFrame, str]] = []
         atexit.register(delete, spark, self.base)
 
     def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -68,13 +69,14 @@ class Scratch:
         path = f"{self.base}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        back._scratch_path = path
+        self.kept.append((back, path))
         return back
 
     def drop(self, *frames: DataFrame) -> None:
         """Removes tables of keep() that nothing reads any more."""
-        for frame in frames:
-            delete(self.spark, frame._scratch_path)
+        for frame, path in [k for k in self.kept if any(k[0] is f for f in frames)]:
+            delete(self.spark, path)
+            self.kept = [k for k in self.kept if k[0] is not frame]
 
 
 def word_count(text):
@@ -86,10 +88,10 @@ def word_count(text):
 BROADCAST_IDS = 1_000_000
 
 
-def among(frame: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def among(frame: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
     """The rows of frame whose value of on is in ids (left_anti: isn't), a written table of distinct longs.
 
-    Ids that a count proves few are broadcast, so that frame isn't shuffled; more are joined.
+    Ids that a count proves to be most of them or fewer are broadcast, so that frame isn't shuffled; more are joined.
     """
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = ids.limit(most + 1).count() <= most
     return frame.join(F.broadcast(ids) if few else ids, on, how)

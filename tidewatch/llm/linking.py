@@ -1,25 +1,25 @@
 """Components of linked items, from buckets of candidates, without all pairs of a bucket.
 
-`link()` compares each item with its buckets' hubs first, joins what is linked, and goes
-on only in buckets whose items are still in more than one component. There, items outside
-of a bucket's largest component are compared with all items of other components, some
-hundreds of pivots in a round, until none is left. So every pair that shares a bucket is
-compared, unless its items are already known to be in one component.
+`link()` compares each item with its buckets' hubs first and joins what is linked. Buckets
+whose items are in one component are done and leave. Of the others, items leave that have
+too much of their own to be linked with anything. What stays is compared in rounds: a
+bucket's pivots, items outside of its largest component, with the bucket's items of other
+components, until every pair that shares a bucket has been compared or is in one component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Items of a bucket, outside of its largest component, that a round compares with the rest of the bucket: few at
-#: first, as what they join needn't be compared any more; the last number holds for all further rounds.
-PIVOTS = [4, 16, 64, 256]
-#: Times that nodes without hope are taken out, each of which can leave more.
+#: Pivots of a bucket in the first round after its hub's, twice as many in each further one; small buckets take as
+#: many as make so many pairs.
+PIVOTS, PAIRS = 64, 1 << 18
+#: Times that items are looked through for those with too much of their own, each of which can leave more.
 PEELS = 4
 
 
@@ -31,7 +31,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     kept = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     rows = kept.count()  # a large or small star has no more edges than there were
-    while True:
+    while rows:
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -47,7 +47,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return kept.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
 
 
-def hopeless(percent: int):
+def hopeless(percent: int) -> Column:
     """Whether a set of size elements, own of them its own, can't be similar to any other of size least or more.
 
     With m elements shared at most, the similarity to a set of b is at most m / (b + size - m).
@@ -56,117 +56,95 @@ def hopeless(percent: int):
     return 100 * (F.col("size") - F.col("own")) < percent * (least + F.col("own"))
 
 
-def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], scratch: Scratch, prune=None, unique: bool = False, own=None, percent: int | None = None, prepare=None) -> DataFrame:
+def open_buckets(members: DataFrame) -> DataFrame:
+    """members (key, c, size, ...) of buckets of more than one component c, with the least size of each bucket."""
+    several = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("size").alias("least")).filter("c0 < c1")
+    return members.join(several.select("key", "least"), "key")
+
+
+def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], own: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(node, component) of all nodes that compare() links with another node of a bucket.
 
-    buckets: (key, node, size) with several rows for a node; compare: from pairs (a, b)
-    to those that are linked; prune: a condition on columns size_a and size_b that a
-    linked pair meets. component is the smallest node that can be reached. unique: no row
-    is there twice and no key is hot, so rows are dealt by key once. own: from nodes to
-    (node, own), how many elements of a node no other of them has; percent: the least
-    similarity of a link, by which nodes and pairs with too much of their own are left out of
-    the rounds of pivots. prepare:
-    called once with the nodes of buckets of two and more, before anything is compared.
+    buckets: (key, node, size), with several rows for a node, which is a set of size elements.
+    compare: from distinct pairs (a, b), a < b, to those that are linked, which must not be
+    below percent hundredths in similarity. own: from a table of nodes to (node, own), how
+    many elements of a node none of the others has. prepare: called once with the nodes of
+    buckets of two and more. component is the smallest node that can be reached.
     """
-    if unique:
-        buckets = buckets.repartition("key")
-        counted = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("size").alias("largest")).filter("n > 1 and largest > 0")
-        members = scratch.keep(buckets.join(counted.select("key", "hub"), "key"))
-    else:
-        buckets = scratch.keep(buckets.distinct())
-        counted = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("hub")).filter("n > 1")
-        members = scratch.keep(buckets.join(counted.select("key", "hub"), "key"))
-        scratch.drop(buckets)
+    ends = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("size", "node").alias("hub_size")).filter("hub < last")
+    members = scratch.keep(buckets.join(ends.select("key", "hub", "hub_size"), "key").distinct())
     if prepare is not None:
         prepare(scratch.keep(members.select("node").distinct()))
-    sizes = members.groupBy("node").agg(F.first("size").alias("size"))
-
-    def pruned(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, size_a, size_b), each once and in order."""
-        pairs = pairs.filter("a != b") if prune is None else pairs.filter("a != b").filter(prune)
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    hub_sizes = sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b"))
-    shared = members.filter("node != hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n"), F.first("size").alias("size_a"))
-    stars = shared.join(hub_sizes, "b") if prune is None else shared.join(hub_sizes, "b").filter(prune)
-    stars = scratch.keep(stars.select("a", "b", "n"))
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    seen = scratch.keep(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = scratch.keep(components(compare(seen), scratch), 2 * seen.count())
-
-    def labelled(frame: DataFrame, node: str, label: str) -> DataFrame:
-        names = found.select(F.col("node").alias(node), F.col("component").alias(label))
-        return frame.join(names, node, "left").withColumn(label, F.coalesce(label, node))
-
-    nodes = sizes.count()
-
-    def merged(pairs: DataFrame) -> None:
-        """Compares pairs and joins the components of those that are linked."""
-        nonlocal found
-        linked = labelled(labelled(compare(pairs), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a != b")
-        linked = scratch.keep(linked.distinct(), nodes)
-        if linked.isEmpty():
-            return
-        over = components(linked, scratch).select(F.col("node").alias("component"), F.col("component").alias("over"))
-        # Roots that were alone until now are new nodes.
-        known = found.unionByName(over.select(F.col("component").alias("node"), "component")).distinct()
-        found = scratch.keep(known.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")), nodes)
-
-    # The other hubs of an item, where they are in another component.
-    rest = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-    rest = scratch.keep(labelled(labelled(rest, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b"), stars.count())
-    if not rest.isEmpty():
-        merged(rest)
-    seen = seen.unionByName(rest)
-    for _ in range(PEELS if own is not None else 0):
-        # In buckets of more than one component, nodes leave that have too much of their own.
-        here = labelled(members.select("key", "node", "size"), "node", "c")
-        mixed = here.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("size").alias("least")).filter("c0 != c1").select("key", "least")
-        mixed = scratch.keep(members.select("key", "node", "size").join(mixed, "key"))
-        ids = scratch.keep(mixed.select("node").distinct())
-        members = scratch.keep(mixed.join(own(ids), "node").filter(~hopeless(percent)).select("key", "node", "size", "own"))
-        if members.count() <= 0.9 * mixed.count():
-            continue
-        # The node with the least of its own is likely what the others are copies of: one more hub.
-        hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "size"), F.struct("own", "node")).alias("hub"))
-        pairs = members.join(hubs, "key").select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("hub.node").alias("b"), F.col("hub.size").alias("size_b"))
-        pairs = labelled(labelled(pruned(pairs).join(seen, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca != cb")
-        pairs = scratch.keep(pairs.select("a", "b"))
-        if not pairs.isEmpty():
-            merged(pairs)
-            seen = seen.unionByName(pairs)
-        break
-    done, turn = None, 0
-    if "own" not in members.columns:
-        members = members.withColumn("own", F.lit(0))
-    # Two sets share what neither has for itself, at most.
+
+    # The hub that an item meets in most buckets.
+    near = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+    stars = members.filter("node > hub").filter(near).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    best = scratch.keep(stars.groupBy("b").agg(F.max_by("a", ranked("n", "a")).alias("a")).select("a", "b"))
+    labels = scratch.keep(components(compare(best), scratch).withColumnRenamed("component", "c"))
+    here = members.select("key", "node", "size").join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    state = scratch.keep(open_buckets(here))
+    scratch.drop(members)
+
+    rows = state.count()
+    for _ in range(PEELS if rows else 0):
+        # An item is linked with items of an open bucket only, or with such as are in its component already.
+        counted = own(scratch.keep(state.select("node").distinct()))
+        less = scratch.keep(open_buckets(state.drop("own").join(counted, "node").filter(~hopeless(percent)).drop("least")))
+        scratch.drop(state)
+        before, state, rows = rows, less, less.count()
+        if rows > 0.8 * before or not rows:
+            break
+    joined = compared_in_rounds(state, compare, percent, scratch) if rows else None
+    if joined is None:
+        return labels.withColumnRenamed("c", "component")
+    # Labels that are joined, and items that had no label until then.
+    over = scratch.keep(components(joined, scratch).withColumnsRenamed({"node": "c", "component": "over"}))
+    known = labels.unionByName(over.select(F.col("c").alias("node"), "c")).distinct()
+    return known.join(over, "c", "left").select("node", F.coalesce("over", "c").alias("component"))
+
+
+def ranked(first: str, then: str) -> Column:
+    """Orders by first, a count, and by a hash of then among equals."""
+    return F.shiftleft(F.col(first).cast("long"), 32) + F.pmod(F.xxhash64(then), F.lit(1 << 32))
+
+
+def compared_in_rounds(state: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame | None:
+    """(a, b): which components of open buckets (key, node, size, own, c) are joined by links; None if there are none."""
+    # A pair is compared in the first bucket that its items share. An item is in no more buckets than it has bands.
+    keys = state.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    state = scratch.keep(state.select("key", "node", "size", "own", "c").join(keys, "node").withColumn("done", F.lit(False)))
     most = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b"))
+    similar = 100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)
+    nearest = F.min_by("node", ranked("own", "node"))
+    joined, turn = None, 0
     while True:
-        pivots, turn = PIVOTS[min(turn, len(PIVOTS) - 1)], turn + 1
-        here = labelled(members.select("key", "node", "size", "own"), "node", "c")
-        parts = here.groupBy("key", "c").agg(F.count("*").alias("n"))
-        parts = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most")
-        here = here.join(parts.select("key", "main"), "key")
-        outside = here.filter("c != main")
-        if done is not None:
-            outside = outside.join(done, ["key", "node"], "left_anti")
-        left = scratch.keep(outside.groupBy("key").agg(F.count("*").alias("left")), nodes)
-        if left.isEmpty():
-            break
-        chosen = outside.join(left, "key").filter(F.pmod(F.xxhash64("node", "key", "left"), F.ceil(F.col("left") / pivots)) == 0)
-        # A round always takes some: the item of the least own elements in a bucket joins those that the hash has chosen.
-        chosen = chosen.select("key", "own", "node", "size", "c").unionByName(outside.groupBy("key").agg(F.min(F.struct("own", "node", "size", "c")).alias("x")).select("key", "x.*")).distinct()
-        chosen = scratch.keep(chosen)
-        pairs = chosen.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("own").alias("own_a"), F.col("c").alias("ca"))
-        others = here.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"), F.col("c").alias("cb"))
-        pairs = pairs.join(others, "key").filter("ca != cb")
-        if percent is not None:
-            pairs = pairs.filter(100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
-        # A pair may come a second time, when its other item is the pivot, if it still isn't of one component.
-        pairs = scratch.keep(pruned(pairs))
-        if not pairs.isEmpty():
-            merged(pairs)
-        scratch.drop(pairs)
-        step = chosen.select("key", "node")
-        done = step if done is None else scratch.keep(done.unionByName(step))
-    return found
+        if not turn:
+            # The item with the least of its own is likely what others are copies of.
+            pivots = state.groupBy("key").agg(nearest.alias("node"))
+            chosen = state.join(pivots, ["key", "node"], "left_semi")
+        else:
+            parts = state.groupBy("key", "c").agg(F.count("*").alias("n"))
+            parts = parts.groupBy("key").agg(F.max_by("c", ranked("n", "c")).alias("main"), F.sum("n").alias("all"))
+            outside = state.filter("not done").join(parts, "key").filter("c != main")
+            left = outside.groupBy("key").agg(F.count("*").alias("left"), nearest.alias("pivot"), F.greatest(F.lit(PIVOTS << turn - 1), F.floor(PAIRS / F.first("all"))).alias("take"))
+            # Some of a bucket are taken in any case.
+            taken = (F.col("node") == F.col("pivot")) | (F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("left") / F.col("take"))) == 0)
+            chosen = outside.join(left, "key").filter(taken)
+        turn += 1
+        chosen = scratch.keep(chosen.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "own", "c", "keys"))))
+        if chosen.isEmpty():
+            return joined
+        others = state.select(F.col("key").alias("k"), *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "own", "c", "keys")))
+        here = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+        pairs = chosen.join(others, (F.col("key") == F.col("k")) & (F.col("c_a") != F.col("c_b")) & similar & here)
+        in_order = F.col("node_a") < F.col("node_b")
+        pairs = pairs.select(*(F.when(in_order, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(n) for x, n in (("node", "a"), ("c", "ca"))), *(F.when(in_order, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")).alias(n) for x, n in (("node", "b"), ("c", "cb"))))
+        pairs = scratch.keep(pairs.distinct())
+        state = state.join(chosen.select("key", F.col("node_a").alias("node"), F.lit(True).alias("now")), ["key", "node"], "left").withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now")
+        met = None if pairs.isEmpty() else scratch.keep(compare(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if met is not None and not met.isEmpty():
+            over = components(met, scratch).select(F.col("node").alias("c"), F.col("component").alias("over"))
+            state = state.join(over, "c", "left").withColumn("c", F.coalesce("over", "c")).drop("over")
+            joined = met if joined is None else joined.unionByName(met)
+        state = scratch.keep(open_buckets(state).drop("least"))
+        scratch.drop(chosen, pairs)

@@ -160,15 +160,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         scratch.drop(texts)
         return found
 
-    smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-
     def own(ids: DataFrame) -> DataFrame:
         """How many shingles of each document no other of them has."""
         texts = among(docs.withColumnRenamed("doc_id", "node").filter("text is not null"), ids, "node").dropDuplicates(["node"])
         alone = texts.mapInArrow(_shingle_rows, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
         return ids.join(alone.groupBy("node").agg(F.count("*").alias("own")), "node", "left").fillna(0, ["own"])
 
-    found = link(buckets, compare, scratch, prune=100 * smaller >= percent * larger, own=own, percent=percent)
+    found = link(buckets, compare, own, percent, scratch)
     # A link of two documents is one of their classes.
     named = classes.join(found, "node").select("set_hash", F.col("component"))
     named = classes.select("set_hash", "node").join(named, "set_hash", "left").select("set_hash", F.coalesce("component", "node").alias("component"))

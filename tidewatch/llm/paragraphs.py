@@ -89,11 +89,14 @@ def cut(raws: list[bytes], radius: int = RADIUS) -> tuple[np.ndarray, ...]:
     return own, start[first] - begin[own], end[last] - begin[own], words, values, offsets
 
 
-def set_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One hash of each set: sums of two mixes of its members, and its size."""
-    a = np.add.reduceat(mixed(values * np.uint64(BASE)), offsets[:-1]) if len(values) else np.zeros(0, np.uint64)
-    b = np.add.reduceat(mixed(values ^ np.uint64(SHORT)), offsets[:-1]) if len(values) else np.zeros(0, np.uint64)
-    return mixed(a ^ mixed(b + np.diff(offsets).astype(np.uint64))).view(np.int64)
+def set_ids(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, which is equal where both are: sums of mixes of its members, and its size."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = np.diff(offsets).astype(np.uint64)
+    a = np.add.reduceat(mixed(values * np.uint64(BASE)), offsets[:-1]) + mixed(size)
+    b = np.add.reduceat(mixed(values ^ np.uint64(SHORT)), offsets[:-1]) + size
+    return mixed(a).view(np.int64), mixed(b).view(np.int64)
 
 
 def least_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,22 +104,34 @@ def least_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
 
     Sets of similarity t share at least ceil(t n) members of either's n. Leaving out so many
     less one of the largest, two such sets have a smallest shared one among what is left of
-    both: no pair from percent on is without a band in common.
+    both: no pair from percent on is without a band in common. So small a set that one
+    element more or less is too much has none, as it's linked with no other set.
     """
     size = np.diff(offsets)
-    kept = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+    alone = (100 * (size - 1) < percent * size) & (100 * size < percent * (size + 1))
+    kept = np.where(alone, 0, size - -(-percent * size // 100) + 1)
     ends = np.concatenate([[0], np.cumsum(kept)])
     at = np.repeat(offsets[:-1] - ends[:-1], kept) + np.arange(ends[-1])
     return (values[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), ends
 
 
-def paragraphs(docs: DataFrame, with_bands: bool = False, with_sets: bool = False, percent: int = PERCENT) -> DataFrame:
-    """(set_id, doc_id, start, end, words) of all paragraphs, in bytes of UTF-8 and words before it.
+SET = ["set_id", "set_check"]
+PLACE_COLUMNS = "set_id long, set_check long, doc_id long, place int, start int, end int, words int"
+BAND_COLUMNS = "set_id long, set_check long, doc_id long, size int, keys array<int>"
+MEMBER_COLUMNS = "set_id long, set_check long, members array<long>"
 
-    start and end are bytes; place is the number of paragraphs before it in its document.
-    with_bands adds size and the bands' keys; with_sets gives set_id and members only.
+
+def paragraphs(docs: DataFrame, columns: str, percent: int = PERCENT) -> DataFrame:
+    """All paragraphs of docs (doc_id, text), with one of the sets of columns above.
+
+    set_id and set_check name the set of shingles, members. start and end are bytes of UTF-8,
+    place is the number of paragraphs before it in its document. size is that of the set,
+    keys are its bands.
     """
-    schema = "set_id long, members array<long>" if with_sets else "set_id long, doc_id long, place int, start int, end int, words int" + ", size int, keys array<int>" * with_bands
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,21 +139,20 @@ def paragraphs(docs: DataFrame, with_bands: bool = False, with_sets: bool = Fals
             for raws in batched(batch.column(1).to_pylist()):
                 own, first, end, words, values, offsets = cut(raws)
                 if len(own):
-                    sets = set_ids(values, offsets)
-                    if with_sets:
-                        members = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-                        yield pa.RecordBatch.from_arrays([pa.array(sets), members], ["set_id", "members"])
+                    found = dict(zip(SET, map(pa.array, set_ids(values, offsets))))
+                    if "members" in names:
+                        found["members"] = lists(values.view(np.int64), offsets)
                     else:
+                        found["doc_id"] = pa.array(ids[at : at + len(raws)][own])
+                    if "keys" in names:
+                        found |= {"size": pa.array(np.diff(offsets).astype(np.int32)), "keys": lists(*least_keys(values, offsets, percent))}
+                    elif "place" in names:
                         place = np.arange(len(own)) - np.searchsorted(own, own)
-                        columns = [sets, ids[at : at + len(raws)][own], *(x.astype(np.int32) for x in (place, first, end, words))]
-                        columns = [pa.array(c) for c in columns]
-                        if with_bands:
-                            keys, ends = least_keys(values, offsets, percent)
-                            columns += [pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys))]
-                        yield pa.RecordBatch.from_arrays(columns, ["set_id", "doc_id", "place", "start", "end", "words", "size", "keys"][: len(columns)])
+                        found |= {n: pa.array(x.astype(np.int32)) for n, x in (("place", place), ("start", first), ("end", end), ("words", words))}
+                    yield pa.RecordBatch.from_arrays([found[n] for n in names], names)
                 at += len(raws)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null").mapInArrow(made, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null").mapInArrow(made, columns)
 
 
 def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap: int = GAP, scratch: Scratch | None = None) -> DataFrame:
@@ -149,17 +163,19 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
     run repeated words are left out. Spans hold repeated paragraphs only, never a gap.
     """
     scratch = scratch or Scratch(docs.sparkSession, "paragraphs")
-    found = paragraphs(docs, with_bands=True, percent=percent)
-    head = F.min(F.struct("doc_id", "place")).alias("head")
-    classes = scratch.keep(found.groupBy("set_id").agg(head, F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    buckets = classes.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("set_id").alias("node"), "size")
+    # Size and keys follow from the set; as grouping columns they need no sort.
+    found = paragraphs(docs, BAND_COLUMNS, percent).groupBy(*SET, "size", "keys").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    classes = scratch.keep(found.withColumn("node", F.monotonically_increasing_id()))
+    buckets = classes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "size")
 
     sets = None
 
-    def prepare(ids: DataFrame) -> None:
+    def prepare(nodes: DataFrame) -> None:
         nonlocal sets
-        found = paragraphs(docs, with_sets=True).withColumnRenamed("set_id", "node")
-        sets = scratch.keep(among(found, ids, "node").groupBy("node").agg(F.first("members").alias("members")))
+        named = scratch.keep(classes.select(*SET, "node").join(nodes, "node"))
+        found = among(paragraphs(docs, MEMBER_COLUMNS), named.select("set_id").distinct(), "set_id")
+        # Texts may have a set many times; members follow from it.
+        sets = scratch.keep(found.join(named, SET).groupBy("node", "members").agg(F.lit(1)).select("node", "members"))
 
     def compare(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
@@ -172,16 +188,14 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
         alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
         return ids.join(alone.groupBy("node").agg(F.count("*").alias("own")), "node", "left").fillna(0, ["own"])
 
-    smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    near = link(buckets, compare, scratch, prune=100 * smaller >= percent * larger, unique=True, own=own, percent=percent, prepare=prepare)
-    # Classes that occur twice or are linked with others, and the first place of their component.
-    many = classes.select("set_id", "head", "n").join(near.withColumnRenamed("node", "set_id"), "set_id", "left").filter("n > 1 or component is not null")
-    many = scratch.keep(many.select("set_id", "head", F.coalesce("component", "set_id").alias("component")))
-    firsts = many.groupBy("component").agg(F.min("head").alias("first"))
-    named = scratch.keep(many.select("set_id", "component").join(firsts, "component").select("set_id", "component", F.col("first.doc_id").alias("first_doc")))
-    scratch.drop(classes)
-    few = named.count() <= FEW
-    places = paragraphs(docs).join(F.broadcast(named) if few else named, "set_id").filter("doc_id != first_doc")
+    near = link(buckets, compare, own, percent, scratch, prepare)
+    # Classes of several documents or linked with others, and the first document of their component.
+    many = classes.select(*SET, "node", "first_doc", "last_doc").join(near, "node", "left").filter("first_doc < last_doc or component is not null")
+    many = scratch.keep(many.select(*SET, "first_doc", "last_doc", F.coalesce("component", "node").alias("component")))
+    scratch.drop(classes, sets)
+    firsts = many.groupBy("component").agg(F.min("first_doc").alias("first"), F.max("last_doc").alias("last")).filter("first < last")
+    named = many.join(firsts, "component").select(*SET, "component", F.col("first").alias("first_doc"))
+    places = paragraphs(docs, PLACE_COLUMNS).join(named, SET).filter("doc_id != first_doc").drop(*SET)
     # Runs: a document's repeated paragraphs, in order; blocks: those of a run with nothing else in between.
     order = Window.partitionBy("doc_id").orderBy("place")
     placed = places.withColumn("gap", F.col("start") - F.lag("end").over(order)).withColumn("skip", F.col("place") - F.lag("place").over(order) - 1)
@@ -195,8 +209,6 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
     return blocks.withColumn("enough", enough).filter("enough").select("doc_id", "start", "end", "words", "first_doc", "component")
 
 
-#: Repeated classes that are broadcast at most, at 24 bytes each.
-FEW = 1_000_000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
