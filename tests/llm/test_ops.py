@@ -206,7 +206,7 @@ def test_language_id(spark):
     letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "éèüñàçöô"}
     rows = [(i, " ".join("".join(rnd.choice(letters[k]) for _ in range(5)) for _ in range(rnd.randint(3, 40))), k, "s", 0) for i, k in enumerate(rnd.choice(list(letters)) for _ in range(600))]
     table = spark.createDataFrame(rows, DOCS).withColumn("lang", F.when(F.col("doc_id") % 9 != 0, F.col("lang")))
-    model = langid.train(langid.training_rows(table))
+    model = langid.trained(table)
     out = {r.doc_id: r for r in langid.identify(table, model).collect()}
     held = [(i, k) for i, _, k, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(out[i].lang_pred == k for i, k in held) >= 0.98 * len(held)
@@ -214,7 +214,7 @@ def test_language_id(spark):
     assert len(edge) == len(EDGE) and {r.doc_id: r.lang_pred for r in edge}[1] == "und" and {r.doc_id: r.rejected for r in edge}[5]
     assert all(0 <= r.score <= 1 for r in [*edge, *out.values()])
     assert langid.identify(docs(spark, EDGE).limit(0), model).collect() == []
-    none = langid.train(langid.training_rows(table.limit(0)))
+    none = langid.trained(table.limit(0))
     assert {r.lang_pred for r in langid.identify(docs(spark, EDGE), none).collect()} == {"und"}
 
 
@@ -402,7 +402,7 @@ def test_language_id_rejects_what_it_never_learned():
 
     kinds = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
     rows = [(text(kinds[k]), k) for k in (rnd.choice(list(kinds)) for _ in range(1000))]
-    model = langid.train(rows[:600])
+    model = langid.train([(k, *c) for (_, k), c in zip(rows[:600], langid.counted([t for t, _ in rows[:600]]))])
     clean = model.predict([t for t, _ in rows[600:]])[2]
     unseen = model.predict([text("абвгдежз") for _ in range(100)])[2]
     junk = model.predict([text("abcdefghijklmnopqrstuvwx") for _ in range(100)])[2]

@@ -95,3 +95,12 @@ def among(frame: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", mos
     """
     few = ids.limit(most + 1).count() <= most
     return frame.join(F.broadcast(ids) if few else ids, on, how)
+
+
+#: Rows of a small table, of some tens of bytes each, that small() broadcasts at most.
+SMALL_ROWS = 100_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if a count proves it small."""
+    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table

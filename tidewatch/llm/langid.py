@@ -9,6 +9,7 @@ that the descent hasn't seen.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,13 +20,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import table
 from .shingles import BASE, mixed
 
 GRAMS, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 17, 16
-#: Labelled rows that training reads at most, by a hash of doc_id, and their longest text in bytes.
-SAMPLE, LONGEST = 6_000, 1 << 15
+#: Labelled rows that training takes at most, of all languages together and of one, by a hash of doc_id.
+SAMPLE, EACH = 6_000, 800
 #: One in so many sampled rows calibrates; passes over the others; step size; rows of a step.
 CALIBRATION, EPOCHS, RATE, BATCH = 5, 8, 1.0, 16
 #: Share of calibration texts, whose language is found, that rejection may lose.
@@ -115,45 +117,48 @@ def lowest(right: np.ndarray) -> float:
     return float(1 / (1 + np.exp(slope * -np.log(n * LOST) - odds[0])))
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model of (text, language) rows; every CALIBRATION-th row calibrates it."""
-    labels = sorted({lang for _, lang in rows})
+def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct buckets of each whole text's subwords and how often each occurs: BUCKETS of them at most."""
+    out = []
+    for at in range(0, len(texts), 64):
+        buckets, offsets = subwords([spelled(t) for t in texts[at : at + 64]])
+        out += [np.unique(buckets[a:b], return_counts=True) for a, b in zip(offsets[:-1], offsets[1:])]
+    return out
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
+    """A model of rows (language, buckets, counts), as counted() makes them; every CALIBRATION-th row calibrates it."""
+    labels = sorted({lang for lang, _, _ in rows})
     if not labels:
         return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
     names = {lang: k for k, lang in enumerate(labels)}
-    held = rows[::CALIBRATION] if len(rows) >= 10 * CALIBRATION else rows
-    used = [r for k, r in enumerate(rows) if k % CALIBRATION] if held is not rows else rows
+    shares = [(names[lang], b, (c / max(1, c.sum())).astype(np.float32)) for lang, b, c in rows]
+    held = shares[::CALIBRATION] if len(rows) >= 10 * CALIBRATION else shares
+    used = [r for k, r in enumerate(shares) if k % CALIBRATION] if held is not shares else shares
     rng = np.random.Generator(np.random.PCG64(seed))
     embed = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     weights, bias = np.zeros((DIMENSIONS, len(labels)), np.float32), np.zeros(len(labels), np.float32)
-    prepared = []
-    for at in range(0, len(used), 256):
-        buckets, offsets = subwords([spelled(t) for t, _ in used[at : at + 256]])
-        prepared += [np.unique(buckets[a:b], return_counts=True) for a, b in zip(offsets[:-1], offsets[1:])]
-    prepared = [(b, (c / max(1, c.sum())).astype(np.float32)) for b, c in prepared]
-    target = np.array([names[lang] for _, lang in used])
     steps, step = EPOCHS * -(-len(used) // BATCH), 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(used))
         for at in range(0, len(order), BATCH):
-            chosen = order[at : at + BATCH]
+            chosen = [used[i] for i in order[at : at + BATCH]]
             rate = RATE * (1 - step / steps)
             step += 1
-            mean = np.stack([prepared[i][1] @ embed[prepared[i][0]] for i in chosen])
+            mean = np.stack([share @ embed[b] for _, b, share in chosen])
             error = softmax(mean @ weights + bias).astype(np.float32)
-            error[np.arange(len(chosen)), target[chosen]] -= 1
+            error[np.arange(len(chosen)), [k for k, _, _ in chosen]] -= 1
             back = error @ weights.T
             weights -= rate / len(chosen) * (mean.T @ error)
             bias -= rate / len(chosen) * error.sum(axis=0)
-            for i, g in zip(chosen, back):
+            for (_, b, share), g in zip(chosen, back):
                 # A mean of n embeddings moves by 1/n of a step on each; the step is set on the mean.
-                share = prepared[i][1]
-                embed[prepared[i][0]] -= rate / len(chosen) / max(float(share @ share), 1e-9) * share[:, None] * g
+                embed[b] -= rate / len(chosen) / max(float(share @ share), 1e-9) * share[:, None] * g
     model = Model(labels, embed @ weights, bias.astype(np.float64))
-    known = [(t, lang) for t, lang in held if LETTER.search(t)]
+    known = [r for r in held if len(r[1])]
     if known:
-        z = np.concatenate([model.scores([spelled(t) for t, _ in known[i : i + 256]]) for i in range(0, len(known), 256)])
-        truth = np.array([names[lang] for _, lang in known])
+        z = np.stack([share.astype(np.float64) @ model.table[b] for _, b, share in known]) + model.bias
+        truth = np.array([k for k, _, _ in known])
         temperatures = np.geomspace(0.02, 20, 80)
         # Truth counts as sure up to one unseen error, so that texts without any error leave a temperature above 0.
         wrong = 1 / (len(truth) + 2)
@@ -170,16 +175,51 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most sample labelled rows that aren't held out, the same for equal tables."""
-    rows = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
+ROWS = "lang string, h long, doc_id long, buckets array<int>, counts array<int>"
+
+
+def training_rows(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> DataFrame:
+    """(lang, h, doc_id, buckets, counts) of labelled rows that aren't held out, the same ones for equal tables.
+
+    Of each language the each rows with the smallest hash h of doc_id, fewer if there are so
+    many languages that they were more than sample together. Texts are counted whole, on
+    executors.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    # Hashes alone are put in order; texts are read for those up to the last one that is taken.
-    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if last is None:
-        return []
-    chosen = rows.filter(F.col("h") <= last).select("h", "doc_id", "text", "lang").collect()
-    return [(r.text, r.lang) for r in sorted(chosen, key=lambda r: (r.h, r.doc_id, r.text))[:sample]]
+    each = max(2 * CALIBRATION, min(each, sample // max(1, rows.select("lang").distinct().count())))
+    # Hashes alone are put in order, by tasks first; texts are read for those up to a language's last one.
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    lasts = rows.select("lang", "h", "doc_id").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).groupBy("lang").agg(F.max("h").alias("last"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                found = counted(part.column(3).to_pylist())
+                lists = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["lang", "h", "doc_id", "buckets", "counts"])
+
+    # A row for each language is broadcast.
+    chosen = rows.join(F.broadcast(lasts), "lang").filter("h <= last").select("lang", "h", "doc_id", "text").mapInArrow(made, ROWS)
+    # Rows of one doc_id share a hash.
+    same = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("buckets", "counts"))
+    return chosen.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= each).drop("n")
+
+
+def trained(docs: DataFrame) -> Model:
+    """A model of docs (doc_id, text, lang), trained in one task: on a bounded sample, away from the driver."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            langs, hs, ids = (batch.column(k).to_pylist() for k in range(3))
+            lists = [[np.asarray(x.values) for x in batch.column(k)] for k in (3, 4)]
+            rows += zip(hs, ids, langs, *lists)
+        rows.sort(key=lambda r: (r[0], r[1], r[2], r[3].tobytes(), r[4].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2:] for r in rows]))], pa.binary())], ["model"])
+
+    found = training_rows(docs).coalesce(1).mapInArrow(made, "model binary").first()
+    return pickle.loads(found.model) if found else train([])
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
@@ -217,5 +257,5 @@ def chopped(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[pa.RecordBat
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, train(training_rows(docs)))
+    found = identify(docs, trained(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table, word_count
+from .common import Scratch, small, table, word_count
 
 #: Weights of sources in order, repeating; words of the mix by words of the corpus; most copies.
 WEIGHTS, SHARE, COPIES = (3.0, 1.0, 2.0), 1.5, 2.0
-#: Newton steps at most; a step changes no source's words by more than this share of its target at the end.
-STEPS, EXACT = 60, 1e-9
+#: Newton steps at most, of which the bracket's halvings alone are enough; each source's words then miss its target by this share at most.
+STEPS, EXACT = 120, 1e-9
 #: Steps of the shift that rounding is calibrated on.
 BINS = 1 << 14
 
@@ -53,12 +53,14 @@ def dual_multipliers(histogram: DataFrame, targets: DataFrame, scratch: Scratch)
     histogram: (source, size, n), the corpus by source and size. Solves for each source
     sum of n * size * rate = target by Newton steps, kept inside the bracket that earlier
     steps have found. Sizes are measured in the source's mean size. Sources at their limit
-    have no finite multiplier; theirs is null, which means the limit itself.
+    have no finite multiplier; theirs is null, which means the limit itself. A source that
+    no step brings to its target is an error.
     """
+    histogram = histogram.withColumnRenamed("source", "h")
     state = targets.select("source", "target", "source_size", "mean", F.lit(0.0).alias("multiplier"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(False).alias("done"))
     state = scratch.keep(state.filter("target < source_size * 2 and source_size > 0"))
     for _ in range(STEPS):
-        rows = histogram.join(state, histogram["source"].eqNullSafe(state["source"]) & ~state["done"]).drop(histogram["source"])
+        rows = histogram.join(small(state), F.col("h").eqNullSafe(F.col("source")) & ~F.col("done"))
         x = F.col("size") / F.col("mean")
         rate = tilted(F.col("multiplier"), x)
         sums = rows.groupBy("source").agg(F.sum(F.col("n") * F.col("size") * rate).alias("words"), F.sum(F.col("n") * F.col("size") * x * rate * (1 - rate / 2)).alias("slope")).withColumnRenamed("source", "s")
@@ -78,15 +80,15 @@ def dual_multipliers(histogram: DataFrame, targets: DataFrame, scratch: Scratch)
             )
         )
         if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select("source", "multiplier")
+            return state.select("source", "multiplier")
+    raise ArithmeticError(f"no multiplier after {STEPS} steps")
 
 
 def tilted(multiplier: Column, x: Column, most: float = COPIES) -> Column:
     return F.lit(most) / (1 + F.exp(F.least(F.lit(700.0), -multiplier * x)))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, scratch: Scratch | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, scratch: Scratch | None = None, with_source: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies and taken for each row of docs.
 
     docs: (doc_id, text, source). size is the words of the text, 0 for null; copies is 0, 1
@@ -95,6 +97,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     doc_id and size only, and rows that agree in both are rounded alike. Null sources are
     one source, after all others. Documents without words have copies by the same rule and
     take 0 words. An empty table gives an empty result; other columns are not looked at.
+    with_source adds the source to the result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     sized = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
@@ -108,7 +111,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 
     rate = F.when(F.col("multiplier").isNull(), F.lit(COPIES)).otherwise(tilted(F.col("multiplier"), F.col("size") / F.col("mean")))
     named = plan.withColumnRenamed("source", "s")
-    rated = sized.join(named, sized["source"].eqNullSafe(named["s"])).withColumn("rate", rate)
+    rated = sized.join(small(named), sized["source"].eqNullSafe(named["s"])).withColumn("rate", rate)
     # A hash of the document as a fraction; rate + fraction + shift is rounded down.
     fraction = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)
     rated = scratch.keep(rated.withColumn("level", F.col("rate") + fraction).select("doc_id", "source", "size", "source_size", "target", "rate", "level"))
@@ -123,7 +126,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     shift = turns.filter("sum <= target").groupBy("source").agg(F.max("at").alias("at"), (F.first("target") - F.max("sum")).alias("room"))
     every = turns.groupBy("source").agg((F.min("at") - 1).alias("least"), F.first("target").alias("goal")).withColumnRenamed("source", "s")
     shift = every.join(shift, every["s"].eqNullSafe(shift["source"]), "left").select("s", F.coalesce("at", "least").alias("at"), F.coalesce("room", "goal").alias("room"))
-    placed = rated.join(shift, rated["source"].eqNullSafe(shift["s"]), "left").drop("s")
+    placed = rated.join(small(scratch.keep(shift)), rated["source"].eqNullSafe(F.col("s")), "left").drop("s")
     turned = sum((F.when(F.ceil((c - F.col("level")) * BINS) <= F.col("at"), 1).otherwise(0) for c in (1, 2)), F.lit(0))
     placed = scratch.keep(placed.withColumn("copies", F.when(F.col("at").isNull(), whole).otherwise(turned).cast("long")))
     # What is left of a target goes to one more copy of single documents, at most one of each size, largest first.
@@ -133,9 +136,23 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     filled = F.aggregate("spare", start, lambda acc, x: F.when(x["size"] <= acc["room"], F.struct((acc["room"] - x["size"]).alias("room"), F.array_append(acc["more"], x).alias("more"))).otherwise(acc))
     more = listed.select("source", F.explode(filled["more"]).alias("x")).select(F.col("source").alias("s"), "x.size", "x.doc_id", F.lit(1).alias("more"))
     more = more.withColumnRenamed("size", "more_size").withColumnRenamed("doc_id", "more_id")
+    more = small(scratch.keep(more))
     placed = placed.join(more, (placed["doc_id"] == more["more_id"]) & (placed["size"] == more["more_size"]) & placed["source"].eqNullSafe(more["s"]), "left")
     placed = placed.withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
-    return placed.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.select("doc_id", *(["source"] if with_source else []), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs (doc_id, text, source, ...), each as often as the mix takes it: not, once or twice.
+
+    Copies follow from doc_id, source and size, so rows are found again by these three; other
+    columns pass through.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "mixing")
+    copies = mix_sources(docs, scratch=scratch, with_source=True).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
+    copies = scratch.keep(copies.withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"}))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
+    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
