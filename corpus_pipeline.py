@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import bpe_digests
 from tidewatch.llm.common import Scratch, among, table
-from tidewatch.llm.langid import identify, train, training_rows
+from tidewatch.llm.langid import identify, trained
 from tidewatch.llm.minhash import near_duplicates
-from tidewatch.llm.mixing import mix_sources
+from tidewatch.llm.mixing import mixed_documents
 from tidewatch.llm.paragraphs import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,8 +23,7 @@ PERCENT, BANDS, ROWS = 80, 50, 7
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with enough probability."""
-    model = train(training_rows(docs))
-    return identify(docs.select(*COLUMNS), model, keep=COLUMNS).filter("not rejected").select(*COLUMNS)
+    return identify(docs.select(*COLUMNS), trained(docs), keep=COLUMNS).filter("not rejected").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +47,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not, once or twice."""
-    scratch = Scratch(spark, "mixing-stage")
-    mixed = mix_sources(docs, scratch=scratch)
-    copies = scratch.keep(mixed.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")))
-    copies = copies.withColumnRenamed("doc_id", "_id")
-    named = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["_id"]))
-    return named.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*COLUMNS)
+    return mixed_documents(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
