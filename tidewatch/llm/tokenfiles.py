@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .bpe import byte_letters
 from .common import Scratch, table
 
 BLOCK = 128
@@ -33,8 +34,10 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: Ids after which a segment is closed; encoded pieces that a worker keeps, and as many again of those used before.
 SEGMENT, CACHE = 1 << 17, 400_000
-#: Between a letter or digit and a stop or comma a byte-level tokenizer cuts; the mark starts a piece with no space before it.
-STOP, MARK = re.compile(r"(?<=[^\W_])(?=[.,])"), "\0"
+#: The longest piece that is kept.
+LONGEST = 64
+#: Latin letters.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 MAGIC, HEAD = b"PFR2", struct.Struct("<4sIQI")
 END_ID = 2
 
@@ -136,8 +139,10 @@ class Encoder:
     """The tokenizers library over whole texts, with what it made of each piece kept.
 
     A byte-level tokenizer always cuts before a space or a line feed that stands between
-    two characters that aren't white space. So a text's ids are those of its pieces; texts
-    with other white space, or with a special token's string, go to the library whole.
+    two characters that aren't white space, and between a letter and a stop or comma. So a
+    text's ids are those of its pieces; texts with other white space, or with a special
+    token's string, go to the library whole. A piece of letters is one word for the
+    library's model, which is asked for it without cutting it again.
     """
 
     def __init__(self, path: str):
@@ -145,40 +150,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
-        self.line = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.line = self._ids("\n")
+        self.stops = {c: self._ids(c) for c in ".,"}
+        self.letters = byte_letters()
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a piece after a space, or after the line feed it starts with; None if it could belong with white space around it."""
+        if piece in ("", "\n"):
+            return None
+        line = piece[0] == "\n"
+        word = piece[1:] if line else piece
+        if word[0].isspace() or "\x1c" <= word[-1] <= "\x1f":
+            return None
+        before, after = self.line if line else b"", self.stops.get(word[-1], b"")
+        core = word[:-1] if after else word
+        if not PLAIN.fullmatch(core):
+            return before + self._ids(word if line else " " + word)
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(self.letters)
+        return before + array("I", [t.id for t in self.model.tokenize(core if line else self.letters[32] + core)]).tobytes() + after
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; none for null."""
         special = self.special
-        pieces = [None if not t or MARK in t or any(s in t for s in special) else STOP.sub(f" {MARK}", "\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        pieces = [None if not t or any(s in t for s in special) else ("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
         if len(self.cache) > CACHE:
             self.old, self.cache = self.cache, {}
         cache, old = self.cache, self.old
-        new = (set(chain.from_iterable(filter(None, pieces))).difference(cache))
-        again = [p for p in new if p in old]
-        cache.update((p, old[p]) for p in again)
-        new.difference_update(again)
-        # A piece that starts with more white space, or none, could belong with the white space before it.
-        odd = {p for p in new if p in ("", "\n") or p[0].isspace() and (p[0] != "\n" or p[1].isspace()) or "\x1c" <= p[-1] <= "\x1f"}
-        cache.update(dict.fromkeys(odd))
-        new = [p for p in new if p not in odd]
-        cache.update(zip(new, self._ids([p if p[0] == "\n" else p[1:] if p[0] == MARK else " " + p for p in new])))
+        new = set(chain.from_iterable(filter(None, pieces))).difference(cache)
+        # Long pieces aren't kept beyond this call, so that the cache is bounded in bytes.
+        long = {p: self._piece(p) for p in new if len(p) > LONGEST}
+        cache.update((p, old[p] if p in old else self._piece(p)) for p in new if len(p) <= LONGEST)
+        cache.update(long)
         made, cut = [], len(self.line)
         for text, parts in zip(texts, pieces):
             try:
                 made.append(b"".join(map(cache.__getitem__, parts))[cut:] if parts else None)
             except TypeError:
                 made.append(None)
-        whole = [k for k, (t, m) in enumerate(zip(texts, made)) if m is None and t]
-        for k in whole:
-            made[k] = self._ids([texts[k]])[0]
-        return [m or b"" for m in made]
+        for p in long:
+            del cache[p]
+        return [m if m is not None else self._ids(t) if t else b"" for m, t in zip(made, texts)]
 
 
 @lru_cache(2)
