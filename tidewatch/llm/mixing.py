@@ -88,7 +88,77 @@ def tilted(multiplier: Column, x: Column, most: float = COPIES) -> Column:
     return F.lit(most) / (1 + F.exp(F.least(F.lit(700.0), -multiplier * x)))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, scratch: Scratch | None = None, with_source: bool = False) -> DataFrame:
+class Mix:
+    """What decides on copies: a table of sources, and one of single documents that get one more copy.
+
+    sized: a written table (doc_id, source, size) of all documents. Copies of a document follow
+    from doc_id, source and size alone.
+    """
+
+    def __init__(self, sized: DataFrame, weights: tuple[float, ...], share: float, scratch: Scratch):
+        histogram = scratch.keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
+        totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
+        targets = source_targets(totals.select("source", "source_size"), weights, share)
+        means = totals.select(F.col("source").alias("s"), (F.col("source_size") / F.col("rows")).alias("mean"))
+        targets = scratch.keep(targets.join(means, targets["source"].eqNullSafe(means["s"])).drop("s"))
+        multipliers = dual_multipliers(histogram, targets, scratch).withColumnRenamed("source", "s")
+        plan = scratch.keep(targets.join(multipliers, targets["source"].eqNullSafe(multipliers["s"]), "left").drop("s").withColumnRenamed("source", "s"))
+        shift = self.shifts(self.rated(sized, plan)).withColumnRenamed("s", "shifted")
+        self.plan = scratch.keep(plan.join(shift, plan["s"].eqNullSafe(shift["shifted"]), "left").drop("shifted"))
+        self.more = scratch.keep(self.spares(self.rounded(sized)))
+
+    @staticmethod
+    def rated(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        """Adds the plan of a row's source, its rate, and level: rate and a hash of the row as a fraction."""
+        rate = F.when(F.col("multiplier").isNull(), F.lit(COPIES)).otherwise(tilted(F.col("multiplier"), F.col("size") / F.col("mean")))
+        fraction = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)
+        return rows.join(small(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate).withColumn("level", F.col("rate") + fraction)
+
+    @staticmethod
+    def shifts(rated: DataFrame) -> DataFrame:
+        """(s, at, room): the step of each source's shift, and the words that then are left of its target.
+
+        Level and shift, rounded down, are the copies.
+        """
+        # Words that each step of the shift in (-1, 1) adds: from 0 copies at -level to 2 copies.
+        steps = F.explode(F.array(F.lit(1), F.lit(2)))
+        turns = rated.filter("size > 0 and target < 2 * source_size").select("source", "size", "level", "target", steps.alias("copy"))
+        turns = turns.withColumn("at", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.ceil((F.col("copy") - F.col("level")) * BINS)))).groupBy("source", "at").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
+        # At most 2 * BINS + 1 rows of a source meet here.
+        risen = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        turns = turns.withColumn("sum", F.sum("words").over(risen))
+        shift = turns.filter("sum <= target").groupBy("source").agg(F.max("at").alias("at"), (F.first("target") - F.max("sum")).alias("room"))
+        every = turns.groupBy("source").agg((F.min("at") - 1).alias("least"), F.first("target").alias("goal")).withColumnRenamed("source", "s")
+        return every.join(shift, every["s"].eqNullSafe(shift["source"]), "left").select("s", F.coalesce("at", "least").alias("at"), F.coalesce("room", "goal").alias("room"))
+
+    def rounded(self, rows: DataFrame) -> DataFrame:
+        """Adds copies by the sources' shifts to rows (doc_id, source, size, ...), and what rated() adds."""
+        rated = self.rated(rows, self.plan)
+        turned = sum((F.when(F.ceil((c - F.col("level")) * BINS) <= F.col("at"), 1).otherwise(0) for c in (1, 2)), F.lit(0))
+        return rated.withColumn("copies", F.when(F.col("at").isNull(), F.least(F.floor("level"), F.lit(2))).otherwise(turned).cast("long"))
+
+    @staticmethod
+    def spares(rounded: DataFrame) -> DataFrame:
+        """(s, more_size, more_id) of documents that get one more copy: at most one of each size, largest first, as far as a source has room."""
+        spare = rounded.filter("copies < 2 and size > 0 and size <= room and doc_id is not null").groupBy("source", "size").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(3))).alias("doc_id"), F.first("room").alias("room"))
+        listed = spare.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("spare"), F.first("room").alias("room"))
+        start = F.struct(F.col("room").alias("room"), F.array().cast("array<struct<size:bigint,doc_id:bigint>>").alias("more"))
+        filled = F.aggregate("spare", start, lambda acc, x: F.when(x["size"] <= acc["room"], F.struct((acc["room"] - x["size"]).alias("room"), F.array_append(acc["more"], x).alias("more"))).otherwise(acc))
+        return listed.select("source", F.explode(filled["more"]).alias("x")).select(F.col("source").alias("s"), F.col("x.size").alias("more_size"), F.col("x.doc_id").alias("more_id"))
+
+    def applied(self, rows: DataFrame) -> DataFrame:
+        """Adds copies, rate, source_size and target to rows (doc_id, source, size, ...)."""
+        placed = self.rounded(rows)
+        same = (F.col("doc_id") == F.col("more_id")) & (F.col("size") == F.col("more_size")) & F.col("source").eqNullSafe(F.col("s"))
+        placed = placed.join(small(self.more).withColumn("more", F.lit(1)), same, "left")
+        return placed.withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies and taken for each row of docs.
 
     docs: (doc_id, text, source). size is the words of the text, 0 for null; copies is 0, 1
@@ -97,62 +167,24 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     doc_id and size only, and rows that agree in both are rounded alike. Null sources are
     one source, after all others. Documents without words have copies by the same rule and
     take 0 words. An empty table gives an empty result; other columns are not looked at.
-    with_source adds the source to the result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    sized = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
-    histogram = scratch.keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
-    targets = source_targets(totals.select("source", "source_size"), weights, share)
-    means = totals.select(F.col("source").alias("s"), (F.col("source_size") / F.col("rows")).alias("mean"))
-    targets = scratch.keep(targets.join(means, targets["source"].eqNullSafe(means["s"])).drop("s"))
-    multipliers = dual_multipliers(histogram, targets, scratch).withColumnRenamed("source", "s")
-    plan = scratch.keep(targets.join(multipliers, targets["source"].eqNullSafe(multipliers["s"]), "left").drop("s"))
-
-    rate = F.when(F.col("multiplier").isNull(), F.lit(COPIES)).otherwise(tilted(F.col("multiplier"), F.col("size") / F.col("mean")))
-    named = plan.withColumnRenamed("source", "s")
-    rated = sized.join(small(named), sized["source"].eqNullSafe(named["s"])).withColumn("rate", rate)
-    # A hash of the document as a fraction; rate + fraction + shift is rounded down.
-    fraction = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)
-    rated = scratch.keep(rated.withColumn("level", F.col("rate") + fraction).select("doc_id", "source", "size", "source_size", "target", "rate", "level"))
-    whole = F.least(F.floor("level"), F.lit(2))
-    # Words that each step of the shift in (-1, 1) adds: from 0 copies at -level to 2 copies.
-    steps = F.explode(F.array(F.lit(1), F.lit(2)))
-    turns = rated.filter("size > 0 and target < 2 * source_size").select("source", "size", "level", "target", steps.alias("copy"))
-    turns = turns.withColumn("at", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.ceil((F.col("copy") - F.col("level")) * BINS)))).groupBy("source", "at").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
-    # At most 2 * BINS + 1 rows of a source meet here.
-    risen = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    turns = turns.withColumn("sum", F.sum("words").over(risen))
-    shift = turns.filter("sum <= target").groupBy("source").agg(F.max("at").alias("at"), (F.first("target") - F.max("sum")).alias("room"))
-    every = turns.groupBy("source").agg((F.min("at") - 1).alias("least"), F.first("target").alias("goal")).withColumnRenamed("source", "s")
-    shift = every.join(shift, every["s"].eqNullSafe(shift["source"]), "left").select("s", F.coalesce("at", "least").alias("at"), F.coalesce("room", "goal").alias("room"))
-    placed = rated.join(small(scratch.keep(shift)), rated["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    turned = sum((F.when(F.ceil((c - F.col("level")) * BINS) <= F.col("at"), 1).otherwise(0) for c in (1, 2)), F.lit(0))
-    placed = scratch.keep(placed.withColumn("copies", F.when(F.col("at").isNull(), whole).otherwise(turned).cast("long")))
-    # What is left of a target goes to one more copy of single documents, at most one of each size, largest first.
-    spare = placed.filter("copies < 2 and size > 0 and size <= room and doc_id is not null").groupBy("source", "size").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(3))).alias("doc_id"), F.first("room").alias("room"))
-    listed = spare.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("spare"), F.first("room").alias("room"))
-    start = F.struct(F.col("room").alias("room"), F.array().cast("array<struct<size:bigint,doc_id:bigint>>").alias("more"))
-    filled = F.aggregate("spare", start, lambda acc, x: F.when(x["size"] <= acc["room"], F.struct((acc["room"] - x["size"]).alias("room"), F.array_append(acc["more"], x).alias("more"))).otherwise(acc))
-    more = listed.select("source", F.explode(filled["more"]).alias("x")).select(F.col("source").alias("s"), "x.size", "x.doc_id", F.lit(1).alias("more"))
-    more = more.withColumnRenamed("size", "more_size").withColumnRenamed("doc_id", "more_id")
-    more = small(scratch.keep(more))
-    placed = placed.join(more, (placed["doc_id"] == more["more_id"]) & (placed["size"] == more["more_size"]) & placed["source"].eqNullSafe(more["s"]), "left")
-    placed = placed.withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
-    return placed.select("doc_id", *(["source"] if with_source else []), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs (doc_id, text, source, ...), each as often as the mix takes it: not, once or twice.
-
-    Copies follow from doc_id, source and size, so rows are found again by these three; other
-    columns pass through.
+    rows = scratch.keep(sized(docs))
+    mixed = Mix(rows, weights, share, scratch).applied(rows)
+    return mixed.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs (doc_id, text, source, ...), each as often as mix_sources() takes it: not, once or twice.
+
+    Texts aren't shuffled: copies follow from small tables and the row itself. Other columns
+    pass through; columns named like those of the plan are kept apart.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    copies = mix_sources(docs, scratch=scratch, with_source=True).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    copies = scratch.keep(copies.withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"}))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    mix = Mix(scratch.keep(sized(docs)), weights, share, scratch)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    taken = mix.applied(rows).filter("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
