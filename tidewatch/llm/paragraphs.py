@@ -194,8 +194,12 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
     many = scratch.keep(many.select(*SET, "first_doc", "last_doc", F.coalesce("component", "node").alias("component")))
     scratch.drop(classes, sets)
     firsts = many.groupBy("component").agg(F.min("first_doc").alias("first"), F.max("last_doc").alias("last")).filter("first < last")
-    named = many.join(firsts, "component").select(*SET, "component", F.col("first").alias("first_doc"))
-    places = paragraphs(docs, PLACE_COLUMNS).join(named, SET).filter("doc_id != first_doc").drop(*SET)
+    named = scratch.keep(many.join(firsts, "component").select(*SET, "component", F.col("first").alias("first_doc")))
+    places = paragraphs(docs, PLACE_COLUMNS)
+    # Few sets filter the paragraphs before these are shuffled.
+    if named.limit(FEW + 1).count() <= FEW:
+        places = places.join(F.broadcast(named.select("set_id").distinct()), "set_id", "left_semi")
+    places = places.join(named, SET).filter("doc_id != first_doc").drop(*SET)
     # Runs: a document's repeated paragraphs, in order; blocks: those of a run with nothing else in between.
     order = Window.partitionBy("doc_id").orderBy("place")
     placed = places.withColumn("gap", F.col("start") - F.lag("end").over(order)).withColumn("skip", F.col("place") - F.lag("place").over(order) - 1)
@@ -209,6 +213,8 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
     return blocks.withColumn("enough", enough).filter("enough").select("doc_id", "start", "end", "words", "first_doc", "component")
 
 
+#: Repeated sets whose ids are broadcast at most, at 8 bytes each.
+FEW = 150_000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
