@@ -26,8 +26,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 CHUNKS = regex.compile(f"[^{SPACE}]+")
 #: Characters at which str.split() also cuts, though they are no white space.
 ODD = regex.compile("[\x1c-\x1f]")
-#: Texts and words that one worker keeps encoded at most.
-CACHE = 400_000
+#: Chunks, and as many words, that one worker keeps encoded at most, and the longest of them in characters.
+CACHE, LONGEST = 100_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -98,7 +98,8 @@ class WordBpe:
             chunk = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
         else:
             chunk = chunk.lower()
-        ids = [i for w in self.words.findall(chunk) for i in self.whole(w.encode("utf-8", "surrogatepass"))]
+        merged = self.whole if len(chunk) <= LONGEST else self._merged
+        ids = [i for w in self.words.findall(chunk) for i in merged(w.encode("utf-8", "surrogatepass"))]
         return np.array(ids, "<u4").tobytes()
 
     def encode_bytes(self, text: str | None) -> bytes:
@@ -119,9 +120,13 @@ class WordBpe:
         except KeyError:
             if len(cache) > CACHE:
                 cache.clear()
-            for c in set(chunks).difference(cache):
-                cache[c] = self._chunk(c)
-            return b"".join(map(cache.__getitem__, chunks))
+            new = {c: self._chunk(c) for c in set(chunks).difference(cache)}
+            cache.update(new)
+            made = b"".join(map(cache.__getitem__, chunks))
+            for c in new:
+                if len(c) > LONGEST:
+                    del cache[c]
+            return made
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()

@@ -10,6 +10,7 @@ that the descent hasn't seen.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,9 @@ from .shingles import BASE, mixed
 
 GRAMS, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 17, 16
 #: Labelled rows that training takes at most, of all languages together and of one, by a hash of doc_id.
-SAMPLE, EACH = 6_000, 800
+SAMPLE, EACH = 6_000, 400
+#: Parts of a language that are put in order each for itself first.
+SLICES = 64
 #: One in so many sampled rows calibrates; passes over the others; step size; rows of a step.
 CALIBRATION, EPOCHS, RATE, BATCH = 5, 8, 1.0, 16
 #: Share of calibration texts, whose language is found, that rejection may lose.
@@ -188,9 +191,11 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.withColumn("h", F.xxhash64("doc_id"))
     each = max(2 * CALIBRATION, min(each, sample // max(1, rows.select("lang").distinct().count())))
-    # Hashes alone are put in order, by tasks first; texts are read for those up to a language's last one.
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    lasts = rows.select("lang", "h", "doc_id").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).groupBy("lang").agg(F.max("h").alias("last"))
+    # Hashes alone are put in order: by tasks, by slices of a language, then by language. Texts are read for those up to the last one.
+    first = rows.select("lang", "h", "doc_id", F.pmod(F.xxhash64("h"), F.lit(SLICES)).alias("slice"))
+    for by in (["lang", "slice"], ["lang"]):
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("n") <= each).drop("n")
+    lasts = first.groupBy("lang").agg(F.max("h").alias("last"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +220,7 @@ def trained(docs: DataFrame) -> Model:
             langs, hs, ids = (batch.column(k).to_pylist() for k in range(3))
             lists = [[np.asarray(x.values) for x in batch.column(k)] for k in (3, 4)]
             rows += zip(hs, ids, langs, *lists)
-        rows.sort(key=lambda r: (r[0], r[1], r[2], r[3].tobytes(), r[4].tobytes()))
+        rows.sort(key=lambda r: (r[0], r[1], r[2], zlib.crc32(r[3]), zlib.crc32(r[4])))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2:] for r in rows]))], pa.binary())], ["model"])
 
     found = training_rows(docs).coalesce(1).mapInArrow(made, "model binary").first()
