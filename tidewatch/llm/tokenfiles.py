@@ -15,9 +15,8 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +134,19 @@ def read_block(raw: bytes, number: int) -> np.ndarray:
     return ids + np.uint32(low)
 
 
+class Pieces(dict):
+    """What make() gives for each piece, made when it is first asked for, or taken from an older dictionary."""
+
+    def __init__(self, make: Callable[[str], bytes | None], old: dict[str, bytes | None]):
+        self.make, self.old = make, old
+
+    def __missing__(self, piece: str) -> bytes | None:
+        made = self.old[piece] if piece in self.old else self.make(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = made
+        return made
+
+
 class Encoder:
     """The tokenizers library over whole texts, with what it made of each piece kept.
 
@@ -152,8 +164,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.cache = Pieces(self._piece, {})
         self.line = self._ids("\n")
         self.stops = {c: self._ids(c) for c in ".,"}
         self.letters = byte_letters()
@@ -182,21 +193,14 @@ class Encoder:
         special = self.special
         pieces = [None if not t or any(s in t for s in special) else ("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
         if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {}
-        cache, old = self.cache, self.old
-        new = set(chain.from_iterable(filter(None, pieces))).difference(cache)
-        # Long pieces aren't kept beyond this call, so that the cache is bounded in bytes.
-        long = {p: self._piece(p) for p in new if len(p) > LONGEST}
-        cache.update((p, old[p] if p in old else self._piece(p)) for p in new if len(p) <= LONGEST)
-        cache.update(long)
+            self.cache = Pieces(self._piece, dict(self.cache))
+        cache = self.cache
         made, cut = [], len(self.line)
         for text, parts in zip(texts, pieces):
             try:
                 made.append(b"".join(map(cache.__getitem__, parts))[cut:] if parts else None)
             except TypeError:
                 made.append(None)
-        for p in long:
-            del cache[p]
         return [m if m is not None else self._ids(t) if t else b"" for m, t in zip(made, texts)]
 
 
