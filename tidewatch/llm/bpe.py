@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from .common import table
 
@@ -56,6 +56,8 @@ class WordBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.strings[i] = token
         letters = byte_letters()
+        self.byte_of = {c: b for b, c in letters.items()}
+        self.library = Tokenizer.from_file(path)
         self.inner = [vocab[letters[b]] for b in range(256)]
         self.last = [vocab[letters[b] + end] for b in range(256)]
         self.ranks = {}
@@ -94,12 +96,14 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids, as unsigned 32-bit integers, of a run without white space."""
-        if not chunk.isascii():
-            chunk = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
+        if chunk.isascii():
+            words = [w.encode() for w in self.words.findall(chunk.lower())]
         else:
-            chunk = chunk.lower()
+            # Which characters are letters, and how marks are put in order, follows the library's version of Unicode.
+            letters, byte_of = self.library.normalizer.normalize_str(chunk), self.byte_of
+            words = [bytes([byte_of[c] for c in w]) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(letters)]
         merged = self.whole if len(chunk) <= LONGEST else self._merged
-        ids = [i for w in self.words.findall(chunk) for i in merged(w.encode("utf-8", "surrogatepass"))]
+        ids = [i for w in words for i in merged(w)]
         return np.array(ids, "<u4").tobytes()
 
     def encode_bytes(self, text: str | None) -> bytes:
@@ -152,7 +156,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Adds to doc_id and text: ids (array of int), n_tokens and decoded.
 
-    Null and empty texts have no ids and decode to ''. path names the vocabulary file,
+    Null and empty texts have no ids and decode to ''. Rows with a null doc_id and repeated
+    rows stay; an empty table gives an empty result; other columns are left out. path names the vocabulary file,
     which must exist on every executor; by default the public one of word ends.
     """
 
@@ -174,8 +179,8 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of the ids and of the text decoded from them, one row per document.
 
     The long forms of bpe_round_trip() stay in the worker. Null and empty texts have 0
-    tokens and the digests of no bytes; repeated rows stay repeated. One pass, no
-    shuffle; a worker holds 256 texts and at most CACHE encoded words.
+    tokens and the digests of no bytes; rows with a null doc_id and repeated rows stay; an
+    empty table gives an empty result; other columns are left out. One pass, no shuffle; a worker holds 256 texts and at most CACHE encoded words.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
