@@ -170,21 +170,32 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield batch_of(rows)
 
 
+def _unplaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without a place in the order."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        prints = pa.array([fingerprint(t.encode("utf-8", "surrogatepass")) for t in texts], pa.string())
+        own = {"doc_id": batch.column(0), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "fingerprint": prints}
+        none = {n: pa.nulls(len(texts), pa.float64() if n.startswith("near") else pa.string()) for n in NAMES if n not in own}
+        yield pa.RecordBatch.from_arrays([(own | none)[n] for n in NAMES], NAMES)
+
+
 def document_fingerprints(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Fingerprints of each text of docs (doc_id, text) and of its edited text, and likenesses.
 
     The edited text has its last quarter replaced by the start of the next document in
     doc_id order; the first follows the last. A null text is an empty one; rows of equal
-    doc_id follow each other by text; rows with a null doc_id are left out, as they have no
-    place in the order. One document is its own successor. An empty table gives an empty
+    doc_id follow each other by text; rows with a null doc_id have no place in the order:
+    they are no document's successor, and what depends on a successor is null. One document is its own successor. An empty table gives an empty
     result. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = every.filter("doc_id is not null")
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = dealt_in_order(docs, tasks)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return sent.mapInArrow(_fingerprints, schema)
+    return sent.mapInArrow(_fingerprints, schema).unionByName(every.filter("doc_id is null").mapInArrow(_unplaced, schema))
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
