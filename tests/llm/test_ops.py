@@ -242,6 +242,7 @@ def test_bpe_equals_the_library_on_all_of_unicode():
     points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
     texts = [f"a{c}b {c}1{c} x\u0301{c}" for c in points]
     texts += ["".join(rnd.choice([rnd.choice(points), rnd.choice("ab 1'\n\u0301\u0323<|>")]) for _ in range(rnd.randint(1, 14))) for _ in range(10_000)]
+    texts += ["".join(rnd.choice(points[1:0x300]) for _ in range(rnd.randint(1, 10))) for _ in range(20_000)]
     for i in range(0, len(texts), 5000):
         part = texts[i : i + 5000]
         assert [t for t, e in zip(part, library.encode_batch(part, add_special_tokens=False)) if own.encode(t) != e.ids] == []

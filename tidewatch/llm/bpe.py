@@ -26,6 +26,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 CHUNKS = regex.compile(f"[^{SPACE}]+")
 #: Characters at which str.split() also cuts, though they are no white space.
 ODD = regex.compile("[\x1c-\x1f]")
+#: The first combining mark. Characters below are letters or not in all versions of Unicode, and in normal form.
+MARKS = "\u0300"
 #: Chunks, and as many words, that one worker keeps encoded at most, and the longest of them in characters.
 CACHE, LONGEST = 100_000, 64
 
@@ -96,7 +98,7 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids, as unsigned 32-bit integers, of a run without white space."""
-        if chunk.isascii():
+        if max(chunk) < MARKS:
             words = [w.encode() for w in self.words.findall(chunk.lower())]
         else:
             # Which characters are letters, and how marks are put in order, follows the library's version of Unicode.
