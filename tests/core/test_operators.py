@@ -184,3 +184,30 @@ def test_stream_trips_resets_and_dead_letters(spark, tmp_path):
     assert trips["b"] == trips["c"] == [] and trips["a"][0] < 15 and len(trips["a"]) > 1
     assert len(out) == len(rows) and not any(r.late for r in out)
     assert len(next(r for r in out if r.tripped).evidence) == 10
+
+
+def test_replay_keeps_rows_without_time_or_score(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.0, 0, 0.1), ("a", None, 1, 0.2), ("a", 2.0, 2, None), ("a", 3.0, 3, 0.3)], "path string, t double, seq long, score double")
+    out = fuse.replay(df, "cusum", folder=f"file://{tmp_path}").collect()
+    assert sorted((r.seq, r.late, r.stat_value is None) for r in out) == [(0, False, False), (1, True, True), (2, True, True), (3, False, False)]
+
+
+def test_sign_test_of_many(spark):
+    from math import comb
+
+    cases = [(0, 5), (6, 5), (60, 100), (900, 1000), (2600, 5000), (25, 25), (None, 3)]
+    df = spark.createDataFrame(cases, "w long, n long").select("w", "n", metrics.sign_test(F.col("w"), F.col("n")).alias("p"))
+    for w, n, p in df.collect():
+        if w is None:
+            assert p is None
+        else:
+            exact = sum(comb(n, k) for k in range(w, n + 1)) / 2**n
+            assert abs(p - exact) <= 1e-9 * max(exact, 1e-300)
+
+
+def test_normaliser_keeps_null_scores(spark):
+    from tidewatch.operators.quantiles import QuantileNormalizer
+
+    fitted = QuantileNormalizer().fit(spark.createDataFrame([(0.1,), (0.2,)], "score double"))
+    out = fitted.transform(spark.createDataFrame([(1, 0.2), (2, None), (3, 0.2)], "id int, score double"))
+    assert sorted((r.id, r.norm) for r in out.collect()) == [(1, 0.75), (2, None), (3, 0.75)]

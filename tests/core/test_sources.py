@@ -66,3 +66,18 @@ def test_report_and_seals(spark, tmp_path):
         if seal is not None:
             (folder / (f"{name}.sha256" if name == "ok" else f"{name}.json.sha256")).write_text(hashlib.sha256(seal).hexdigest())
     assert {r.name: r.status for r in reports.verify_seals(spark, str(folder)).collect()} == {"ok": "ok", "bad": "mismatch", "free": "unsealed", "lost": "orphan"}
+
+
+def test_only_a_missing_file_falls_back(spark, tmp_path, monkeypatch):
+    with pytest.warns(UserWarning, match="made-up"):
+        assert readers.load_dataset(spark, "advbench", str(tmp_path / "none.csv"), include_held_out=True).count() == 5
+    # Readers take absent columns as null, and rows without a prompt are left out: no samples are made up.
+    (tmp_path / "wrong.csv").write_text("a,b\n1,2\n")
+    assert readers.load_dataset(spark, "advbench", f"{tmp_path}/wrong.csv", include_held_out=True).count() == 0
+
+    def broken(spark, path):
+        raise OSError("damaged")
+
+    monkeypatch.setitem(readers.READERS, "advbench", broken)
+    with pytest.raises(OSError, match="damaged"):
+        readers.load_dataset(spark, "advbench", f"{tmp_path}/wrong.csv")

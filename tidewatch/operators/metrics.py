@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,9 +85,17 @@ def spearman(frame: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def sign_test(wins: Column, n: Column) -> Column:
-    """P(at least wins of n) for a fair coin, one-sided; n up to 20."""
-    terms = F.transform(F.sequence(wins, n), lambda k: F.factorial(n.cast("int")) / (F.factorial(k.cast("int")) * F.factorial((n - k).cast("int"))))
-    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / F.pow(F.lit(2.0), n)
+    """P(at least wins of n) for a fair coin, one-sided, for any n; null if either is null."""
+    # Each term follows from the one before, from k = n down, as logarithms: terms of large n are below the least double.
+    start = F.struct((-n * math.log(2.0)).alias("term"), F.lit(0.0).alias("sum"))
+    steps = F.when(wins <= n, F.sequence(F.lit(0).cast("long"), (n - F.greatest(wins, F.lit(0))).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    def step(acc: Column, i: Column) -> Column:
+        following = F.when(i < n, acc["term"] + F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).otherwise(acc["term"])
+        return F.struct(following.alias("term"), (acc["sum"] + F.exp(acc["term"])).alias("sum"))
+
+    total = F.aggregate(steps, start, step, lambda acc: acc["sum"])
+    return F.when(wins.isNotNull() & n.isNotNull(), F.when(wins <= 0, F.lit(1.0)).otherwise(F.least(total, F.lit(1.0))))
 
 
 def granularity(scores: DataFrame, score: str = "score", few: int = 10, most: int = 12) -> DataFrame:

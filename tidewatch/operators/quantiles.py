@@ -64,10 +64,10 @@ class QuantileNormalizer:
         return self
 
     def transform(self, scores: DataFrame, score: str = "score", out: str = "norm") -> DataFrame:
-        """Adds out: (less + up to) / 2 / n. Distinct scores are looked up, then joined back."""
+        """Adds out: (less + up to) / 2 / n, null for a null score. Distinct scores are looked up, then joined back."""
         if self.levels is None:
             raise RuntimeError("fit() comes first")
-        asked = scores.select(F.col(score).alias("level")).distinct().select("level", F.lit(None).cast("long").alias("lt"), F.lit(None).cast("long").alias("le"), F.lit(True).alias("asked"))
+        asked = scores.select(F.col(score).alias("level")).filter("level is not null").distinct().select("level", F.lit(None).cast("long").alias("lt"), F.lit(None).cast("long").alias("le"), F.lit(True).alias("asked"))
         both = self.levels.select("level", "lt", "le", F.lit(False).alias("asked")).unionByName(asked)
         # Of levels up to the score, the last one's counts; an equal level counts half.
         upto = Window.orderBy("level").rangeBetween(Window.unboundedPreceding, 0)
@@ -76,4 +76,4 @@ class QuantileNormalizer:
         n = F.max("le").over(Window.partitionBy())
         found = both.select("level", "asked", ((F.coalesce(equal, below) + below) / 2.0 / n).alias(out)).filter("asked").drop("asked")
         found = found.select(F.col("level").alias("_level"), out)
-        return scores.join(found, scores[score] == found["_level"]).drop("_level")
+        return scores.join(found, scores[score] == found["_level"], "left").drop("_level")

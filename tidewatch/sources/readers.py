@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,11 +122,19 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"advbench": advb
 GATED, ACCEPT = {"harmbench", "agentharm"}, "TIDEWATCH_ACCEPT_TERMS"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a pattern of paths, has files in its store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def load_dataset(spark: SparkSession, name: str, path: str | None = None, include_held_out: bool = False, accept_terms: bool = False, strict: bool = False) -> DataFrame:
     """Samples of a source by name, without held-out ids unless asked for.
 
     An unknown name is a ValueError. A gated source without consent is empty. A missing file
-    is an error if strict, else made-up samples stand in.
+    is an error if strict, else made-up samples stand in, with a warning. Any other failure
+    of a reader is an error.
     """
     if name == "policy_compliance":
         found = policy_samples(spark)
@@ -134,15 +143,13 @@ def load_dataset(spark: SparkSession, name: str, path: str | None = None, includ
     elif name in GATED and not accept_terms and os.environ.get(ACCEPT, "").lower() not in ("1", "true", "yes"):
         return spark.createDataFrame([], SAMPLE)
     else:
-        try:
-            if path is None:
-                raise FileNotFoundError(name)
-            found = READERS[name](spark, path)
-            found.isEmpty()
-        except Exception:
+        if path is None or not exists(spark, path):
             if strict:
-                raise
+                raise FileNotFoundError(path or name)
+            warnings.warn(f"no file for {name}; made-up samples stand in", stacklevel=2)
             found = synthetic(spark, name)
+        else:
+            found = READERS[name](spark, path)
     return found if include_held_out else found.filter(~held_out(F.col("sample_id")))
 
 

@@ -36,7 +36,10 @@ class Fuse:
     options: dict = field(default_factory=dict)
 
     def watch(self, scores: DataFrame) -> DataFrame:
-        """scores: a stream or table of (path, t, seq, score, reset); the result has a row for each observation."""
+        """scores: a stream or table of (path, t, seq, score, reset); the result has a row for each observation.
+
+        Observations before the last, and those without time or score, are dead letters: late, without a value.
+        """
         rows = scores.select(F.col("path").cast("string"), F.col("t").cast("double"), F.col("seq").cast("long"), F.col("score").cast("double"), (F.col("reset") if "reset" in scores.columns else F.lit(False)).alias("reset"))
         return rows.groupBy("path").transformWithStateInPandas(statefulProcessor=_Watch(self), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if self.ttl_ms else "None")
 
@@ -70,6 +73,10 @@ class _Watch(StatefulProcessor):
                 reset()
                 last = None
                 continue
+            if pd.isna(t) or pd.isna(score):
+                # A dead letter, which leaves the state as it is.
+                out.append((key[0], t, seq, score, self.fuse.statistic, None, self.threshold, False, None, None, True))
+                continue
             if last is not None and t < last:
                 if self.fuse.strict:
                     raise ValueError(f"path {key[0]}: time {t} is before {last}")
@@ -99,7 +106,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"file://{tempfile.mkdtemp(prefix='tidewatch-stream-')}"
 
@@ -111,14 +119,15 @@ def replay(scores: DataFrame, statistic: str = "i2t", folder: str | None = None,
     """Streams a table of scores through a Fuse until all is read, and returns what it wrote.
 
     The table is written in parts of ascending time, one after another, so that each
-    micro-batch reads the next.
+    micro-batch reads the next. Rows of null time are in the first part; the stream's dead
+    letters tell of them.
     """
     spark = scores.sparkSession
     base = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
     cuts = [None, *scores.approxQuantile("t", [k / batches for k in range(1, batches)], 0.01), None]
     for low, high in zip(cuts, cuts[1:]):
         part = scores if low is None else scores.filter(F.col("t") >= low)
-        part = part if high is None else part.filter(F.col("t") < high)
+        part = part if high is None else part.filter((F.col("t") < high) | (F.col("t").isNull() if low is None else F.lit(False)))
         part.coalesce(1).write.mode("append").parquet(f"{base}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{base}/in")
