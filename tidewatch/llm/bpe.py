@@ -29,7 +29,7 @@ ODD = regex.compile("[\x1c-\x1f]")
 #: The first combining mark. Characters below are letters or not in all versions of Unicode, and in normal form.
 MARKS = "\u0300"
 #: Chunks, and as many words, that one worker keeps encoded at most, and the longest of them in characters.
-CACHE, LONGEST = 100_000, 64
+CACHE, LONGEST = 400_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,7 +42,7 @@ def byte_letters() -> dict[int, str]:
 class WordBpe:
     """A BPE vocabulary with word ends, read from a tokenizer file of JSON."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -66,7 +66,8 @@ class WordBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
-        self.whole = lru_cache(CACHE)(self._merged)
+        self.whole = lru_cache(most)(self._merged)
+        self.most = most
         self.cache: dict[str, bytes] = {}
 
     def _merged(self, word: bytes) -> tuple[int, ...]:
@@ -124,7 +125,7 @@ class WordBpe:
         try:
             return b"".join(map(cache.__getitem__, chunks))
         except KeyError:
-            if len(cache) > CACHE:
+            if len(cache) > self.most:
                 cache.clear()
             new = {c: self._chunk(c) for c in set(chunks).difference(cache)}
             cache.update(new)
@@ -144,9 +145,9 @@ class WordBpe:
 
 
 @lru_cache(2)
-def word_bpe(path: str) -> WordBpe:
+def word_bpe(path: str, most: int = CACHE) -> WordBpe:
     """One vocabulary for all tasks of a worker."""
-    return WordBpe(path)
+    return WordBpe(path, most)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -177,16 +178,16 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, text string, ids array<int>, n_tokens long, decoded string")
 
 
-def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str | None = None, most: int = CACHE) -> DataFrame:
     """Digests of the ids and of the text decoded from them, one row per document.
 
     The long forms of bpe_round_trip() stay in the worker. Null and empty texts have 0
     tokens and the digests of no bytes; rows with a null doc_id and repeated rows stay; an
-    empty table gives an empty result; other columns are left out. One pass, no shuffle; a worker holds 256 texts and at most CACHE encoded words.
+    empty table gives an empty result; other columns are left out. One pass, no shuffle; a worker holds 256 texts and at most most encoded words.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(path or tokenizer_path())
+        bpe = word_bpe(path or tokenizer_path(), most)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 counts, ids_sha, decoded_sha = [], [], []
