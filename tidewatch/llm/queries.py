@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op7_bpe_round_trip
 from .fuzzy import op4_document_fingerprints
+from .impacts import OP13_SQL, op13_lexical_search
 from .langid import op6_language_id
 from .media import op10_media_columns
 from .minhash import op1_minhash_near_dedup
 from .mixing import op3_source_mixing
 from .paragraphs import op8_substring_dedup
 from .rollup import OP2_SQL, op2_token_rollup
+from .spelling import OP12_SQL, op12_spelling_variants
 from .tokenfiles import op9_token_files
 from .urls import op5_url_filter
 
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
     "op10_media_columns": op10_media_columns,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLES: dict[str, str] = {"op2_token_rollup": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_token_rollup": OP2_SQL, "op12_spelling_variants": OP12_SQL, "op13_lexical_search": OP13_SQL}
