@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe_round_trip
 from .fuzzy import op4_document_fingerprints
+from .graphs import op11_nearest_neighbours
 from .impacts import OP13_SQL, op13_lexical_search
 from .langid import op6_language_id
 from .media import op10_media_columns
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
     "op10_media_columns": op10_media_columns,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_lexical_search": op13_lexical_search,
 }

@@ -83,10 +83,10 @@ def bigrams(words: DataFrame) -> DataFrame:
     return sized.select("*", F.explode(grams).alias("g")).select("word", "length", "mask", "g.*")
 
 
-def rarest(grams: DataFrame, by: list[str]) -> DataFrame:
-    """(word, length, mask, gram, place, k) of the PREFIX rarest bigrams of each word, k from 0; frequent is what many rows share by."""
+def rarest(grams: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """(word, length, mask, gram, place, k) of the PREFIX rarest bigrams of each word, k from 0; rare is what few rows share by."""
     often = grams.groupBy(*by).agg(F.count("*").alias("often"))
-    placed = grams.join(often, by).groupBy("word", "length", "mask").agg(F.sort_array(F.collect_list(F.struct("often", "gram", "place"))).alias("all"))
+    placed = grams.join(often, by).repartition(parts, "word").groupBy("word", "length", "mask").agg(F.sort_array(F.collect_list(F.struct("often", "gram", "place"))).alias("all"))
     return placed.select("word", "length", "mask", F.posexplode(F.slice("all", 1, PREFIX)).alias("k", "g")).select("word", "length", "mask", "g.gram", "g.place", "k")
 
 
@@ -103,10 +103,10 @@ def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     # One code point more or less, or another, changes two bits at most.
     verified = (F.bit_count(F.col("a_mask").bitwiseXOR(F.col("b_mask"))) <= 2) & (F.levenshtein("a", "b", 1) == 1)
     # A replacement moves nothing: equal bigrams are at equal places, so places count for how frequent they are.
-    still = scratch.keep(rarest(grams, key).drop("k"))
+    still = scratch.keep(rarest(grams, key, parts).drop("k"))
     replaced = side(still, "a").join(side(still, "b"), key).filter((F.col("a") < F.col("b")) & verified)
     # A deletion moves what comes after it by one, and makes one new bigram, so two of the shorter word's are enough.
-    moved = scratch.keep(rarest(grams, ["gram"]))
+    moved = scratch.keep(rarest(grams, ["gram"], parts))
     longer = moved.select("word", (F.col("length") - 1).alias("length"), "mask", "gram", F.explode(F.array("place", F.col("place") - 1)).alias("place"))
     deleted = side(longer, "a").join(side(moved.filter(F.col("k") < PREFIX - 1), "b"), key).filter(verified)
     return replaced.select("a", "b").unionByName(deleted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
