@@ -143,6 +143,31 @@ def test_mixing_meets_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def taken_of(spark, rows):
+    """Words taken of each source, and its target; rows: (doc_id, words, source)."""
+    got = mixing.mix_sources(spark.createDataFrame([(i, "w " * n, "en", s, 0) for i, n, s in rows], DOCS)).collect()
+    by, out = {i: s for i, _, s in rows}, {}
+    for r in got:
+        assert r.copies in (0, 1, 2) and r.taken == r.copies * r.size
+        taken, _ = out.get(by[r.doc_id], (0, 0))
+        out[by[r.doc_id]] = taken + r.taken, r.target
+    return out
+
+
+def test_mixing_of_repeated_rows(spark):
+    rnd = random.Random(21)
+    for fixed in (3, 40):
+        rows = [(7, fixed, "a")] * 500 + [(i, rnd.randint(3, 300), "a") for i in range(100, 335)] + [(i, rnd.randint(3, 60), "b") for i in range(1000, 1400)]
+        for taken, target in taken_of(spark, rows).values():
+            assert abs(taken - target) <= 1.5
+
+
+def test_mixing_takes_the_nearer_side(spark):
+    rows = [(i, 3000, "a") for i in range(5)] + [(10 + i, 3000, "b") for i in range(4)] + [(20 + i, 1000, "c") for i in range(4)]
+    for taken, target in taken_of(spark, rows).values():
+        assert abs(taken - target) <= 1500
+
+
 def test_mixing_edges(spark):
     assert mixing.mix_sources(docs(spark, EDGE)).count() == len(EDGE)
     assert mixing.mix_sources(docs(spark, EDGE).limit(0)).collect() == []
@@ -374,13 +399,20 @@ def test_paragraph_bands_miss_no_similar_pair():
             values.append(np.unique(s))
             offsets.append(offsets[-1] + len(values[-1]))
     keys, ends = paragraphs.least_keys(np.concatenate(values), np.array(offsets), 80)
-    similar = 0
+    similar = unequal = 0
     for k in range(0, len(values), 2):
         shared, union = shingles.jaccard_counts(values[k], values[k + 1])
         if 100 * shared >= 80 * union:
             similar += 1
-            assert set(keys[ends[k] : ends[k + 1]]) & set(keys[ends[k + 1] : ends[k + 2]])
-    assert similar > 1000 and len(paragraphs.least_keys(np.zeros(0, np.uint64), np.zeros(3, np.int64), 80)[0]) == 0
+            # Equal sets are one class, whose members needn't share a key.
+            same = np.array_equal(values[k], values[k + 1])
+            if same:
+                both = paragraphs.set_ids(np.concatenate(values[k : k + 2]), np.array([0, len(values[k]), 2 * len(values[k])]))
+                assert all(x[0] == x[1] for x in both)
+            else:
+                unequal += 1
+                assert set(keys[ends[k] : ends[k + 1]]) & set(keys[ends[k + 1] : ends[k + 2]])
+    assert similar > 1000 and unequal > 1000 and len(paragraphs.least_keys(np.zeros(0, np.uint64), np.zeros(3, np.int64), 80)[0]) == 0
 
 
 def test_url_scores_equal_a_model_of_all_contexts(spark):

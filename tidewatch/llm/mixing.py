@@ -139,12 +139,25 @@ class Mix:
 
     @staticmethod
     def spares(rounded: DataFrame) -> DataFrame:
-        """(s, more_size, more_id) of documents that get one more copy: at most one of each size, largest first, as far as a source has room."""
-        spare = rounded.filter("copies < 2 and size > 0 and size <= room and doc_id is not null").groupBy("source", "size").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(3))).alias("doc_id"), F.first("room").alias("room"))
-        listed = spare.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("spare"), F.first("room").alias("room"))
-        start = F.struct(F.col("room").alias("room"), F.array().cast("array<struct<size:bigint,doc_id:bigint>>").alias("more"))
-        filled = F.aggregate("spare", start, lambda acc, x: F.when(x["size"] <= acc["room"], F.struct((acc["room"] - x["size"]).alias("room"), F.array_append(acc["more"], x).alias("more"))).otherwise(acc))
-        return listed.select("source", F.explode(filled["more"]).alias("x")).select(F.col("source").alias("s"), F.col("x.size").alias("more_size"), F.col("x.doc_id").alias("more_id"))
+        """(s, more_size, more_id) of documents that get one more copy, as far as a source has room, and one beyond that if it's nearer.
+
+        All rows of a doc_id and size get it, so together they must fit. At most one document
+        of each size does, the one of the fewest rows; large ones come first.
+        """
+        rows = rounded.filter("copies < 2 and size > 0 and room > 0 and size < 2 * room and doc_id is not null").groupBy("source", "size", "doc_id").agg(F.count("*").alias("rows"), F.first("room").alias("room"))
+        spare = rows.groupBy("source", "size").agg(F.min_by(F.struct("doc_id", "rows"), F.struct("rows", F.xxhash64("doc_id", F.lit(3)), "doc_id")).alias("x"), F.first("room").alias("room"))
+        spare = spare.select("source", F.struct((F.col("size") * F.col("x.rows")).alias("words"), "size", F.col("x.doc_id").alias("doc_id")).alias("x"), "room")
+        listed = spare.groupBy("source").agg(F.sort_array(F.collect_list("x"), asc=False).alias("spare"), F.first("room").alias("room"))
+        kind = "array<struct<words:bigint,size:bigint,doc_id:bigint>>"
+        start = F.struct(F.col("room").cast("double").alias("room"), F.array().cast(kind).alias("more"), F.array().cast(kind).alias("over"))
+
+        def fill(acc: Column, x: Column) -> Column:
+            fits = x["words"] <= acc["room"]
+            # What doesn't fit comes by words, so the last one is the smallest.
+            return F.struct(F.when(fits, acc["room"] - x["words"]).otherwise(acc["room"]).alias("room"), F.when(fits, F.array_append(acc["more"], x)).otherwise(acc["more"]).alias("more"), F.when(fits, acc["over"]).otherwise(F.array(x)).alias("over"))
+
+        filled = F.aggregate("spare", start, fill, lambda acc: F.concat(acc["more"], F.filter(acc["over"], lambda x: x["words"] < 2 * acc["room"])))
+        return listed.select("source", F.explode(filled).alias("x")).select(F.col("source").alias("s"), F.col("x.size").alias("more_size"), F.col("x.doc_id").alias("more_id"))
 
     def applied(self, rows: DataFrame) -> DataFrame:
         """Adds copies, rate, source_size and target to rows (doc_id, source, size, ...)."""
@@ -162,9 +175,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """doc_id, size, source_size, target, rate, copies and taken for each row of docs.
 
     docs: (doc_id, text, source). size is the words of the text, 0 for null; copies is 0, 1
-    or 2 and taken copies * size. Each source's taken words miss its target by less than
-    its shortest documents, as far as its documents' sizes allow. Equal input gives equal output: rounding depends on
-    doc_id and size only, and rows that agree in both are rounded alike. Null sources are
+    or 2 and taken copies * size. Equal input gives equal output: rounding depends on doc_id and
+    size only, and rows of a source that agree in both are rounded alike. After rounding by
+    the hash, a document of each size can be moved up by one copy; each source's taken words
+    miss its target by half of the smallest such document's words (of all its equal rows) at
+    most, unless room for more documents of one size is left. Null sources are
     one source, after all others. Documents without words have copies by the same rule and
     take 0 words. An empty table gives an empty result; other columns are not looked at.
     """
