@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import metrics, quantiles
+from . import metrics, quantiles, ranks
 
 
 def first_hit(series: DataFrame, threshold: Column | float, path: str = "path", turn: str = "turn", value: str = "value") -> DataFrame:
@@ -60,10 +60,14 @@ def threshold_sweep(scored: DataFrame, grid: list[float], by: list[str] | None =
     return swept.select(*by, "theta", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), f1.alias("f1"))
 
 
-def out_of_fold_threshold(scored: DataFrame, grid: list[float], folds: int = 5, digits: int = 4) -> DataFrame:
+def out_of_fold_threshold(scored: DataFrame, grid: list[float], digits: int = 4) -> DataFrame:
     """(fold, theta, f1): for each fold the threshold of the best f1, rounded, on the others; the lowest of equals."""
-    others = scored.crossJoin(F.broadcast(scored.sparkSession.range(folds).withColumnRenamed("id", "held"))).filter("fold != held")
-    swept = threshold_sweep(others, grid, ["held"]).withColumn("f1", F.round("f1", digits))
+    # What the others have is what all have less the fold's own, so no row is copied for a fold.
+    own = threshold_sweep(scored, grid, ["fold"])
+    parts = ["tp", "fp", "fn"]
+    rest = own.groupBy("theta").agg(*(F.sum(c).alias(f"all_{c}") for c in parts)).join(own, "theta").select(F.col("fold").alias("held"), "theta", *((F.col(f"all_{c}") - F.col(c)).alias(c) for c in parts))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    swept = rest.withColumn("f1", F.round(f1, digits))
     best = swept.groupBy("held").agg(F.max_by(F.struct("theta", "f1"), F.struct(F.col("f1"), -F.col("theta"))).alias("b"))
     return best.select(F.col("held").alias("fold"), "b.theta", "b.f1")
 
@@ -114,13 +118,11 @@ def detection_turns(paths: DataFrame) -> DataFrame:
 
 
 def family_auroc(scored: DataFrame, family: str = "family") -> DataFrame:
-    """(family, auroc): each family's unsafe rows against all safe rows, whose levels are summed once."""
-    unsafe = scored.filter("y = 1")
-    levels = scored.filter("y = 0").groupBy("score").agg(F.count("*").alias("w")).withColumn("y", F.lit(0))
-    families = unsafe.select(family).distinct()
-    rows = unsafe.groupBy(family, "score").agg(F.count("*").alias("w")).withColumn("y", F.lit(1))
-    both = rows.unionByName(levels.crossJoin(families).select(family, "score", "w", "y"))
-    return metrics.auroc(both, by=[family], weight="w").select(family, "auroc")
+    """(family, auroc): each family's unsafe rows against all safe rows: their mean standing among these."""
+    safe = scored.filter("y = 0").groupBy("score").agg(F.count("*").alias("c"))
+    unsafe = scored.filter("y = 1").groupBy(family, "score").agg(F.count("*").alias("w"))
+    placed = ranks.standing(unsafe, safe, "score", "_share")
+    return placed.groupBy(family).agg((F.sum(F.col("w") * F.col("_share")) / F.sum("w")).alias("auroc"))
 
 
 def rank_ensemble(peaks: DataFrame, methods: list[str], reference: str) -> DataFrame:

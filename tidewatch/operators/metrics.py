@@ -6,13 +6,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import ranks
 
-def last_results(results: DataFrame, order: str | None = None) -> DataFrame:
+
+def last_results(results: DataFrame, order: str) -> DataFrame:
     """One result for each sample, the last by order, where ids repeat."""
-    if order is None:
-        return results.dropDuplicates(["sample_id"])
     rest = [c for c in results.columns if c not in ("sample_id",)]
     return results.groupBy("sample_id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("sample_id", "r.*")
 
@@ -54,9 +53,7 @@ def auroc(scored: DataFrame, by: list[str] | None = None, label: str = "y", scor
     by = by or []
     w = F.col(weight) if weight else F.lit(1)
     levels = scored.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).alias("neg"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    under = F.coalesce(F.sum("neg").over(below), F.lit(0))
-    ranked = levels.withColumn("won", F.col("pos") * (under + F.col("neg") / 2))
+    ranked = ranks.running(levels, by, [score], {"upto": F.col("neg")}).withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     sums = ranked.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     area = F.coalesce(F.try_divide(F.col("won"), F.col("n_pos") * F.col("n_neg").cast("double")), F.lit(degenerate).cast("double"))
     return sums.select(*by, area.alias("auroc"), "n_pos", "n_neg")
@@ -65,8 +62,8 @@ def auroc(scored: DataFrame, by: list[str] | None = None, label: str = "y", scor
 def average_precision(scored: DataFrame, by: list[str] | None = None, label: str = "y", score: str = "score", key: str = "sample_id") -> DataFrame:
     """Sum over positives of the precision at their place, by score downwards, ties by key; 1 for one class alone."""
     by = by or []
-    order = Window.partitionBy(*by).orderBy(F.desc(score), key).rowsBetween(Window.unboundedPreceding, 0)
-    placed = scored.withColumn("_hits", F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).over(order)).withColumn("_n", F.count("*").over(order))
+    rows = scored.select(*by, label, score, key)
+    placed = ranks.running(rows, by, [F.desc(score), F.col(key)], {"_hits": (F.col(label) == 1).cast("int"), "_n": F.lit(1)})
     out = placed.groupBy(*by).agg(F.sum(F.when(F.col(label) == 1, F.col("_hits") / F.col("_n"))).alias("_sum"), F.count_if(F.col(label) == 1).alias("_pos"), F.count("*").alias("_all"))
     both = (F.col("_pos") > 0) & (F.col("_pos") < F.col("_all"))
     return out.select(*by, F.when(both, F.col("_sum") / F.col("_pos")).otherwise(1.0).alias("auprc"))
@@ -74,9 +71,8 @@ def average_precision(scored: DataFrame, by: list[str] | None = None, label: str
 
 def average_ranks(frame: DataFrame, column: str, out: str) -> DataFrame:
     """Adds mid-ranks from 1: distinct values are counted, put in order, and joined back."""
-    levels = frame.groupBy(column).count()
-    below = F.coalesce(F.sum("count").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return frame.join(levels.select(column, (below + (F.col("count") + 1) / 2).alias(out)), column)
+    found = ranks.levels(frame, [], column).select(column, (F.col("le") - (F.col("c") - 1) / 2).alias(out))
+    return frame.join(found, column)
 
 
 def spearman(frame: DataFrame, a: str, b: str) -> DataFrame:

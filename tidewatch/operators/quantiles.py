@@ -3,26 +3,36 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import ranks
 
 
 def linear(frame: DataFrame, column: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation, one column p50, p90, ... each."""
-    return frame.groupBy(*(by or [])).agg(*(F.percentile(column, F.lit(p)).alias(f"p{round(100 * p)}") for p in shares))
+    """Exact percentiles with linear interpolation, one column p50, p90, ... each; nulls don't count."""
+    by = by or []
+    levels = _placed(frame, column, by)
+    at = {f"p{round(100 * p)}": (F.col("_n") - 1) * F.lit(float(p)) for p in shares}
+    ends = [F.max(F.when((F.col("le") > end(k)) & (F.col("le") - F.col("c") <= end(k)), F.col(column))).alias(f"_{name}{side}") for name, k in at.items() for side, end in (("low", F.floor), ("high", F.ceil))]
+    found = levels.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    return found.select(*by, *((F.col(f"_{name}low") + (F.col(f"_{name}high") - F.col(f"_{name}low")) * (k - F.floor(k))).alias(name) for name, k in at.items()))
 
 
-def _at(frame: DataFrame, column: str, by: list[str], place: Column) -> DataFrame:
-    """The value at a place, from 0, of each group in order; place may use _n, the group's rows.
+def _placed(frame: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by, column, c, le, _n): distinct values, how many rows have each and up to each, and how many the group has."""
+    levels = ranks.levels(frame, by, column)
+    total = frame.filter(F.col(column).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"))
+    if not by:
+        return levels.crossJoin(total)  # a row
+    return levels.join(total.withColumnsRenamed({n: f"_{n}_" for n in by}), reduce(lambda a, n: a & F.col(n).eqNullSafe(F.col(f"_{n}_")), by, F.lit(True))).drop(*(f"_{n}_" for n in by))
 
-    Values are counted first, so only distinct ones are put in order.
-    """
-    levels = frame.groupBy(*by, column).agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(*by).orderBy(column)
-    levels = levels.withColumn("_to", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    return levels.filter((F.col("_to") > place) & (F.col("_to") - F.col("_c") <= place)).drop("_to", "_c")
+
+def _at(frame: DataFrame, column: str, by: list[str], place: Column) -> DataFrame:
+    """The value at a place, from 0, of each group in order; place may use _n, the group's rows."""
+    return _placed(frame, column, by).filter((F.col("le") > place) & (F.col("le") - F.col("c") <= place)).drop("le", "c")
 
 
 def higher(frame: DataFrame, column: str, share: float, by: list[str] | None = None) -> DataFrame:
@@ -44,7 +54,7 @@ def robust_reference(frame: DataFrame, column: str, share: float) -> DataFrame:
     """A percentile; where it reaches the top level, the middle of the two top levels."""
     levels = frame.groupBy(column).count().select(column)
     top = levels.orderBy(F.desc(column)).limit(2).agg(F.max(column).alias("top"), F.min(column).alias("next"), F.count("*").alias("levels"))
-    found = frame.agg(F.percentile(column, F.lit(share)).alias("p")).crossJoin(top)
+    found = linear(frame, column, [share]).toDF("p").crossJoin(top)
     return found.select(F.when((F.col("levels") == 2) & (F.col("p") >= F.col("top")), (F.col("top") + F.col("next")) / 2).otherwise(F.col("p")).alias("reference"))
 
 
@@ -58,22 +68,13 @@ class QuantileNormalizer:
         """Distinct levels with how many reference scores lie below and up to each; ValueError for none."""
         if reference.isEmpty():
             raise ValueError("the reference has no scores")
-        counts = reference.groupBy(F.col(score).alias("level")).agg(F.count("*").alias("c"))
-        to = F.sum("c").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
-        self.levels = counts.select("level", (to - F.col("c")).alias("lt"), to.alias("le"))
+        levels = ranks.levels(reference.select(F.col(score).alias("level")), [], "level")
+        self.levels = levels.select("level", (F.col("le") - F.col("c")).alias("lt"), "le")
         return self
 
     def transform(self, scores: DataFrame, score: str = "score", out: str = "norm") -> DataFrame:
         """Adds out: (less + up to) / 2 / n, null for a null score. Distinct scores are looked up, then joined back."""
         if self.levels is None:
             raise RuntimeError("fit() comes first")
-        asked = scores.select(F.col(score).alias("level")).filter("level is not null").distinct().select("level", F.lit(None).cast("long").alias("lt"), F.lit(None).cast("long").alias("le"), F.lit(True).alias("asked"))
-        both = self.levels.select("level", "lt", "le", F.lit(False).alias("asked")).unionByName(asked)
-        # Of levels up to the score, the last one's counts; an equal level counts half.
-        upto = Window.orderBy("level").rangeBetween(Window.unboundedPreceding, 0)
-        below = F.coalesce(F.max("le").over(upto), F.lit(0))
-        equal = F.max("lt").over(Window.partitionBy("level"))
-        n = F.max("le").over(Window.partitionBy())
-        found = both.select("level", "asked", ((F.coalesce(equal, below) + below) / 2.0 / n).alias(out)).filter("asked").drop("asked")
-        found = found.select(F.col("level").alias("_level"), out)
-        return scores.join(found, scores[score] == found["_level"], "left").drop("_level")
+        reference = self.levels.select(F.col("level").alias(score), (F.col("le") - F.col("lt")).alias("c"))
+        return ranks.standing(scores, reference, score, out)

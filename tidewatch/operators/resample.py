@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics
-from .splits import hashed, position
+from .ranks import position, standing
+from .splits import hashed
 
 
 def numbered(frame: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
@@ -15,16 +16,23 @@ def numbered(frame: DataFrame, key: str, by: list[str] | None = None) -> DataFra
     return position(frame, by or [], [key])
 
 
+#: Draws that one row stands for until they are made.
+CHUNK = 10_000
+
+
 def draws(sizes: DataFrame, replicates: int, by: list[str] | None = None, salt: str = "") -> DataFrame:
     """(b, by..., pos, w): how often replicate b draws each place, with replacement.
 
     sizes: (by..., n). Draw k of replicate b takes place md5(salt b:k) mod n, so any engine
-    draws alike. Equal places are summed before they leave a task.
+    draws alike. Rows stand for up to CHUNK draws and are dealt out before these are made;
+    equal places are summed before they leave a task.
     """
     by = by or []
-    spark = sizes.sparkSession
-    each = spark.range(replicates).withColumnRenamed("id", "b").crossJoin(F.broadcast(sizes))  # sizes has a row for each group
-    each = each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK).cast("long"))
+    each = sizes.filter("n > 0").select(*by, "n", F.explode(chunks).alias("_chunk"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("b")).repartition("b", "_chunk", *by)
+    start = F.col("_chunk") * CHUNK
+    each = each.withColumn("k", F.explode(F.sequence(start, F.least(start + CHUNK, F.col("n")) - 1)))
     text = F.concat(F.lit(salt), *(F.concat(F.col(c).cast("string"), F.lit(":")) for c in by), F.col("b").cast("string"), F.lit(":"), F.col("k").cast("string"))
     return each.select("b", *by, F.pmod(hashed(text), F.col("n")).alias("pos")).groupBy("b", *by, "pos").agg(F.count("*").alias("w"))
 
@@ -37,7 +45,7 @@ def interval(values: DataFrame, column: str, level: float = 0.95) -> list[Column
 def bootstrap_rate(frame: DataFrame, hit: Column, key: str, replicates: int, salt: str = "") -> DataFrame:
     """(low, high) of the share of rows with hit, by the percentile method; 0 and 0 for no rows."""
     placed = numbered(frame.withColumn("_hit", hit.cast("int")), key).select("pos", "_hit")
-    sizes = placed.agg(F.count("*").alias("n")).filter("n > 0")
+    sizes = placed.agg(F.count("*").alias("n"))
     shares = draws(sizes, replicates, salt=salt).join(placed, "pos").groupBy("b").agg((F.sum(F.col("w") * F.col("_hit")) / F.sum("w")).alias("share"))
     return shares.agg(F.coalesce(F.percentile("share", F.lit(0.025)), F.lit(0.0)).alias("low"), F.coalesce(F.percentile("share", F.lit(0.975)), F.lit(0.0)).alias("high"))
 
@@ -71,13 +79,13 @@ def cluster_delta(frame: DataFrame, key: str, family: str, a: str, b: str, repli
     unsafe = numbered(frame.filter("y = 1").select(key, family, a, b), key, [family])
     drawn_safe = draws(safe.agg(F.count("*").alias("n")), replicates, salt="safe:").join(safe, "pos")
     drawn_unsafe = draws(unsafe.groupBy(family).agg(F.count("*").alias("n")), replicates, [family]).join(unsafe, [family, "pos"])
-    families = unsafe.select(family).distinct()
     out = None
     for s in (a, b):
-        # Each family meets the levels of the shared safe rows, not the rows.
-        levels = drawn_safe.groupBy("b", s).agg(F.sum("w").alias("w")).crossJoin(F.broadcast(families)).withColumn("y", F.lit(0))
-        own = drawn_unsafe.groupBy("b", family, s).agg(F.sum("w").alias("w")).withColumn("y", F.lit(1))
-        one = metrics.auroc(own.unionByName(levels.select(*own.columns)), by=["b", family], score=s, weight="w").select("b", family, F.col("auroc").alias(s))
+        # An AUROC is the mean standing of unsafe rows among safe ones: no family meets a copy of the safe rows.
+        levels = drawn_safe.groupBy("b", s).agg(F.sum("w").alias("c"))
+        own = drawn_unsafe.groupBy("b", family, s).agg(F.sum("w").alias("w"))
+        placed = standing(own, levels, s, "_share", ["b"])
+        one = placed.groupBy("b", family).agg((F.sum(F.col("w") * F.col("_share")) / F.sum("w")).alias(s))
         out = one if out is None else out.join(one, ["b", family])
     means = out.groupBy("b").agg(F.avg(F.col(a) - F.col(b)).alias("delta")).filter("delta is not null")
     return means.agg(F.count("*").alias("replicates"), F.avg("delta").alias("mean_delta"), *interval(means, "delta"), F.avg((F.col("delta") > 0).cast("double")).alias("p_positive"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import position
 
 
 def digest_modulus(text: Column, modulus: int) -> Column:
@@ -35,11 +36,6 @@ def hashed(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
 
 
-def position(frame: DataFrame, by: list[str], order: list[Column | str], out: str = "pos") -> DataFrame:
-    """Adds the place, from 0, within a group."""
-    return frame.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
-
-
 def group_folds(frame: DataFrame, group: str, key: str, k: int = 5) -> DataFrame:
     """Adds fold: the place in the group, by number, modulo k."""
     return position(frame, [group], [F.col(key).cast("long")]).withColumn("fold", F.col("pos") % k).drop("pos")
@@ -51,14 +47,10 @@ def shuffled_folds(frame: DataFrame, label: str, key: str, k: int = 5) -> DataFr
 
 
 def halves(frame: DataFrame, key: str) -> DataFrame:
-    """Adds calibration: the first half, rounded down, in the order of a hash.
-
-    The middle hash is found among distinct hashes, so no task holds all rows.
-    """
-    h = frame.withColumn("_h", hashed(F.col(key)))
-    counts = h.groupBy("_h").count()
-    upto = F.sum("count").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1))
-    return position(h.join(counts.select("_h", F.coalesce(upto, F.lit(0)).alias("_before")), "_h"), ["_h"], [key], "_k").crossJoin(frame.agg(F.count("*").alias("_n"))).withColumn("calibration", F.col("_before") + F.col("_k") < F.floor(F.col("_n") / 2)).drop("_h", "_before", "_k", "_n")
+    """Adds calibration: the first half, rounded down, in the order of a hash."""
+    n = frame.agg(F.count("*").alias("_n"))  # a row
+    placed = position(frame.withColumn("_h", hashed(F.col(key))), [], ["_h", key], "_k").crossJoin(n)
+    return placed.withColumn("calibration", F.col("_k") < F.floor(F.col("_n") / 2)).drop("_h", "_k", "_n")
 
 
 def early_late(frame: DataFrame, group: str, key: str, early: int | None = None) -> DataFrame:
@@ -76,12 +68,13 @@ def leave_family_out(frame: DataFrame, family: str, unsafe: str, key: str) -> Da
     """
     safe = halves(frame.filter(f"not {unsafe}").select(key), key)
     families = frame.filter(unsafe).select(F.col(family).alias("held_family")).distinct()
-    marked = frame.join(safe, key, "left").crossJoin(F.broadcast(families))  # families are few
+    marked = frame.join(safe, key, "left").crossJoin(families)
     role = F.when(F.col(unsafe), F.when(F.col(family) == F.col("held_family"), "test").otherwise("train")).otherwise(F.when(F.col("calibration"), "train").otherwise("test"))
     return marked.select("held_family", key, role.alias("role"))
 
 
 def terciles(frame: DataFrame, order: list[str]) -> DataFrame:
     """Adds tercile 0, 1 or 2: sizes n // 3, n // 3 and the rest."""
-    ranked = frame.withColumn("_k", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_third", F.floor(F.count("*").over(Window.partitionBy()) / 3))
+    n = frame.agg(F.floor(F.count("*") / 3).alias("_third"))  # a row
+    ranked = position(frame, [], order, "_k").crossJoin(n)
     return ranked.withColumn("tercile", F.least(F.lit(2), F.floor(F.col("_k") / F.greatest(F.col("_third"), F.lit(1)))).cast("int")).drop("_k", "_third")

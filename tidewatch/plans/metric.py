@@ -91,12 +91,14 @@ def macro_auroc(spark, sf):
     return detection.family_auroc(s).agg(F.round(F.avg("auroc"), 9).alias("macro_auroc"), F.count("*").alias("families"))
 
 
-@query("WITH n AS (SELECT range AS n FROM range(1, 21)), w AS (SELECT n, w.range AS wins FROM n, range(0, 21) w WHERE w.range <= n), t AS (SELECT n, wins, k.range AS k FROM w, range(0, 21) k WHERE k.range BETWEEN wins AND n) SELECT n, wins, round(sum(factorial(n::INT) / (factorial(k::INT) * factorial((n - k)::INT))::DOUBLE) / pow(2, n), 9) AS p FROM t GROUP BY n, wins")
+@query(f"WITH {SC}, n AS (SELECT * FROM c WHERE y = 0), f AS (SELECT p.source, round({PAIRS.format(x='tied')}, 9) AS a, round({PAIRS.format(x='score')}, 9) AS b FROM c p, n WHERE p.y = 1 GROUP BY p.source), w AS (SELECT count(*) FILTER (WHERE b > a) AS wins, count(*) FILTER (WHERE b <> a) AS n FROM f), k AS (SELECT wins, n, unnest(range(wins, n + 1)) AS k FROM w) SELECT n, wins, round(sum(factorial(n::INT) / (factorial(k::INT) * factorial((n - k)::INT))::DOUBLE) / pow(2, n), 9) AS p FROM k GROUP BY n, wins")
 def sign_test(spark, sf):
-    """The table of one-sided sign tests for all results of up to 20 families."""
-    n = spark.range(1, 21).withColumnRenamed("id", "n")
-    pairs = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("wins"))
-    return pairs.select("n", "wins", F.round(metrics.sign_test(F.col("wins"), F.col("n")), 9).alias("p"))
+    """In how many families the untied score has the larger AUROC than the rounded one, and how likely so many are by chance."""
+    s = scored(spark, sf).withColumnRenamed("dataset_source", "family")
+    a, b = (detection.family_auroc(s.select("family", "y", F.col(c).alias("score"))).select("family", F.col("auroc").alias(n)) for c, n in (("tied", "a"), ("score", "b")))
+    a, b = (x.withColumn(x.columns[1], F.round(x.columns[1], 9)) for x in (a, b))
+    both = a.join(b, "family").agg(F.count_if(F.col("b") > F.col("a")).alias("wins"), F.count_if(F.col("a") != F.col("b")).alias("n"))
+    return both.select("n", "wins", F.round(metrics.sign_test(F.col("wins"), F.col("n")), 9).alias("p"))
 
 
 MID = "(SELECT {c}, avg(k) AS {o} FROM (SELECT {c}, row_number() OVER (ORDER BY {c}) AS k FROM l) GROUP BY {c})"
@@ -134,7 +136,10 @@ def robust_reference(spark, sf):
 
 @query("SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6)::DOUBLE AS median, round(stddev_pop(n_chars), 6) AS std FROM documents GROUP BY source")
 def length_stats(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.percentile("n_chars", F.lit(0.5)), 6).alias("median"), F.round(F.stddev_pop("n_chars"), 6).alias("std"))
+    d = table(spark, sf, "documents").select("source", "n_chars")
+    moments = d.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_pop("n_chars"), 6).alias("std"))
+    medians = quantiles.linear(d, "n_chars", [0.5], ["source"]).select(F.col("source").alias("s"), F.round("p50", 6).alias("median"))
+    return moments.join(medians, moments["source"].eqNullSafe(medians["s"]), "left").select("source", "n", "mean", "median", "std")
 
 
 @query("WITH w AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-záéíóúñ]+'))) AS word FROM conversations) SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 15")
