@@ -23,8 +23,9 @@ MARKED = "".join(MARKED)
 def terms(text: Column) -> Column:
     """Words of two letters or more, without marks, in lower case, and pairs of neighbours."""
     words = F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2)))
-    return F.concat(words, pairs)
+    # Inside of a lambda the words would be cut anew for each of them.
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 class TfIdf:
@@ -47,7 +48,9 @@ class TfIdf:
 
     def transform(self, rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
         """(key, term, weight); rows without known terms have none."""
-        weighted = self.counts(rows, key, text).join(self.idf, "term").withColumn("w", (1 + F.log("n")) * F.col("idf"))
+        # The vocabulary has at most `most` terms. Unknown terms leave before the one shuffle, by key.
+        known = rows.select(key, F.explode(terms(F.col(text))).alias("term")).join(F.broadcast(self.idf), "term").repartition(key)
+        weighted = known.groupBy(key, "term").agg(((1 + F.log(F.count("*"))) * F.first("idf")).alias("w"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
         return weighted.select(key, "term", (F.col("w") / norm).alias("weight"))
 
