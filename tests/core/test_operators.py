@@ -179,7 +179,7 @@ def test_failing_system_leaves_no_rows(spark):
 def test_stream_trips_resets_and_dead_letters(spark, tmp_path):
     rows = [("a", float(t), t, 0.97) for t in range(30)] + [("b", float(t), 100 + t, 0.3) for t in range(20)] + [("c", 5.0, 200, 0.1), ("c", 29.0, 201, 0.1)]
     df = spark.createDataFrame(rows, "path string, t double, seq long, score double")
-    out = fuse.replay(df, "cusum", folder=f"file://{tmp_path}").collect()
+    out = fuse.replay(df, "cusum", folder=f"file://{tmp_path}").seen().collect()
     trips = {p: [r.turn_index for r in sorted(out, key=lambda r: r.seq) if r.path == p and r.tripped] for p in "abc"}
     assert trips["b"] == trips["c"] == [] and trips["a"][0] < 15 and len(trips["a"]) > 1
     assert len(out) == len(rows) and not any(r.late for r in out)
@@ -188,7 +188,7 @@ def test_stream_trips_resets_and_dead_letters(spark, tmp_path):
 
 def test_replay_keeps_rows_without_time_or_score(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.0, 0, 0.1), ("a", None, 1, 0.2), ("a", 2.0, 2, None), ("a", 3.0, 3, 0.3)], "path string, t double, seq long, score double")
-    out = fuse.replay(df, "cusum", folder=f"file://{tmp_path}").collect()
+    out = fuse.replay(df, "cusum", folder=f"file://{tmp_path}").seen().collect()
     assert sorted((r.seq, r.late, r.stat_value is None) for r in out) == [(0, False, False), (1, True, True), (2, True, True), (3, False, False)]
 
 

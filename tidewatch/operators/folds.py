@@ -16,12 +16,13 @@ from pyspark.sql.window import Window
 
 @dataclass(frozen=True)
 class Statistic:
-    """step(state, score, dt) gives the next state; a state is a struct with first and value."""
+    """step(state, score, dt) gives the next state; a state is a struct with first and value. params: what step depends on."""
 
     name: str
     threshold: float
     start: dict[str, float]
     step: Callable[[Column, Column, Column], dict[str, Column]]
+    params: dict[str, float]
 
     def initial(self) -> Column:
         return F.struct(F.lit(True).alias("first"), *(F.lit(float(v)).alias(k) for k, v in {"value": 0.0, **self.start}.items()))
@@ -39,17 +40,17 @@ def i2t(tau: float = 5.0, theta: float = 0.9, threshold: float = 0.3) -> Statist
         over = F.greatest(F.lit(0.0), x - F.lit(theta))
         return {"value": F.when(s["first"], s["value"]).otherwise(s["value"] * F.exp(-dt / F.lit(tau))) + over * over}
 
-    return Statistic("i2t", threshold, {}, step)
+    return Statistic("i2t", threshold, {}, step, {"tau": tau, "theta": theta})
 
 
 def cusum(k_ref: float = 0.75, threshold: float = 2.0) -> Statistic:
-    return Statistic("cusum", threshold, {}, lambda s, x, dt: {"value": F.greatest(F.lit(0.0), s["value"] + (x - F.lit(k_ref)))})
+    return Statistic("cusum", threshold, {}, lambda s, x, dt: {"value": F.greatest(F.lit(0.0), s["value"] + (x - F.lit(k_ref)))}, {"k_ref": k_ref})
 
 
 def ewma(alpha: float = 0.3, threshold: float = 0.9) -> Statistic:
     if not 0 < alpha <= 1:
         raise ValueError("alpha lies above 0 and up to 1")
-    return Statistic("ewma", threshold, {}, lambda s, x, dt: {"value": F.when(s["first"], x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * s["value"])})
+    return Statistic("ewma", threshold, {}, lambda s, x, dt: {"value": F.when(s["first"], x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * s["value"])}, {"alpha": alpha})
 
 
 def kalman_slope(q_level: float = 1e-3, q_slope: float = 1e-4, r_obs: float = 0.05, threshold: float = 2.5) -> Statistic:
@@ -67,7 +68,7 @@ def kalman_slope(q_level: float = 1e-3, q_slope: float = 1e-4, r_obs: float = 0.
         out["value"] = F.greatest(F.lit(0.0), out["slope"] / F.sqrt(F.greatest(out["p11"], F.lit(1e-12))))
         return out
 
-    return Statistic("kalman_slope", threshold, {"level": 0.0, "slope": 0.0, "p00": 1.0, "p01": 0.0, "p10": 0.0, "p11": 1.0}, step)
+    return Statistic("kalman_slope", threshold, {"level": 0.0, "slope": 0.0, "p00": 1.0, "p01": 0.0, "p10": 0.0, "p11": 1.0}, step, {"q_level": q_level, "q_slope": q_slope, "r_obs": r_obs})
 
 
 STATISTICS = {"i2t": i2t, "cusum": cusum, "ewma": ewma, "kalman_slope": kalman_slope}

@@ -6,10 +6,9 @@ import math
 from collections.abc import Callable
 
 
-def stepper(stat, restore: dict | None = None) -> Callable:
-    """A factory of (update, reset) for a Statistic of folds; its options are read from its step."""
-    cells = dict(zip(stat.step.__code__.co_freevars, (c.cell_contents for c in stat.step.__closure__ or ())))
-    name = stat.name
+def stepper(stat) -> Callable:
+    """A factory of (update, reset) for a Statistic of folds, with its params."""
+    cells, name = stat.params, stat.name
 
     def make(state: dict | None = None):
         s = dict(state) if state else {"first": True, "value": 0.0, **stat_start}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.decisions import evaluation_correct
 
@@ -24,11 +25,30 @@ def write_csv(rows: DataFrame, folder: str) -> bool:
     return True
 
 
+def canonical(column: Column, kind: T.DataType) -> Column:
+    """The column with the fields of all its structs in order of name, and entries of maps in order of key."""
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*(canonical(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))
+        return F.when(column.isNotNull(), fields)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.array_sort(F.map_entries(column)), lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(entries)
+    return column
+
+
+def canonical_json(frame: DataFrame, names: list[str] | None = None) -> Column:
+    """Rows of frame as JSON: keys in order at each depth, nulls written out; equal rows give equal bytes."""
+    names = sorted(frame.columns if names is None else names)
+    kinds = {f.name: f.dataType for f in frame.schema.fields}
+    return F.to_json(F.struct(*(canonical(F.col(n), kinds[n]).alias(n) for n in names)), {"ignoreNullFields": "false"})
+
+
 def sealed(frame: DataFrame, volatile: tuple[str, ...] = ("wall_time", "latency_ms")) -> DataFrame:
-    """(json, sha256): each row as JSON with its columns in order of name, volatile ones left out of the digest."""
-    names = sorted(frame.columns)
-    stable = F.to_json(F.struct(*(n for n in names if n not in volatile)))
-    return frame.select(F.to_json(F.struct(*names)).alias("json"), F.sha2(stable, 256).alias("sha256"))
+    """(json, sha256): each row as canonical JSON; volatile columns are left out of the digest."""
+    stable = canonical_json(frame, [n for n in frame.columns if n not in volatile])
+    return frame.select(canonical_json(frame).alias("json"), F.sha2(stable, 256).alias("sha256"))
 
 
 def verify_seals(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,16 +1,23 @@
 """Live containment: a keyed stream of scores, one statistic for each path, trips with evidence.
 
-Observations that come before a path's last time go to the dead letters; with strict they
-fail the stream. A control row with reset set clears its path's statistic. State lives in
-RocksDB and can have a time to live. Rows out of order within a micro-batch are put in order.
+Scores can come raw: a Reference of benign scores turns them into shares of it before they
+reach their path. Observations before a path's last time go to the dead letters; with
+strict they fail the stream. A control row with reset set clears its path; a time in resets
+clears every path at its first observation from then on. With stop_on_trip a path ends with
+its first trip. State lives in RocksDB and can have a time to live; `values()` reads it. A
+stream that is started again from its checkpoint with another Fuse keeps the paths' states,
+so references and resets change between two micro-batches. Rows out of order within a
+micro-batch are put in order, for which a path's rows of one micro-batch are held.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +25,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.folds import make_statistic
 from ..operators.stats import stepper
+from .reference import Reference
 
 EVIDENCE = 10
-STATE = "first boolean, value double, level double, slope double, p00 double, p01 double, p10 double, p11 double, last double, turn long"
-OUT = "path string, t double, seq long, score double, stat_name string, stat_value double, threshold double, tripped boolean, turn_index long, evidence array<struct<t: double, score: double, stat_value: double>>, late boolean"
-
+NUMBERS = ["value", "level", "slope", "p00", "p01", "p10", "p11"]
+STATE = f"first boolean, {', '.join(f'{n} double' for n in NUMBERS)}, last double, turn long, epoch long, stopped boolean"
+OUT = "path string, t double, seq long, raw double, score double, reference long, stat_name string, stat_value double, threshold double, tripped boolean, turn_index long, evidence array<struct<t: double, score: double, stat_value: double>>, late boolean"
 
 @dataclass(frozen=True)
 class Fuse:
@@ -34,19 +42,25 @@ class Fuse:
     strict: bool = False
     ttl_ms: int | None = None
     options: dict = field(default_factory=dict)
+    normalizer: Reference | None = None
+    resets: tuple[float, ...] = ()
+    stop_on_trip: bool = False
 
     def watch(self, scores: DataFrame) -> DataFrame:
         """scores: a stream or table of (path, t, seq, score, reset); the result has a row for each observation.
 
-        Observations before the last, and those without time or score, are dead letters: late, without a value.
+        raw is the score as it came, score what the statistic got. Observations before the
+        last, and those without time or score, are dead letters: late, without a value. A
+        path that has stopped has no further rows.
         """
-        rows = scores.select(F.col("path").cast("string"), F.col("t").cast("double"), F.col("seq").cast("long"), F.col("score").cast("double"), (F.col("reset") if "reset" in scores.columns else F.lit(False)).alias("reset"))
-        return rows.groupBy("path").transformWithStateInPandas(statefulProcessor=_Watch(self), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if self.ttl_ms else "None")
+        rows = scores.select(F.col("path").cast("string"), F.col("t").cast("double"), F.col("seq").cast("long"), F.col("score").cast("double").alias("raw"), (F.col("reset") if "reset" in scores.columns else F.lit(False)).alias("reset"))
+        rows = self.normalizer.placed(rows, "raw", "score") if self.normalizer else rows.withColumn("score", F.col("raw"))
+        return rows.groupBy("path").transformWithStateInPandas(statefulProcessor=_Watch(self, self.normalizer.version if self.normalizer else None), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if self.ttl_ms else "None")
 
 
 class _Watch(StatefulProcessor):
-    def __init__(self, fuse: Fuse):
-        self.fuse = fuse
+    def __init__(self, fuse: Fuse, version: int | None):
+        self.fuse, self.version = replace(fuse, resets=tuple(sorted(fuse.resets)), normalizer=None), version
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         stat = make_statistic(self.fuse.statistic, **self.fuse.options)
@@ -58,44 +72,47 @@ class _Watch(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        names = ["first", "value", "level", "slope", "p00", "p01", "p10", "p11"]
-        kept, last, turn, recent = None, None, 0, []
+        fuse = self.fuse
+        kept, last, turn, epoch, stopped, recent = None, None, 0, 0, False, []
         if self.state.exists():
-            row = self.state.get()
-            kept = {k: v for k, v in zip(names, row[:8]) if k in ("first", "value", *self.start)}
-            last, turn = row[8], row[9]
+            first, *numbers, last, turn, epoch, stopped = self.state.get()
+            kept = {"first": first} | {k: v for k, v in zip(NUMBERS, numbers) if k in ("value", *self.start)}
             recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
         update, reset = self.make(kept)
-        out = []
+        version, out = self.version, []
         pdf = pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable")
-        for t, seq, score, control in zip(pdf["t"], pdf["seq"], pdf["score"], pdf["reset"]):
+        for t, seq, raw, score, control in zip(pdf["t"], pdf["seq"], pdf["raw"], pdf["score"], pdf["reset"]):
+            if stopped and not control:
+                continue
             if control:
                 reset()
-                last = None
+                last, stopped = None, False
                 continue
-            if pd.isna(t) or pd.isna(score):
-                # A dead letter, which leaves the state as it is.
-                out.append((key[0], t, seq, score, self.fuse.statistic, None, self.threshold, False, None, None, True))
-                continue
-            if last is not None and t < last:
-                if self.fuse.strict:
+            late = pd.isna(t) or pd.isna(score) or last is not None and t < last
+            if late:
+                if fuse.strict and last is not None and t < last:
                     raise ValueError(f"path {key[0]}: time {t} is before {last}")
-                out.append((key[0], t, seq, score, self.fuse.statistic, None, self.threshold, False, None, None, True))
+                # A dead letter, which leaves the state as it is.
+                out.append((key[0], t, seq, raw, score, version, fuse.statistic, None, self.threshold, False, None, None, True))
                 continue
+            now = bisect_right(fuse.resets, t)
+            if now > epoch:
+                reset()
+                epoch, last = now, None
             value = update(float(score), 1.0 if last is None else max(0.0, t - last))
             last, tripped = t, value >= self.threshold
-            recent = [*recent, (t, score, value)][-EVIDENCE:]
+            recent = [*recent, (t, float(score), value)][-EVIDENCE:]
             evidence = [{"t": a, "score": b, "stat_value": c} for a, b, c in recent] if tripped else None
-            out.append((key[0], t, seq, score, self.fuse.statistic, value, self.threshold, bool(tripped), turn, evidence, False))
+            out.append((key[0], t, seq, raw, score, version, fuse.statistic, value, self.threshold, bool(tripped), turn, evidence, False))
             turn += 1
-            if tripped and self.fuse.reset_on_trip:
+            stopped = bool(tripped) and fuse.stop_on_trip
+            if tripped and fuse.reset_on_trip:
                 reset()
         s = update.state
-        self.state.update(tuple([bool(s["first"]), *(float(s.get(k, 0.0)) for k in names[1:]), None if last is None else float(last), int(turn)]))
+        self.state.update((bool(s["first"]), *(float(s.get(k, 0.0)) for k in NUMBERS), None if last is None else float(last), int(turn), int(epoch), stopped))
         if recent:
             self.recent.put(recent)
-        columns = ["path", "t", "seq", "score", "stat_name", "stat_value", "threshold", "tripped", "turn_index", "evidence", "late"]
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in "path t seq raw score reference stat_name stat_value threshold tripped turn_index evidence late".split(" ")]).astype({"reference": "Int64", "turn_index": "Int64"})
 
     def close(self) -> None:
         pass
@@ -112,25 +129,70 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='tidewatch-stream-')}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this module's own, if the session still runs."""
+    if spark.sparkContext._jsc is None:
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def replay(scores: DataFrame, statistic: str = "i2t", folder: str | None = None, batches: int = 3, **options) -> DataFrame:
-    """Streams a table of scores through a Fuse until all is read, and returns what it wrote.
+def values(spark: SparkSession, checkpoint: str, fuse: Fuse | None = None, now: float | None = None) -> DataFrame:
+    """(path, value, turns, stopped) of all paths, from a stream's checkpoint by Spark's state reader.
 
-    The table is written in parts of ascending time, one after another, so that each
-    micro-batch reads the next. Rows of null time are in the first part; the stream's dead
-    letters tell of them.
+    Paths that were never seen have no row; their value is 0. With fuse and now, paths that a
+    reset of all is due for have the value 0.
     """
-    spark = scores.sparkSession
-    base = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
-    cuts = [None, *scores.approxQuantile("t", [k / batches for k in range(1, batches)], 0.01), None]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    state = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+    due = bisect_right(sorted(fuse.resets), now) if fuse and now is not None else 0
+    value = F.when(F.col("value.epoch") < due, F.lit(0.0)).otherwise(F.col("value.value"))
+    return state.select(F.col("key.path").alias("path"), value.alias("value"), F.col("value.turn").alias("turns"), F.col("value.stopped").alias("stopped"))
+
+
+class Replay:
+    """A table of scores, streamed through a Fuse in parts of ascending time.
+
+    Each part is one micro-batch of a stream that starts again from its checkpoint, and may
+    have a Fuse of its own. The folder goes when the process ends.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark = spark
+        self.base = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.out, self.checkpoint = f"{self.base}/out", f"{self.base}/state"
+        atexit.register(remove, spark, self.base)
+
+    def feed(self, part: DataFrame, fuse: Fuse, sink: Callable[[DataFrame, int], None] | None = None) -> None:
+        """Streams one more part; sink gets the micro-batch and its number instead of the folder of results."""
+        part.write.mode("append").parquet(f"{self.base}/in")
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        stream = self.spark.readStream.schema(part.schema).option("pathGlobFilter", "*.parquet").parquet(f"{self.base}/in")
+        seen = fuse.watch(stream).writeStream.option("checkpointLocation", self.checkpoint).trigger(availableNow=True)
+        query = seen.foreachBatch(sink).start() if sink else seen.format("parquet").option("path", self.out).start()
+        query.awaitTermination()
+
+    def seen(self) -> DataFrame:
+        return self.spark.read.parquet(self.out)
+
+
+def parts_by_time(scores: DataFrame, parts: int = 3) -> list[DataFrame]:
+    """Parts of ascending time of about one size; rows of null time are in the first."""
+    cuts = [None, *scores.approxQuantile("t", [k / parts for k in range(1, parts)], 0.01), None]
+    out = []
     for low, high in zip(cuts, cuts[1:]):
         part = scores if low is None else scores.filter(F.col("t") >= low)
-        part = part if high is None else part.filter((F.col("t") < high) | (F.col("t").isNull() if low is None else F.lit(False)))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{base}/in")
-    written = Fuse(statistic, options=options).watch(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    written.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+        out.append(part if high is None else part.filter((F.col("t") < high) | (F.col("t").isNull() if low is None else F.lit(False))))
+    return out
+
+
+def replay(scores: DataFrame, statistic: str = "i2t", folder: str | None = None, batches: int = 3, sink: Callable[[DataFrame, int], None] | None = None, fuse: Fuse | None = None, **options) -> Replay:
+    """Streams a table of (path, t, seq, score) through a Fuse, part by part, until all is read."""
+    fuse = fuse or Fuse(statistic, options=options)
+    run = Replay(scores.sparkSession, folder)
+    for part in parts_by_time(scores, batches):
+        run.feed(part, fuse, sink)
+    return run
