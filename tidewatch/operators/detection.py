@@ -105,6 +105,37 @@ def localisation(turns: DataFrame, least_turns: int = 3) -> DataFrame:
     )
 
 
+def overlaps_without(turns: DataFrame, reasons: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(path, turn, overlap) of turns with their path's reason, after the vocabulary has been taken out of both; 0 where nothing is shared.
+
+    turns: (path, turn, words), reasons: (path, words), arrays of words; vocabulary: (term),
+    say a sensor's positive terms, so that the sensor isn't held against its own words. Word
+    sets are relations here: the vocabulary leaves them by an anti-join. Paths of whose
+    reason no word is left have no rows.
+    """
+    said = turns.select("path", "turn", F.explode(F.array_distinct("words")).alias("word")).join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
+    meant = reasons.select("path", F.explode(F.array_distinct("words")).alias("word")).join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
+    sizes = meant.groupBy("path").agg(F.count("*").alias("meant"))
+    counts = said.join(meant.withColumn("hit", F.lit(1)), ["path", "word"], "left").groupBy("path", "turn").agg(F.count("*").alias("said"), F.count("hit").alias("shared"))
+    all_ = turns.select("path", "turn").join(sizes, "path").join(counts, ["path", "turn"], "left").fillna(0, ["said", "shared"])
+    return all_.select("path", "turn", (F.col("shared") / F.greatest(F.lit(1), F.col("said") + F.col("meant") - F.col("shared"))).alias("overlap"))
+
+
+def longest_control(turns: DataFrame, least_turns: int = 3) -> DataFrame:
+    """localisation(), and how much of it the longest turn explains. turns: (path, turn, overlap, score, length).
+
+    Adds argmax_longest, the share of paths whose highest turn is the longest, n_other, the
+    paths whose proxy isn't the longest, and top1_other, top1 over these; null for none.
+    """
+    found = localisation(turns, least_turns)
+    first = lambda c: F.max_by("turn", F.struct(F.col(c), -F.col("turn")))
+    paths = turns.groupBy("path").agg(first("overlap").alias("proxy"), first("score").alias("highest"), first("length").alias("longest"), F.max("overlap").alias("top"), F.count("*").alias("n"))
+    paths = paths.filter((F.col("n") >= least_turns) & (F.col("top") > 0))
+    other = F.col("proxy") != F.col("longest")
+    control = paths.agg(F.avg((F.col("highest") == F.col("longest")).cast("double")).alias("argmax_longest"), F.count_if(other).alias("n_other"), F.avg(F.when(other, (F.col("highest") == F.col("proxy")).cast("double"))).alias("top1_other"))
+    return found.crossJoin(control)  # a row each
+
+
 def role_hit(turns: DataFrame, role: str) -> DataFrame:
     """(n, hit, base): how often the highest turn has a role, and that role's share of turns, over paths with it."""
     path = turns.groupBy("path").agg(F.max_by("role", F.struct(F.col("score"), -F.col("turn"))).alias("top"), F.avg((F.col("role") == role).cast("double")).alias("share"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import checkpointed
+
 
 @dataclass(frozen=True)
 class Statistic:
@@ -163,3 +165,78 @@ def best_statistic(paths: DataFrame, label: str = "y", candidates: tuple[str, ..
     found = auroc(long, by=["place", "stat"])
     order = Window.orderBy(F.desc_nulls_last("auroc"), "place")  # a row for each candidate
     return found.select("stat", "auroc", (F.row_number().over(order) == 1).alias("best"))
+
+
+def replayed(stat: Statistic, obs: str = "obs") -> Column:
+    """(peak, first_trip, trips) along obs with each row's own dt: peak and first trip outlive the statistic's resets; first_trip is a place from 0."""
+    start = F.struct(stat.initial().alias("s"), F.lit(0).alias("k"), F.lit(0.0).alias("peak"), F.lit(None).cast("int").alias("first_trip"), F.lit(0).alias("trips"))
+
+    def step(acc: Column, o: Column) -> Column:
+        s = stat.after(acc["s"], o["x"], o["dt"])
+        hit = s["value"] >= F.lit(stat.threshold)
+        return F.struct(
+            F.when(hit, stat.initial()).otherwise(s).alias("s"), (acc["k"] + 1).alias("k"), F.greatest(acc["peak"], s["value"]).alias("peak"),
+            F.coalesce(acc["first_trip"], F.when(hit, acc["k"])).alias("first_trip"), (acc["trips"] + hit.cast("int")).alias("trips"),
+        )
+
+    return F.aggregate(obs, start, step, lambda acc: F.struct(acc["peak"].alias("peak"), acc["first_trip"].alias("first_trip"), acc["trips"].alias("trips")))
+
+
+def replay_difference(scores: DataFrame, stat: Statistic) -> DataFrame:
+    """(max_difference, mismatches, paths): the fold on columns against the plain loop, over the same rows.
+
+    max_difference is the largest gap of a path's peak, mismatches the paths whose first trip
+    or number of trips differ. Both evaluations are rows, joined by path.
+    """
+    a = ordered(scores).select("path", replayed(stat).alias("a")).select("path", "a.*")
+    turns = series(scores, stat, reset_on_trip=True)
+    placed = turns.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("t", "seq")) - 1)
+    b = placed.groupBy("path").agg(F.greatest(F.lit(0.0), F.max("value")).alias("peak_b"), F.min(F.when(F.col("tripped"), F.col("k"))).alias("first_b"), F.count_if("tripped").alias("trips_b"))
+    both = a.join(b, "path", "full_outer")
+    same = F.col("first_trip").eqNullSafe(F.col("first_b")) & F.col("trips").eqNullSafe(F.col("trips_b"))
+    return both.agg(F.max(F.coalesce(F.abs(F.col("peak") - F.col("peak_b")), F.lit(float("inf")))).alias("max_difference"), F.count_if(~same).alias("mismatches"), F.count("*").alias("paths"))
+
+
+def memory_peaks(paths: DataFrame, grid: DataFrame, most: int, obs: str = "obs") -> DataFrame:
+    """(path, y, fold, held, place, peak): the thermal peak of each path under each row of grid, all in one fold over the path.
+
+    grid: (held, place, theta, tau), at most `most` rows, which each path's fold carries as an
+    array; turns are one apart in time.
+    """
+    points = grid.agg(F.sort_array(F.collect_list(F.struct("held", "place", "theta", "tau"))).alias("grid"))
+    points = points.withColumn("grid", F.when(F.size("grid") <= most, F.col("grid")).otherwise(F.raise_error(F.lit(f"the grid has more than {most} points")).cast(points.schema["grid"].dataType)))
+    start = F.transform("grid", lambda g: F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("peak")))
+
+    def step(acc: Column, o: Column) -> Column:
+        def one(a: Column, g: Column) -> Column:
+            over = F.greatest(F.lit(0.0), o["x"] - g["theta"])
+            v = a["v"] * F.exp(-1 / g["tau"]) + over * over
+            return F.struct(v.alias("v"), F.greatest(a["peak"], v).alias("peak"))
+
+        return F.zip_with(acc, "grid", one)
+
+    folded = paths.crossJoin(points).withColumn("peaks", F.aggregate(obs, start, step))  # a row
+    each = folded.select("path", "y", "fold", F.explode(F.arrays_zip(F.col("grid").alias("g"), F.transform("peaks", lambda p: p["peak"]).alias("peak"))).alias("x"))
+    return each.select("path", "y", "fold", "x.g.held", "x.g.place", "x.peak")
+
+
+def grid_search(paths: DataFrame, folds: int, percents: list[float], taus: list[float]) -> DataFrame:
+    """(fold, percent, tau, theta, train_auroc, test_auroc): of each fold the best pair on the others, and how it does on the fold.
+
+    paths: (path, y, fold, obs). theta is a percentile of the safe scores of the other folds;
+    the best pair has the largest AUROC of peaks there, the first of equals, percents outside.
+    """
+    from . import metrics, quantiles
+
+    numbers = F.array(*(F.lit(k) for k in range(folds)))
+    safe = paths.filter("y = 0").select("fold", F.explode("obs").alias("o")).select("fold", F.col("o.x").alias("x"))
+    others = safe.select(F.explode(F.filter(numbers, lambda k: k != F.col("fold"))).alias("held"), "x")
+    cuts = quantiles.linear(others, "x", [p / 100 for p in percents], ["held"])
+    pairs = F.array(*(F.struct(F.lit(i * len(taus) + j).alias("place"), F.lit(float(p)).alias("percent"), F.col(f"p{round(p)}").alias("theta"), F.lit(float(tau)).alias("tau")) for i, p in enumerate(percents) for j, tau in enumerate(taus)))
+    grid = cuts.select("held", F.explode(pairs).alias("g")).select("held", "g.*")
+    grid = checkpointed(grid)
+    peaks = checkpointed(memory_peaks(paths, grid, folds * len(percents) * len(taus)).withColumn("peak", F.round("peak", 9)))
+    train = metrics.auroc(peaks.filter("fold != held"), by=["held", "place"], score="peak", degenerate=0.5)
+    best = train.groupBy("held").agg(F.max_by(F.struct("place", "auroc"), F.struct(F.col("auroc"), -F.col("place"))).alias("b")).select("held", "b.place", F.col("b.auroc").alias("train_auroc"))
+    test = metrics.auroc(peaks.filter("fold = held").join(best, ["held", "place"]), by=["held"], score="peak", degenerate=0.5)
+    return best.join(grid, ["held", "place"]).join(test.select("held", F.col("auroc").alias("test_auroc")), "held", "left").select(F.col("held").alias("fold"), "percent", "tau", "theta", "train_auroc", "test_auroc")

@@ -263,3 +263,63 @@ def auroc_delta(spark, sf):
     p = peaks_of(spark, sf)
     a, b = (metrics.auroc(p, score=m).select(F.col("auroc").alias(m)) for m in ("cusum", "ewma"))
     return a.crossJoin(b).select(F.round(F.col("cusum") - F.col("ewma"), 6).alias("delta"))
+
+
+#: A statistic that trips now and then on events, whose times are far apart.
+SLOW = {"tau": 86_400.0, "theta": 0.5, "threshold": 0.3}
+_STEP = "(a.v * exp(-o.dt / 86400.0::DOUBLE) + pow(greatest(0, o.x - 0.5::DOUBLE), 2))"
+_REPLAY = f"list_reduce(list({{'x': x, 'dt': dt, 'v': 0::DOUBLE, 'p': 0::DOUBLE, 'k': 0, 'f': -1, 'c': 0}} ORDER BY t, seq), lambda a, o: {{'x': o.x, 'dt': o.dt, 'v': CASE WHEN {_STEP} >= 0.3 THEN 0 ELSE {_STEP} END, 'p': greatest(a.p, {_STEP}), 'k': a.k + 1, 'f': CASE WHEN a.f < 0 AND {_STEP} >= 0.3 THEN a.k ELSE a.f END, 'c': a.c + CASE WHEN {_STEP} >= 0.3 THEN 1 ELSE 0 END}}, {{'x': 0::DOUBLE, 'dt': 0::DOUBLE, 'v': 0::DOUBLE, 'p': 0::DOUBLE, 'k': 0, 'f': -1, 'c': 0}})"
+
+
+@query(f"WITH {N}, r AS (SELECT path, {_REPLAY} AS r FROM d GROUP BY path) SELECT path, round(r.p, 6) AS peak, nullif(r.f, -1)::INT AS first_trip, r.c::INT AS trips FROM r")
+def accumulator_replay(spark, sf):
+    """Peak, first trip and trips of each user with the times between events, over resets."""
+    return _r(observed(spark, sf).select("path", folds.replayed(folds.i2t(**SLOW)).alias("r")).select("path", "r.*"), "peak")
+
+
+@query("SELECT 0.0::DOUBLE AS max_difference, 0::BIGINT AS mismatches, count(DISTINCT user_id) AS paths FROM events")
+def replay_difference(spark, sf):
+    """The fold on columns and the plain loop agree on all users."""
+    return _r(folds.replay_difference(normed(spark, sf), folds.i2t(**SLOW)), "max_difference", digits=9)
+
+
+GRID_PERCENTS, GRID_TAUS, GRID_FOLDS = [50.0, 75.0, 90.0], [1.0, 2.0, 5.0, 10.0], 3
+_GRID = f"""u AS (SELECT DISTINCT path, y FROM d),
+f AS (SELECT path, y, (row_number() OVER (PARTITION BY y ORDER BY ('0x' || substr(md5(path), 1, 8))::UBIGINT, path) - 1) % {GRID_FOLDS} AS fold FROM u),
+x AS (SELECT d.*, fold FROM d JOIN f USING (path)),
+th AS ({' UNION ALL '.join(f"SELECT held, {p}::DOUBLE AS percent, quantile_cont(x.x, {p / 100}) AS theta FROM x, (SELECT unnest(range({GRID_FOLDS})) AS held) WHERE x.y = 0 AND x.fold <> held GROUP BY held" for p in GRID_PERCENTS)}),
+g AS (SELECT held, percent, theta, tau, row_number() OVER (PARTITION BY held ORDER BY percent, tau) - 1 AS place FROM th, (SELECT unnest({GRID_TAUS!r}::DOUBLE[]) AS tau)),
+pk AS (SELECT path, any_value(x.y) AS y, any_value(fold) AS fold, held, place, round(list_reduce(list({{'x': x.x, 'th': theta, 'tau': tau, 'v': 0::DOUBLE, 'p': 0::DOUBLE}} ORDER BY t, seq), lambda a, o: {{'x': o.x, 'th': o.th, 'tau': o.tau, 'v': a.v * exp(-1 / o.tau) + pow(greatest(0, o.x - o.th), 2), 'p': greatest(a.p, a.v * exp(-1 / o.tau) + pow(greatest(0, o.x - o.th), 2))}}, {{'x': 0::DOUBLE, 'th': 0::DOUBLE, 'tau': 1::DOUBLE, 'v': 0::DOUBLE, 'p': 0::DOUBLE}}).p, 9) AS peak FROM x, g GROUP BY path, held, place),
+pairs AS (SELECT p.held, p.place, p.fold = p.held AS test, sum(CASE WHEN p.peak > n.peak THEN 1.0 WHEN p.peak = n.peak THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS auroc FROM pk p JOIN pk n ON p.held = n.held AND p.place = n.place AND (p.fold = p.held) = (n.fold = n.held) WHERE p.y = 1 AND n.y = 0 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY auroc DESC, place) AS k FROM pairs WHERE NOT test)"""
+
+
+@query(f"WITH {N}, {_GRID} SELECT b.held::INT AS fold, percent, tau, round(theta, 6) AS theta, round(b.auroc, 6) AS train_auroc, round(coalesce(t.auroc, 0.5), 6) AS test_auroc FROM best b JOIN g USING (held, place) LEFT JOIN pairs t ON t.held = b.held AND t.place = b.place AND t.test WHERE k = 1")
+def grid_search(spark, sf):
+    """Of each fold of users the thermal threshold and decay that do best on the others, and how they do on the fold."""
+    from ..operators.splits import shuffled_folds
+
+    o = observed(spark, sf)
+    paths = o.join(shuffled_folds(o.select("path", "y"), "y", "path", GRID_FOLDS).select("path", F.col("fold").cast("int").alias("fold")), "path")
+    return _r(folds.grid_search(paths, GRID_FOLDS, GRID_PERCENTS, GRID_TAUS), "theta", "train_auroc", "test_auroc")
+
+
+#: Words that come more than twice as often in turns of odd conversations than of even ones, which stand for a sensor's positive terms.
+_VOCAB = f"""b AS (SELECT conv_id, turn, length(text) % 97 / 97.0::DOUBLE AS score, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS length, {words_sql('text')} AS w FROM conversations),
+e AS (SELECT conv_id, turn, unnest(list_distinct(w)) AS word FROM b),
+vocab AS (SELECT word FROM e GROUP BY word HAVING count(*) FILTER (WHERE conv_id % 2 = 1) > 2 * count(*) FILTER (WHERE conv_id % 2 = 0)),
+k AS (SELECT * FROM e WHERE word NOT IN (SELECT word FROM vocab)),
+r AS (SELECT conv_id, word FROM k WHERE turn = 0),
+rn AS (SELECT conv_id, count(*) AS meant FROM r GROUP BY conv_id),
+s AS (SELECT k.conv_id, k.turn, count(*) AS said, count(r.word) AS shared FROM k LEFT JOIN r ON r.conv_id = k.conv_id AND r.word = k.word WHERE k.turn > 0 GROUP BY ALL),
+v AS (SELECT b.conv_id AS path, b.turn, score, length, coalesce(shared, 0) / greatest(1, coalesce(said, 0) + meant - coalesce(shared, 0))::DOUBLE AS overlap FROM b JOIN rn USING (conv_id) LEFT JOIN s ON s.conv_id = b.conv_id AND s.turn = b.turn WHERE b.turn > 0)"""
+
+
+@query(f"WITH {_VOCAB}, x AS (SELECT *, count(*) OVER p AS n, max(overlap) OVER p AS top, first_value(turn) OVER (PARTITION BY path ORDER BY overlap DESC, turn) AS proxy, first_value(turn) OVER (PARTITION BY path ORDER BY score DESC, turn) AS highest, first_value(turn) OVER (PARTITION BY path ORDER BY length DESC, turn) AS longest, row_number() OVER (PARTITION BY path ORDER BY score, turn) AS place, (sum(score) OVER p - score) / nullif(count(*) OVER p - 1, 0) AS other FROM v WINDOW p AS (PARTITION BY path)) SELECT count(*) AS n, round(avg((highest = proxy)::INT), 6) AS top1, round(avg(1 / n::DOUBLE), 6) AS chance, round(avg(place / n::DOUBLE), 6) AS mean_rank, round(avg(score - other), 6) AS delta, round(avg((score > other)::INT), 6) AS positive, round(avg((highest = longest)::INT), 6) AS argmax_longest, count(*) FILTER (WHERE proxy <> longest) AS n_other, round(avg((highest = proxy)::INT) FILTER (WHERE proxy <> longest), 6) AS top1_other FROM x WHERE n >= 3 AND top > 0 AND turn = proxy")
+def deconfounded_localization(spark, sf):
+    """localization, with a sensor's own words taken out of turns and reasons, and the longest turn as control."""
+    t = turns(spark, sf).select(F.col("conv_id").alias("path"), "turn", (F.char_length("text") % 97 / F.lit(97.0)).alias("score"), text.word_count(F.col("text")).alias("length"), text.content_words(F.col("text")).alias("words"))
+    said = t.select((F.col("path") % 2).alias("odd"), F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count_if(F.col("odd") == 1).alias("odd"), F.count_if(F.col("odd") == 0).alias("even"))
+    overlaps = detection.overlaps_without(t.filter("turn > 0"), t.filter("turn = 0"), said.filter("odd > 2 * even").select("term"))
+    found = detection.longest_control(overlaps.join(t.select("path", "turn", "score", "length"), ["path", "turn"]))
+    return _r(found, "top1", "chance", "mean_rank", "delta", "positive", "argmax_longest", "top1_other")
