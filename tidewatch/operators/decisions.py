@@ -114,6 +114,26 @@ def run_system(samples: DataFrame, name: str, scenarios: list[str] = SCENARIOS)
     return results.filter("decision is not null") if "error" in results.columns else results
 
 
+def measured_run(samples: DataFrame, name: str, folder: str, scenarios: list[str] = SCENARIOS) -> tuple[DataFrame, dict]:
+    """The results of a run, written to folder, and what was seen on the way: evaluated, failures, mean_latency_ms, seconds, per_second.
+
+    The metrics are observed while results are written, without a second pass. Failed
+    samples have no results and don't count for the latency; it's null for none.
+    """
+    import time
+
+    from pyspark.sql import Observation
+
+    found, seen = load(name)(samples.filter(F.col("scenario_type").isin(scenarios))), Observation("run")
+    good = F.col("decision").isNotNull()
+    observed = found.observe(seen, F.count_if(good).alias("evaluated"), F.count_if(~good).alias("failures"), F.avg(F.when(good, F.col("latency_ms"))).alias("mean_latency_ms"))
+    began = time.perf_counter()
+    observed.filter(good).write.mode("overwrite").parquet(folder)
+    seconds = time.perf_counter() - began
+    metrics = seen.get
+    return samples.sparkSession.read.parquet(folder), {**metrics, "seconds": seconds, "per_second": metrics["evaluated"] / seconds}
+
+
 def contract_breaches(samples: DataFrame, results: DataFrame) -> DataFrame:
     """Results that break the contract: unknown id, unknown decision, confidence outside 0 to 1."""
     known = samples.select("sample_id").withColumn("known", F.lit(True))

@@ -130,14 +130,15 @@ def mean_pool(states: Column, mask: Column) -> Column:
     return F.when(F.size(pairs) > 0, F.transform(total, lambda x: x / F.size(pairs)))
 
 
-def guarded_scores(turns: DataFrame, cache: DataFrame, ask: Callable[[list[str]], list[float]]) -> tuple[DataFrame, DataFrame]:
+def guarded_scores(turns: DataFrame, cache: DataFrame, ask: Callable[[list[str]], list[float]], most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Scores of turns (..., text) from a cache (key, score), asking a model for what it lacks.
 
-    ask gets distinct texts in batches on the executors. Returns the scored turns and the
+    ask gets distinct texts in batches on the executors, cut to most characters for a model
+    with a limit; keys are of whole texts. Returns the scored turns and the
     rows to append to the cache.
     """
     keyed = turns.withColumn("key", sha_key(F.col("text")))
-    missing = keyed.select("key", "text").dropDuplicates(["key"]).join(cache, "key", "left_anti")
+    missing = keyed.select("key", (F.col("text") if most is None else F.substring("text", 1, most)).alias("text")).dropDuplicates(["key"]).join(cache, "key", "left_anti")
 
     def rows(batches: Iterator) -> Iterator:
         for batch in batches:

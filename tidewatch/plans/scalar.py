@@ -224,3 +224,53 @@ def cache_join(spark, sf):
     t = turns(spark, sf).withColumn("key", text.sha_key(F.col("text")))
     cache = t.filter("key < 'f0'").groupBy("key").agg(F.round(F.max(F.char_length("text") % 100) / F.lit(100.0), 6).alias("score"))
     return t.join(cache, "key", "left").select("conv_id", "turn", "score")
+
+
+@query("SELECT conv_id, turn::BIGINT AS turn, CASE role WHEN 'assistant' THEN 'agent' ELSE role END AS role, text FROM conversations")
+def shape_fallback(spark, sf):
+    """Turns of trajectories as JSON, whose contents are a list of turns, or of odd ids a list of such lists."""
+    from ..sources.readers import contents
+
+    turn = F.struct(F.col("turn"), F.struct(F.when(F.col("role") == "assistant", "agent").otherwise(F.col("role")).alias("role"), F.col("text").alias("content")).alias("m"))
+    listed = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t")).select("conv_id", F.transform("t", lambda t: t["m"]).alias("t"), F.col("t.turn").alias("places"))
+    line = F.when(F.col("conv_id") % 2 == 1, F.to_json(F.struct(F.array("t").alias("contents")))).otherwise(F.to_json(F.struct(F.col("t").alias("contents"))))
+    parsed = listed.select("conv_id", "places", contents(F.parse_json(line)).alias("c"))
+    return parsed.select("conv_id", F.explode(F.arrays_zip(F.col("places").alias("turn"), F.col("c").alias("m"))).alias("x")).select("conv_id", F.col("x.turn").cast("long").alias("turn"), "x.m.role", F.col("x.m.content").alias("text"))
+
+
+def _timed(samples: DataFrame) -> DataFrame:
+    """A stand-in for a system that answers some samples, in a time by their length, and fails on others."""
+    length = F.char_length("text")
+    return samples.select("sample_id", F.when(length % 11 != 0, F.lit("allow")).alias("decision"), F.lit(None).cast("double").alias("confidence"), (length % 50).cast("double").alias("latency_ms"), F.when(length % 11 == 0, F.lit("down")).alias("error"))
+
+
+@query(f"WITH {S} SELECT count(*) FILTER (WHERE length(text) % 11 <> 0) AS evaluated, count(*) FILTER (WHERE length(text) % 11 = 0) AS failures, round(avg(length(text) % 50) FILTER (WHERE length(text) % 11 <> 0), 6) AS mean_latency_ms, true AS timed FROM s")
+def run_metrics(spark, sf):
+    """What a measured run saw while it wrote its results."""
+    import uuid
+
+    from ..streaming.fuse import shared_folder
+
+    decisions.register("timed", _timed)
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    results, m = decisions.measured_run(samples(spark, sf), "timed", folder)
+    assert results.count() == m["evaluated"]
+    return spark.createDataFrame([(m["evaluated"], m["failures"], round(m["mean_latency_ms"], 6) if m["mean_latency_ms"] is not None else None, m["per_second"] > 0)], "evaluated long, failures long, mean_latency_ms double, timed boolean")
+
+
+@query("SELECT (doc_id % 4)::INT AS fold, count(*) AS n, sum(n_chars + CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 0 END)::BIGINT AS chars, CASE WHEN doc_id % 4 = 2 THEN 2 ELSE 1 END::BIGINT AS writes FROM documents GROUP BY doc_id % 4")
+def resumed_folds(spark, sf):
+    """Sums of four folds over three runs: all are made, none is, and only the one that has changed is."""
+    import uuid
+    from collections import Counter
+
+    from ..sources.resume import Resumable
+    from ..streaming.fuse import shared_folder
+
+    sink = Resumable(f"{shared_folder(spark)}/folds-{uuid.uuid4().hex}")
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 4).cast("int").alias("fold"), "doc_id", "n_chars")
+    changed = d.withColumn("n_chars", F.col("n_chars") + (F.col("fold") == 2).cast("int"))
+    sums = lambda df: df.groupBy("fold").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    writes = Counter(f for inputs in (d, d, changed) for f in sink.run(inputs, sums))
+    counted = spark.createDataFrame([(int(f), n) for f, n in writes.items()], "fold int, writes long")
+    return sink.read(spark).join(counted, "fold").select("fold", "n", "chars", "writes")

@@ -14,10 +14,7 @@ from ..functions.text import first_present, mapped_role, tagged_turn
 from ..operators.splits import held_out
 from .tables import SAMPLE
 
-TRAJECTORY = (
-    "id string, label int, contents array<array<struct<role: string, content: string, thought: string, action: string>>>, "
-    "risk_source string, failure_mode string, real_world_harm string, reason string, tool_used string"
-)
+TURNS = "array<struct<role: string, content: string, thought: string, action: string>>"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -87,13 +84,24 @@ def agentharm(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(prompt.isNotNull()).select(*_sample(key, prompt, "agentharm", first_present(F.col("harm_category"), F.col("category")), F.lit(True), F.col("m"), "agentic_tool_use"))
 
 
+def contents(row: Column) -> Column:
+    """The turns of a trajectory given as a variant: its contents, or the first element of contents where that is a list itself."""
+    nested = F.startswith(F.schema_of_variant(F.try_variant_get(row, "$.contents[0]", "variant")), F.lit("ARRAY"))
+    return F.when(nested, F.try_variant_get(row, "$.contents[0]", TURNS)).otherwise(F.try_variant_get(row, "$.contents", TURNS))
+
+
 def trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """Samples from lines of JSON, one for each trajectory; the first list of contents holds its turns."""
-    rows = spark.read.schema(TRAJECTORY).json(path).filter("id is not null")
-    turns = F.transform(F.col("contents")[0], lambda t: F.struct(mapped_role(t["role"]).alias("role"), tagged_turn(t).alias("content")))
+    """Samples from lines of JSON, one for each trajectory, whose contents are a list of turns or a list of such lists, of which the first counts.
+
+    Blank lines, lines that aren't JSON, and those without an id are left out.
+    """
+    rows = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
+    field = lambda name: F.try_variant_get("v", f"$.{name}", "string")
+    rows = rows.filter(field("id").isNotNull())
+    turns = F.transform(contents(F.col("v")), lambda t: F.struct(mapped_role(t["role"]).alias("role"), tagged_turn(t).alias("content")))
     kept = ["risk_source", "failure_mode", "real_world_harm", "reason", "tool_used"]
-    meta = F.map_filter(F.create_map(*(x for k in kept for x in (F.lit(k), F.col(k)))), lambda _, v: v.isNotNull())
-    return rows.select(F.col("id").alias("sample_id"), F.lit("agentic_tool_use").alias("scenario_type"), turns.alias("turns"), F.lit("trajectories").alias("dataset_source"), F.col("risk_source").alias("harm_category"), (F.col("label") == 1).alias("should_block"), meta.alias("metadata"))
+    meta = F.map_filter(F.create_map(*(x for k in kept for x in (F.lit(k), field(k)))), lambda _, v: v.isNotNull())
+    return rows.select(field("id").alias("sample_id"), F.lit("agentic_tool_use").alias("scenario_type"), turns.alias("turns"), F.lit("trajectories").alias("dataset_source"), field("risk_source").alias("harm_category"), (F.try_variant_get("v", "$.label", "int") == 1).alias("should_block"), meta.alias("metadata"))
 
 
 def synthetic(spark: SparkSession, name: str) -> DataFrame:
@@ -167,3 +175,33 @@ def load_all(spark: SparkSession, paths: dict[str, str], limit: int = 0, **optio
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def latest(spark: SparkSession, pattern: str) -> str | None:
+    """The path, of those that match, whose name is the last in order; null for none. Only names are looked at."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    paths = [f.getPath() for f in found or []]
+    return max(paths, key=lambda p: p.getName()).toString() if paths else None
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(name, url, sha256, license, restricted) of the sources that a JSON object names; FileNotFoundError without a file."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    entry = "map<string, struct<url: string, sha256: string, license: string, restricted: boolean>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", entry)).alias("name", "entry"))
+    return rows.select("name", "entry.*")
+
+
+def checked(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """(name, status) of each manifest entry against its file, names giving paths: ok, mismatch, or missing."""
+    listed = manifest(spark, path)
+    there = {n: p for n, p in names.items() if exists(spark, p)}
+    found = None
+    for n, p in there.items():
+        one = file_digests(spark, p).select(F.lit(n).alias("name"), F.col("sha256").alias("found"))
+        found = one if found is None else found.unionByName(one)
+    found = found if found is not None else spark.createDataFrame([], "name string, found string")
+    status = F.when(F.col("found").isNull(), "missing").when(F.lower("sha256") == F.col("found"), "ok").otherwise("mismatch")
+    return listed.join(found, "name", "left").select("name", status.alias("status"))

@@ -63,8 +63,40 @@ def verify_seals(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(seals, "stem", "full_outer").select(F.col("stem").alias("name"), status.alias("status"))
 
 
-def markdown(rates: DataFrame) -> str:
-    """A short table of one row of rates."""
-    row = rates.first().asDict()
-    lines = ["| metric | value |", "|---|---|", *(f"| {k} | {'N/A' if v is None else f'{100 * v:.1f} %'} |" for k, v in row.items())]
-    return "\n".join(lines) + "\n"
+def report_metrics(rates: DataFrame, intervals: DataFrame, advanced: DataFrame) -> DataFrame:
+    """One row of a report's metrics: rates, intervals by rate with lower and upper, advanced ones. intervals: (rate, low, high)."""
+    ci = F.map_from_entries(F.sort_array(F.collect_list(F.struct("rate", F.struct(F.col("low").alias("lower"), F.col("high").alias("upper"))))))
+    whole = lambda df, name: df.select(F.struct(*df.columns).alias(name))
+    return whole(rates, "rates").crossJoin(intervals.agg(ci.alias("confidence_intervals_95"))).crossJoin(whole(advanced, "advanced"))  # a row each
+
+
+def write_report(rows: DataFrame, metrics: DataFrame, summary: dict, folder: str) -> None:
+    """A report in four forms: report.json (summary and metrics), samples as JSON lines and as CSV, report.md.
+
+    rows: report_rows(); metrics: report_metrics(), of which the one row comes to the driver.
+    """
+    import json
+
+    write_again(rows, {"summary": summary, "metrics": json.loads(metrics.select(canonical_json(metrics)).first()[0])}, folder)
+
+
+def write_again(rows: DataFrame, body: dict, folder: str) -> None:
+    """Writes a report from its samples and its body of summary and metrics; samples are written by their tasks, however many there are."""
+    import json
+
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{folder}/samples.parquet")
+    kept = spark.read.schema(rows.schema).parquet(f"{folder}/samples.parquet")
+    kept.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/samples.json")
+    kept.write.mode("overwrite").option("header", True).csv(f"{folder}/samples.csv")
+    rates = body["metrics"]["rates"]
+    rows_of = ["| metric | value |", "|---|---|", *(f"| {k} | {'N/A' if v is None else f'{100 * v:.1f} %'} |" for k, v in rates.items())]
+    for name, text in (("report.json", json.dumps(body, sort_keys=True, ensure_ascii=False)), ("report.md", "\n".join(rows_of))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+
+
+def read_report(spark: SparkSession, folder: str) -> tuple[dict, DataFrame]:
+    """Summary and metrics of a report, and its samples, to write it again elsewhere or in another form."""
+    import json
+
+    return json.loads(spark.read.text(f"{folder}/report.json").first().value), spark.read.parquet(f"{folder}/samples.parquet")
