@@ -29,6 +29,8 @@ from .shingles import BASE, mixed
 GRAMS, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 17, 16
 #: Labelled rows that training takes at most, of all languages together and of one, by a hash of doc_id.
 SAMPLE, EACH = 6_000, 400
+#: Languages that are learned at most: the model has 4 bytes for each of them and bucket, so 134 MB at most.
+LABELS = 256
 #: Parts of a language that are put in order each for itself first.
 SLICES = 64
 #: One in so many sampled rows calibrates; passes over the others; step size; rows of a step.
@@ -175,22 +177,27 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    """A fifth of documents by doc_id; false for a null doc_id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 ROWS = "lang string, h long, doc_id long, buckets array<int>, counts array<int>"
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> DataFrame:
+def training_rows(docs: DataFrame, sample: int = SAMPLE, each: int = EACH, labels: int = LABELS) -> DataFrame:
     """(lang, h, doc_id, buckets, counts) of labelled rows that aren't held out, the same ones for equal tables.
 
-    Of each language the each rows with the smallest hash h of doc_id, fewer if there are so
-    many languages that they were more than sample together. Texts are counted whole, on
-    executors.
+    The labels languages of the most such rows are learned, of equal ones those that come
+    first; no other is ever predicted. Of each the each rows with the smallest hash h of
+    doc_id are taken, fewer if they were more than sample together. Texts are counted whole,
+    on executors. Rows of null doc_id, text or lang aren't learned from.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    each = max(2 * CALIBRATION, min(each, sample // max(1, rows.select("lang").distinct().count())))
+    if sample < labels * 2 * CALIBRATION:
+        raise ValueError(f"a sample of {sample} rows is too small for {labels} languages")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    learned = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).collect()]
+    rows = rows.filter(F.col("lang").isin(learned)).withColumn("h", F.xxhash64("doc_id"))
+    each = min(each, sample // max(1, len(learned)))
     # Hashes alone are put in order: by tasks, by slices of a language, then by language. Texts are read for those up to the last one.
     first = rows.select("lang", "h", "doc_id", F.pmod(F.xxhash64("h"), F.lit(SLICES)).alias("slice"))
     for by in (["lang", "slice"], ["lang"]):
@@ -204,7 +211,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> Da
                 lists = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["lang", "h", "doc_id", "buckets", "counts"])
 
-    # A row for each language is broadcast.
+    # A row for each learned language is broadcast.
     chosen = rows.join(F.broadcast(lasts), "lang").filter("h <= last").select("lang", "h", "doc_id", "text").mapInArrow(made, ROWS)
     # Rows of one doc_id share a hash.
     same = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("buckets", "counts"))
