@@ -94,8 +94,10 @@ class TurnSensor:
 
 
 def balanced_logistic(rows: DataFrame, c: float = 1.0):
-    """rows: (features, y). Each class weighs half; the penalty is that of C = c over n rows."""
-    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    """rows: (features, y), y 0 or 1. Each class weighs half; the penalty is that of C = c over n rows."""
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().limit(3).collect()}
+    if not set(counts) <= {0, 1}:
+        raise ValueError("y is 0 or 1")
     n = sum(counts.values())
     weight = F.coalesce(*(F.when(F.col("y") == y, F.lit(n / (len(counts) * k))) for y, k in sorted(counts.items())))
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=50).fit(rows.withColumn("label", F.col("y").cast("double")).withColumn("weight", weight))
