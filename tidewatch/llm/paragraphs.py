@@ -112,12 +112,12 @@ def least_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
     kept = np.where(alone, 0, size - -(-percent * size // 100) + 1)
     ends = np.concatenate([[0], np.cumsum(kept)])
     at = np.repeat(offsets[:-1] - ends[:-1], kept) + np.arange(ends[-1])
-    return (values[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), ends
+    return values[at].view(np.int64), ends
 
 
 SET = ["set_id", "set_check"]
 PLACE_COLUMNS = "set_id long, set_check long, doc_id long, place int, start int, end int, words int"
-BAND_COLUMNS = "set_id long, set_check long, doc_id long, size int, keys array<int>"
+BAND_COLUMNS = "set_id long, set_check long, doc_id long, size int, keys array<long>"
 MEMBER_COLUMNS = "set_id long, set_check long, members array<long>"
 
 
