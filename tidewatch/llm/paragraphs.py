@@ -1,10 +1,10 @@
-"""Operator 8, substring dedup: paragraphs with MinHash banding, verified and clustered.
+"""Operator 8, substring dedup: paragraphs that share one of their smallest hashes, verified and clustered.
 
 Texts have passages in common that start and end anywhere, so paragraphs are cut where the
 words say so: before each word pair whose hash is the smallest of all pairs within RADIUS
 words. Equal passages are cut alike, up to RADIUS words from their ends. Paragraphs of equal
-sets of five-word shingles are one class; classes that share a MinHash band, one of each set's
-smallest hashes, are compared by exact Jaccard similarity and clustered into components. Of each component the first place
+sets of five-word shingles are one class; classes that share a band, a single one of each set's
+smallest hashes (a prefix filter, not banded signatures), are compared by exact Jaccard similarity and clustered into components. Of each component the first place
 (smallest doc_id, then place) stays; where other documents repeat paragraphs in a run of
 enough words, those paragraphs are removed.
 """
