@@ -52,7 +52,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document of the mix."""
-    return bpe_digests(docs, most=100_000)  # workers of earlier stages hold memory as well
+    return bpe_digests(docs, most=100_000, forget=True)  # workers of other stages hold memory as well
 
 
 STAGES = [

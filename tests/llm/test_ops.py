@@ -278,6 +278,7 @@ def test_bpe_frames(spark):
     assert len(rows) == len(EDGE) and {r.doc_id: r.n_tokens for r in rows}[1] == 0
     for r in bpe.bpe_round_trip(docs(spark, EDGE)).collect():
         assert r.n_tokens == len(r.ids)
+    assert sorted(map(str, bpe.bpe_digests(docs(spark, EDGE), forget=True).collect())) == sorted(map(str, rows))
     assert bpe.bpe_digests(docs(spark, EDGE).limit(0)).collect() == []
 
 

@@ -7,6 +7,7 @@ the vocabulary's strings. The vocabulary file is a parameter; nothing is trained
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import heapq
 import json
@@ -143,6 +144,14 @@ class WordBpe:
         strings = self.strings
         return " ".join([strings[i] for i in ids])
 
+    def forget(self) -> None:
+        """Frees encoded words, and hands freed memory back to the system where its allocator can."""
+        self.cache.clear()
+        self.whole.cache_clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
 
 @lru_cache(2)
 def word_bpe(path: str, most: int = CACHE) -> WordBpe:
@@ -178,12 +187,13 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, text string, ids array<int>, n_tokens long, decoded string")
 
 
-def bpe_digests(docs: DataFrame, path: str | None = None, most: int = CACHE) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str | None = None, most: int = CACHE, forget: bool = False) -> DataFrame:
     """Digests of the ids and of the text decoded from them, one row per document.
 
     The long forms of bpe_round_trip() stay in the worker. Null and empty texts have 0
     tokens and the digests of no bytes; rows with a null doc_id and repeated rows stay; an
     empty table gives an empty result; other columns are left out. One pass, no shuffle; a worker holds 256 texts and at most most encoded words.
+    forget: whether a task's end frees these words, for executors whose workers have other work as well.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +208,8 @@ def bpe_digests(docs: DataFrame, path: str | None = None, most: int = CACHE) ->
                     ids_sha.append(hashlib.sha256(raw).hexdigest())
                     decoded_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if forget:
+            bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
