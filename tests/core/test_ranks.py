@@ -107,3 +107,20 @@ def test_no_window_holds_all_rows(many_parts):
     plan = ranks.position(frame, [], ["x", "id"])._jdf.queryExecution().executedPlan().toString()
     at = [k for k, line in enumerate(plan.split("\n")) if "SinglePartition" in line]
     assert all("HashAggregate" in plan.split("\n")[k + 1] for k in at)
+
+
+def test_draws_are_not_broadcast_and_keep_their_tasks(spark):
+    placed = resample.numbered(spark.range(3_000).select("id", (F.col("id") % 2).cast("int").alias("hit")), "id")
+    found = resample.drawn(placed, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [pos" in plan and "BroadcastHashJoin [pos" not in plan and "REPARTITION_BY_NUM" in plan
+    assert found.agg(F.sum("w")).first()[0] == 60_000
+
+
+def test_scores_of_a_replicate_share_their_draws(spark, monkeypatch):
+    made, draws = [], resample.draws
+    monkeypatch.setattr(resample, "draws", lambda *a: made.append(a) or draws(*a))
+    frame = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("y"), F.rand(3).alias("s"))
+    both = resample.bootstrap_auroc(frame.withColumn("t", F.col("s")), "id", 4, ["s", "t"])
+    assert both.count() == 4 and both.filter("s != t").count() == 0
+    assert len(made) == 1 and "BroadcastHashJoin [pos" not in both._jdf.queryExecution().executedPlan().toString()
