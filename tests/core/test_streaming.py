@@ -145,3 +145,46 @@ def test_canonical_json_sorts_all_depths(spark):
     assert json.loads(text)["a"] == {"k1": {"p": None, "q": 3}, "k2": {"p": 2, "q": 1}}
     again = frame.withColumn("wall_time", F.lit(9.0))
     assert sealed(frame).first().sha256 == sealed(again).first().sha256
+
+
+def test_a_path_asks_its_state_once_a_batch():
+    """Each call goes to the JVM and back, for each path of each micro-batch."""
+    import pandas as pd
+
+    from tidewatch.streaming.fuse import Fuse, _Watch
+
+    calls, kept = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append("get")
+            return kept.get(self.name, iter(()) if self.name == "recent" else None)
+
+        def exists(self):
+            calls.append("exists")
+            return self.name in kept
+
+        def update(self, value):
+            calls.append("update")
+            kept[self.name] = value
+
+        put = update
+
+    class Handle:
+        def getValueState(self, name, *args, **kwargs):
+            return State(name)
+
+        getListState = getValueState
+
+    watch = _Watch(Fuse("cusum"), None)
+    watch.init(Handle())
+    rows = pd.DataFrame({"path": "a", "t": [2.0, 1.0, None], "seq": [2, 1, 3], "raw": [0.9, 0.8, 0.7], "score": [0.9, 0.8, 0.7], "reset": False})
+    (first,) = watch.handleInputRows(("a",), iter([rows.head(2), rows.tail(1)]), None)
+    assert first["seq"].tolist() == [1, 2, 3] and first["late"].tolist() == [False, False, True]
+    assert calls == ["get", "update", "update"]
+    (second,) = watch.handleInputRows(("a",), iter([rows.assign(t=[4.0, 1.5, 3.0])]), None)
+    assert second["late"].tolist() == [True, False, False] and second["turn_index"].dropna().tolist() == [2, 3]
+    assert calls[3:] == ["get", "get", "update", "update"]

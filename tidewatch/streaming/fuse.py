@@ -31,6 +31,8 @@ EVIDENCE = 10
 NUMBERS = ["value", "level", "slope", "p00", "p01", "p10", "p11"]
 STATE = f"first boolean, {', '.join(f'{n} double' for n in NUMBERS)}, last double, turn long, epoch long, stopped boolean"
 OUT = "path string, t double, seq long, raw double, score double, reference long, stat_name string, stat_value double, threshold double, tripped boolean, turn_index long, evidence array<struct<t: double, score: double, stat_value: double>>, late boolean"
+NAMES = "path t seq raw score reference stat_name stat_value threshold tripped turn_index evidence late".split(" ")
+
 
 @dataclass(frozen=True)
 class Fuse:
@@ -70,25 +72,30 @@ class _Watch(StatefulProcessor):
         self.recent = handle.getListState("recent", "t double, score double, stat_value double", ttlDurationMs=self.fuse.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import numpy as np
         import pandas as pd
 
+        # A path has few rows in a micro-batch, so plain lists are quicker here than frames.
         fuse = self.fuse
         kept, last, turn, epoch, stopped, recent = None, None, 0, 0, False, []
-        if self.state.exists():
-            first, *numbers, last, turn, epoch, stopped = self.state.get()
+        held = self.state.get()
+        if held is not None:
+            first, *numbers, last, turn, epoch, stopped = held
             kept = {"first": first} | {k: v for k, v in zip(NUMBERS, numbers) if k in ("value", *self.start)}
-            recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
+            recent = [tuple(r) for r in self.recent.get()]
         update, reset = self.make(kept)
         version, out = self.version, []
-        pdf = pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable")
-        for t, seq, raw, score, control in zip(pdf["t"], pdf["seq"], pdf["raw"], pdf["score"], pdf["reset"]):
+        parts = list(rows)
+        columns = [np.concatenate([p[c].to_numpy() for p in parts]) for c in ("t", "seq", "raw", "score", "reset")]
+        order = np.lexsort((columns[1].astype(float) if columns[1].dtype == object else columns[1], columns[0].astype(float)))
+        for t, seq, raw, score, control in zip(*(c[order].tolist() for c in columns)):
             if stopped and not control:
                 continue
             if control:
                 reset()
                 last, stopped = None, False
                 continue
-            late = pd.isna(t) or pd.isna(score) or last is not None and t < last
+            late = t is None or score is None or t != t or score != score or last is not None and t < last
             if late:
                 if fuse.strict and last is not None and t < last:
                     raise ValueError(f"path {key[0]}: time {t} is before {last}")
@@ -112,7 +119,8 @@ class _Watch(StatefulProcessor):
         self.state.update((bool(s["first"]), *(float(s.get(k, 0.0)) for k in NUMBERS), None if last is None else float(last), int(turn), int(epoch), stopped))
         if recent:
             self.recent.put(recent)
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in "path t seq raw score reference stat_name stat_value threshold tripped turn_index evidence late".split(" ")]).astype({"reference": "Int64", "turn_index": "Int64"})
+        if out:
+            yield pd.DataFrame({n: pd.array(v, "Int64") if n in ("reference", "turn_index") else list(v) for n, v in zip(NAMES, zip(*out))})
 
     def close(self) -> None:
         pass
