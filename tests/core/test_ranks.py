@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics, quantiles, ranks, resample
+from tidewatch.sources import tables
 
 
 @pytest.fixture
@@ -124,3 +125,16 @@ def test_scores_of_a_replicate_share_their_draws(spark, monkeypatch):
     both = resample.bootstrap_auroc(frame.withColumn("t", F.col("s")), "id", 4, ["s", "t"])
     assert both.count() == 4 and both.filter("s != t").count() == 0
     assert len(made) == 1 and "BroadcastHashJoin [pos" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_that_grows_is_broadcast(spark, tmp_path):
+    frame = spark.createDataFrame([(i, i % 3, i / 7) for i in range(60)], "id long, g long, x double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(ranks.position(frame, ["g"], ["id"]))
+    levels = frame.groupBy("x").agg(F.count("*").alias("c"))
+    looked_up = ranks.standing(frame, levels, "x", "share")
+    assert "SortMergeJoin" in plan(looked_up) and looked_up.count() == 60
+    for name, rows in (("documents", spark.range(40).selectExpr("id as doc_id", "repeat('a', int(id)) as text", "'en' as lang", "'s' as source")), ("labels", spark.range(40).selectExpr("id as doc_id", "1 as quality", "0 as toxic"))):
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = tables.samples(spark, str(tmp_path)).select("doc_id", "length")
+    assert "Broadcast" not in plan(found) and {r.doc_id: r.length for r in found.collect()} == {i: i for i in range(40)}

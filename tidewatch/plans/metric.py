@@ -19,7 +19,7 @@ PAIRS = "sum(CASE WHEN p.{x} > n.{x} THEN 1.0 WHEN p.{x} = n.{x} THEN 0.5 ELSE 0
 
 def scored(spark, sf) -> DataFrame:
     score = splits.hashed(F.col("sample_id")) / F.lit(4294967296.0) * 0.7 + F.when(F.col("should_block"), F.lit(0.2)).otherwise(0.0)
-    s = samples(spark, sf).select("sample_id", "doc_id", "should_block", "dataset_source", "quality", F.char_length("text").alias("length"))
+    s = samples(spark, sf).select("sample_id", "doc_id", "should_block", "dataset_source", "quality", "length")
     return s.withColumn("y", F.col("should_block").cast("int")).withColumn("score", score).withColumn("tied", F.round("score", 1))
 
 
