@@ -188,3 +188,40 @@ def test_a_path_asks_its_state_once_a_batch():
     (second,) = watch.handleInputRows(("a",), iter([rows.assign(t=[4.0, 1.5, 3.0])]), None)
     assert second["late"].tolist() == [True, False, False] and second["turn_index"].dropna().tolist() == [2, 3]
     assert calls[3:] == ["get", "get", "update", "update"]
+
+
+def test_paths_of_a_bucket_share_a_frame_and_keep_states_of_their_own(spark, tmp_path):
+    import pandas as pd
+
+    from tidewatch.streaming.fuse import Fuse, _Buckets
+
+    kept, calls = {}, []
+
+    class Map:
+        def getValue(self, key):
+            calls.append("get")
+            return kept.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("update")
+            kept[key] = value
+
+    class Handle:
+        def getMapState(self, *args, **kwargs):
+            return Map()
+
+    watch = _Buckets(Fuse("cusum"), None)
+    watch.init(Handle())
+    rows = pd.DataFrame({"path": ["a", "b", None, "a"], "t": [2.0, 1.0, 1.0, 1.0], "seq": [2, 1, 3, 1], "raw": 0.9, "score": 0.9, "reset": False})
+    (out,) = watch.handleInputRows((7,), iter([rows.head(3), rows.tail(1)]), None)
+    assert sorted(zip(out["path"].fillna("-"), out["seq"])) == [("-", 3), ("a", 1), ("a", 2), ("b", 1)]
+    assert len(calls) == 6 and [r[0] for r in kept[("a",)][-1]] == [1.0, 2.0]
+    # Through a stream: few buckets, many paths, one of them null, and each path on its own.
+    rnd = random.Random(8)
+    frame = spark.createDataFrame([(rnd.choice([None, *map(str, range(30))]), float(k // 3), k, rnd.random()) for k in range(600)], SCORES)
+    seen = []
+    for buckets in (2, None):
+        run = fuse.replay(frame, folder=f"file://{tmp_path}", fuse=fuse.Fuse("cusum", options={"k_ref": 0.4}, buckets=buckets), batches=2)
+        states = {(r.path, r.value, r.turns, r.stopped) for r in fuse.values(spark, run.checkpoint).collect()}
+        seen.append(({json.dumps(r.asDict(True), sort_keys=True) for r in run.seen().collect()}, states))
+    assert seen[0] == seen[1] and len(seen[0][0]) == 600 and len(seen[0][1]) == 31

@@ -4,10 +4,14 @@ Scores can come raw: a Reference of benign scores turns them into shares of it b
 reach their path. Observations before a path's last time go to the dead letters; with
 strict they fail the stream. A control row with reset set clears its path; a time in resets
 clears every path at its first observation from then on. With stop_on_trip a path ends with
-its first trip. State lives in RocksDB and can have a time to live; `values()` reads it. A
+its first trip. State lives in RocksDB and can have a time to live; `values()` reads it.
+Paths are dealt into buckets by a hash, and a bucket's rows of a micro-batch are worked on
+together; each of its paths has an entry of its own in the bucket's state, and only those
+that have rows are read and written. The number of buckets stays as long as the checkpoint. A
 stream that is started again from its checkpoint with another Fuse keeps the paths' states,
 so references and resets change between two micro-batches. Rows out of order within a
-micro-batch are put in order, for which a path's rows of one micro-batch are held.
+micro-batch are put in order, for which a bucket's rows of one micro-batch are held (a path's,
+without buckets).
 """
 
 from __future__ import annotations
@@ -31,12 +35,16 @@ EVIDENCE = 10
 NUMBERS = ["value", "level", "slope", "p00", "p01", "p10", "p11"]
 STATE = f"first boolean, {', '.join(f'{n} double' for n in NUMBERS)}, last double, turn long, epoch long, stopped boolean"
 OUT = "path string, t double, seq long, raw double, score double, reference long, stat_name string, stat_value double, threshold double, tripped boolean, turn_index long, evidence array<struct<t: double, score: double, stat_value: double>>, late boolean"
+SEEN = "array<struct<t: double, score: double, stat_value: double>>"
 NAMES = "path t seq raw score reference stat_name stat_value threshold tripped turn_index evidence late".split(" ")
 
 
 @dataclass(frozen=True)
 class Fuse:
-    """What a stream of scores is watched with; threshold overrides the statistic's own."""
+    """What a stream of scores is watched with; threshold overrides the statistic's own.
+
+    buckets: how many groups paths are dealt into, or None for each path on its own.
+    """
 
     statistic: str = "i2t"
     threshold: float | None = None
@@ -47,6 +55,7 @@ class Fuse:
     normalizer: Reference | None = None
     resets: tuple[float, ...] = ()
     stop_on_trip: bool = False
+    buckets: int | None = 512
 
     def watch(self, scores: DataFrame) -> DataFrame:
         """scores: a stream or table of (path, t, seq, score, reset); the result has a row for each observation.
@@ -57,7 +66,11 @@ class Fuse:
         """
         rows = scores.select(F.col("path").cast("string"), F.col("t").cast("double"), F.col("seq").cast("long"), F.col("score").cast("double").alias("raw"), (F.col("reset") if "reset" in scores.columns else F.lit(False)).alias("reset"))
         rows = self.normalizer.placed(rows, "raw", "score") if self.normalizer else rows.withColumn("score", F.col("raw"))
-        return rows.groupBy("path").transformWithStateInPandas(statefulProcessor=_Watch(self, self.normalizer.version if self.normalizer else None), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if self.ttl_ms else "None")
+        kind, key = _Watch, "path"
+        if self.buckets:
+            kind, key = _Buckets, "_bucket"
+            rows = rows.withColumn(key, F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int"))
+        return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=kind(self, self.normalizer.version if self.normalizer else None), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if self.ttl_ms else "None")
 
 
 class _Watch(StatefulProcessor):
@@ -68,27 +81,55 @@ class _Watch(StatefulProcessor):
         stat = make_statistic(self.fuse.statistic, **self.fuse.options)
         self.make, self.start = stepper(stat), stat.start
         self.threshold = self.fuse.threshold if self.fuse.threshold is not None else stat.threshold
+        self._states(handle)
+
+    def _states(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", STATE, ttlDurationMs=self.fuse.ttl_ms)
         self.recent = handle.getListState("recent", "t double, score double, stat_value double", ttlDurationMs=self.fuse.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        parts = list(rows)
+        columns = self._columns(parts)
+        held = self.state.get()
+        recent = [] if held is None else [tuple(r) for r in self.recent.get()]
+        order = self._order(columns)
+        state, recent, out = self._follow(key[0], held, recent, zip(*(c[order].tolist() for c in columns)))
+        self.state.update(state)
+        if recent:
+            self.recent.put(recent)
+        if out:
+            yield self._frame(out)
+
+    @staticmethod
+    def _columns(parts: list) -> list:
         import numpy as np
-        import pandas as pd
 
         # A path has few rows in a micro-batch, so plain lists are quicker here than frames.
+        return [np.concatenate([p[c].to_numpy() for p in parts]) for c in ("t", "seq", "raw", "score", "reset")]
+
+    @staticmethod
+    def _order(columns: list, *first):
+        """Places by first, time and tie-break."""
+        import numpy as np
+
+        return np.lexsort((columns[1].astype(float) if columns[1].dtype == object else columns[1], columns[0].astype(float), *first))
+
+    @staticmethod
+    def _frame(out: list[tuple]):
+        import pandas as pd
+
+        return pd.DataFrame({n: pd.array(v, "Int64") if n in ("reference", "turn_index") else list(v) for n, v in zip(NAMES, zip(*out))})
+
+    def _follow(self, path: str, held: tuple | None, recent: list[tuple], rows: Iterator[tuple]) -> tuple[tuple, list[tuple], list[tuple]]:
+        """Follows a path over its rows in order; its state and last observations from then on, and the rows of the result."""
         fuse = self.fuse
-        kept, last, turn, epoch, stopped, recent = None, None, 0, 0, False, []
-        held = self.state.get()
+        kept, last, turn, epoch, stopped = None, None, 0, 0, False
         if held is not None:
             first, *numbers, last, turn, epoch, stopped = held
             kept = {"first": first} | {k: v for k, v in zip(NUMBERS, numbers) if k in ("value", *self.start)}
-            recent = [tuple(r) for r in self.recent.get()]
         update, reset = self.make(kept)
         version, out = self.version, []
-        parts = list(rows)
-        columns = [np.concatenate([p[c].to_numpy() for p in parts]) for c in ("t", "seq", "raw", "score", "reset")]
-        order = np.lexsort((columns[1].astype(float) if columns[1].dtype == object else columns[1], columns[0].astype(float)))
-        for t, seq, raw, score, control in zip(*(c[order].tolist() for c in columns)):
+        for t, seq, raw, score, control in rows:
             if stopped and not control:
                 continue
             if control:
@@ -98,9 +139,9 @@ class _Watch(StatefulProcessor):
             late = t is None or score is None or t != t or score != score or last is not None and t < last
             if late:
                 if fuse.strict and last is not None and t < last:
-                    raise ValueError(f"path {key[0]}: time {t} is before {last}")
+                    raise ValueError(f"path {path}: time {t} is before {last}")
                 # A dead letter, which leaves the state as it is.
-                out.append((key[0], t, seq, raw, score, version, fuse.statistic, None, self.threshold, False, None, None, True))
+                out.append((path, t, seq, raw, score, version, fuse.statistic, None, self.threshold, False, None, None, True))
                 continue
             now = bisect_right(fuse.resets, t)
             if now > epoch:
@@ -110,22 +151,46 @@ class _Watch(StatefulProcessor):
             last, tripped = t, value >= self.threshold
             recent = [*recent, (t, float(score), value)][-EVIDENCE:]
             evidence = [{"t": a, "score": b, "stat_value": c} for a, b, c in recent] if tripped else None
-            out.append((key[0], t, seq, raw, score, version, fuse.statistic, value, self.threshold, bool(tripped), turn, evidence, False))
+            out.append((path, t, seq, raw, score, version, fuse.statistic, value, self.threshold, bool(tripped), turn, evidence, False))
             turn += 1
             stopped = bool(tripped) and fuse.stop_on_trip
             if tripped and fuse.reset_on_trip:
                 reset()
         s = update.state
-        self.state.update((bool(s["first"]), *(float(s.get(k, 0.0)) for k in NUMBERS), None if last is None else float(last), int(turn), int(epoch), stopped))
-        if recent:
-            self.recent.put(recent)
-        if out:
-            yield pd.DataFrame({n: pd.array(v, "Int64") if n in ("reference", "turn_index") else list(v) for n, v in zip(NAMES, zip(*out))})
+        state = (bool(s["first"]), *(float(s.get(k, 0.0)) for k in NUMBERS), None if last is None else float(last), int(turn), int(epoch), stopped)
+        return state, recent, out
 
     def close(self) -> None:
         pass
 
 
+class _Buckets(_Watch):
+    """Many paths behind one key: frames are made for a bucket, not for each path, and a path's state is one entry."""
+
+    def _states(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("state", "path string", f"{STATE}, recent {SEEN}", ttlDurationMs=self.fuse.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        parts = list(rows)
+        columns = self._columns(parts)
+        codes, paths = pd.factorize(np.concatenate([p["path"].to_numpy() for p in parts]), use_na_sentinel=True)
+        order = self._order(columns, codes)
+        columns, codes, made = [c[order].tolist() for c in columns], codes[order], []
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for low, high in zip(cuts, cuts[1:]):
+            path = None if codes[low] < 0 else paths[codes[low]]  # rows without a path are one path
+            held = self.state.getValue((path,))
+            recent = [] if held is None else [tuple(r) for r in held[-1] or []]
+            state, recent, out = self._follow(path, None if held is None else tuple(held)[:-1], recent, zip(*(c[low:high] for c in columns)))
+            self.state.updateValue((path,), (*state, recent))
+            made += out
+        if made:
+            yield self._frame(made)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only in a local session without it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -157,8 +222,10 @@ def values(spark: SparkSession, checkpoint: str, fuse: Fuse | None = None, now:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     state = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
     due = bisect_right(sorted(fuse.resets), now) if fuse and now is not None else 0
-    value = F.when(F.col("value.epoch") < due, F.lit(0.0)).otherwise(F.col("value.value"))
-    return state.select(F.col("key.path").alias("path"), value.alias("value"), F.col("value.turn").alias("turns"), F.col("value.stopped").alias("stopped"))
+    # With buckets, a path is an entry of its bucket's map.
+    key, held = ("user_map_key", "user_map_value") if "user_map_key" in state.columns else ("key", "value")
+    value = F.when(F.col(f"{held}.epoch") < due, F.lit(0.0)).otherwise(F.col(f"{held}.value"))
+    return state.select(F.col(f"{key}.path").alias("path"), value.alias("value"), F.col(f"{held}.turn").alias("turns"), F.col(f"{held}.stopped").alias("stopped"))
 
 
 class Replay:
