@@ -32,9 +32,9 @@ def tfidf_out_of_fold(spark, sf):
     """Out-of-fold AUROC of trajectories' largest turn score; labels are stand-ins by conv_id."""
     rows = _rows(spark, sf)
     folds = splits.shuffled_folds(rows.select("conv_id", "y").distinct(), "y", "conv_id", 3).select("conv_id", "fold")
-    rows = rows.join(folds, "conv_id").persist()
+    rows = rows.join(folds, "conv_id")
     scored = sensors.out_of_fold(rows.select("id", "text", "y", "fold"), sensors.TurnSensor, 3)
-    peaks = rows.join(scored.select("id", "score"), "id").groupBy("conv_id", "y").agg(F.max("score").alias("score"))
+    peaks = rows.select("id", "conv_id", "y").join(scored.select("id", "score").hint("merge"), "id").groupBy("conv_id", "y").agg(F.max("score").alias("score"))
     return metrics.auroc(peaks)
 
 
