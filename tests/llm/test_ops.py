@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, fuzzy, langid, linking, media, minhash, mixing, paragraphs, rollup, shingles, tokenfiles, urls
-from tidewatch.llm.common import Scratch
+from tidewatch.llm.common import Scratch, strings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGE = [(1, None), (2, ""), (3, "one"), (3, "one"), (4, "one"), (None, "one"), (5, " \t\n"), (6, "word " * 30_000), (7, "é ü\U0001f389 \x00")]
@@ -470,3 +471,36 @@ def test_token_files_edges(spark):
     assert min(got, key=lambda r: r.start).doc_id is None and {r.doc_id: r.n_tokens for r in got}[1] == 1
     tokenfiles.write_token_files(docs(spark, EDGE).limit(0), f"{kept.base}/b")
     assert tokenfiles.document_digests(tokenfiles.read_token_files(spark, f"{kept.base}/b")).collect() == []
+
+
+def test_passages_are_cut_out_without_a_python_worker(spark):
+    rnd = random.Random(21)
+    passage = words(rnd, 80)
+    rows = [(1, f"{words(rnd, 50)} {passage}"), (2, f"été  {words(rnd, 40)}\n{passage}\n  日本 {words(rnd, 40)} {passage}"), (3, None), (4, "")]
+    out = paragraphs.substring_dedup(docs(spark, rows))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i].text for i in (1, 3, 4)] == [rows[0][1], None, ""]
+    raw, parts, at = rows[1][1].encode(), [], 0
+    for s in got[2].spans:
+        parts.append(raw[at : s.start])
+        at = s.end
+    parts.append(raw[at:])
+    assert len(parts) == 3
+    joined = b"".join(p if not k else p.lstrip(b" ") if parts[k - 1][-1:] in (b" ", b"\n", b"") else p for k, p in enumerate(parts))
+    assert got[2].text == joined.decode() and got[2].removed_words >= 120
+
+
+def test_few_texts_of_a_batch_are_python_strings_at_once():
+    column = pa.array([f"text {k}" if k % 7 else None for k in range(1000)])
+    taken = []
+
+    class Seen:
+        def __len__(self):
+            return len(column)
+
+        def slice(self, at, n):
+            taken.append(n)
+            return column.slice(at, n)
+
+    assert list(strings(Seen())) == column.to_pylist() and max(taken) <= 64

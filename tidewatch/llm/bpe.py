@@ -7,7 +7,6 @@ the vocabulary's strings. The vocabulary file is a parameter; nothing is trained
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import heapq
 import json
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import hand_back, table
 
 #: White space of the Unicode standard, which the vocabulary's pattern \s means.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -148,9 +147,7 @@ class WordBpe:
         """Frees encoded words, and hands freed memory back to the system where its allocator can."""
         self.cache.clear()
         self.whole.cache_clear()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        hand_back()
 
 
 @lru_cache(2)

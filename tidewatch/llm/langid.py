@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import hand_back, table
 from .shingles import BASE, mixed
 
 GRAMS, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 17, 16
@@ -210,6 +210,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, each: int = EACH, label
                 found = counted(part.column(3).to_pylist())
                 lists = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["lang", "h", "doc_id", "buckets", "counts"])
+        hand_back()
 
     # A row for each learned language is broadcast.
     chosen = rows.join(F.broadcast(lasts), "lang").filter("h <= last").select("lang", "h", "doc_id", "text").mapInArrow(made, ROWS)
@@ -229,6 +230,8 @@ def trained(docs: DataFrame) -> Model:
             rows += zip(hs, ids, langs, *lists)
         rows.sort(key=lambda r: (r[0], r[1], r[2], zlib.crc32(r[3]), zlib.crc32(r[4])))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2:] for r in rows]))], pa.binary())], ["model"])
+        rows.clear()
+        hand_back()
 
     found = training_rows(docs).coalesce(1).mapInArrow(made, "model binary").first()
     return pickle.loads(found.model) if found else train([])
@@ -253,6 +256,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] | list[str] =
             for part in chopped(batch):
                 langs, score, rejected = model.predict(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names)
+        hand_back()
 
     return chosen.mapInArrow(rows, schema)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, among, table
+from .common import Scratch, among, hand_back, strings, table
 from .linking import link
 from .shingles import band_keys, batched, jaccard_counts, minhash, shingle_sets
 
@@ -60,7 +60,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0), 0
-            for raws in batched(batch.column(1).to_pylist()):
+            for raws in batched(strings(batch.column(1))):
                 flat, offsets = shingle_sets(raws)
                 signs = minhash(flat, offsets, bands * rows)
                 hashes = [xxhash.xxh3_128_digest(flat[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -73,6 +73,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                     names,
                 )
                 at += len(raws)
+        hand_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n_shingles long, set_hash binary, signature binary, keys array<long>")
 
@@ -99,7 +100,7 @@ def _named(texts: list[str]) -> Iterator[tuple[list[bytes], list[str]]]:
 def _exact(percent: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 ids_a, ids_b, texts_a, texts_b = (c.to_pylist() for c in part.columns)
                 # Pairs come by b, and hubs are in many: each text of a part is cut once.
                 texts = list(dict.fromkeys(texts_a + texts_b))
@@ -114,6 +115,7 @@ def _exact(percent: int):
                         left.append(a)
                         right.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        hand_back()
 
     return kept
 
@@ -121,10 +123,11 @@ def _exact(percent: int):
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, at = batch.column(0).to_numpy(), 0
-        for raws in batched(batch.column(1).to_pylist()):
+        for raws in batched(strings(batch.column(1))):
             flat, offsets = shingle_sets(raws)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(ids[at : at + len(raws)], np.diff(offsets)))], ["shingle", "node"])
             at += len(raws)
+    hand_back()
 
 
 def ends(pairs: DataFrame) -> DataFrame:

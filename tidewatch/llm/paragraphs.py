@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, among, table
+from .common import Scratch, among, hand_back, strings, table
 from .linking import link
 from .shingles import BASE, PLACES, SHORT, WORDS, batched, mixed, word_hashes
 
@@ -136,7 +135,7 @@ def paragraphs(docs: DataFrame, columns: str, percent: int = PERCENT) -> DataFra
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for raws in batched(batch.column(1).to_pylist()):
+            for raws in batched(strings(batch.column(1))):
                 own, first, end, words, values, offsets = cut(raws)
                 if len(own):
                     found = dict(zip(SET, map(pa.array, set_ids(values, offsets))))
@@ -151,6 +150,7 @@ def paragraphs(docs: DataFrame, columns: str, percent: int = PERCENT) -> DataFra
                         found |= {n: pa.array(x.astype(np.int32)) for n, x in (("place", place), ("start", first), ("end", end), ("words", words))}
                     yield pa.RecordBatch.from_arrays([found[n] for n in names], names)
                 at += len(raws)
+        hand_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null").mapInArrow(made, columns)
 
@@ -215,26 +215,26 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
 
 #: Repeated sets whose ids are broadcast at most, at 8 bytes each.
 FEW = 150_000
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts, spans):
-    """Texts without byte spans; what stood around a span is joined by one line feed or space."""
-    out = []
-    for text, cuts in zip(texts, spans):
-        if text is None or cuts is None or not len(cuts):
-            out.append(text)
-            continue
-        raw, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
-        for s in sorted(cuts, key=lambda s: s["start"]):
-            parts.append(raw[at : s["start"]])
-            at = s["end"]
-        parts.append(raw[at:])
-        out.append(b"".join(p if not k else p.lstrip(b" ") if parts[k - 1][-1:] in (b" ", b"\n", b"") else p for k, p in enumerate(parts)).decode("utf-8", "surrogatepass"))
-    import pandas as pd
+def _without(text: Column, spans: Column) -> Column:
+    """Text without its byte spans, which are in order; what stood around a span is joined by one line feed or space.
 
-    return pd.Series(out, dtype=object)
+    A function of one value binds it, so that texts aren't copied, and parts not made, once for each span.
+    """
+    count = F.size(spans)
+
+    def between(raw: Column, k: Column) -> Column:
+        first = F.coalesce(F.get(spans, k - 1)["end"], F.lit(0))
+        last = F.coalesce(F.get(spans, k)["start"], F.octet_length(raw))
+        return F.substring(raw, first + 1, last - first).cast("string")
+
+    def joined(parts: Column) -> Column:
+        met = lambda k: (k > 0) & F.substring(F.get(parts, k - 1), -1, 1).isin(" ", "\n", "")
+        return F.array_join(F.transform(parts, lambda p, k: F.when(met(k), F.ltrim(p)).otherwise(p)), "")
+
+    parts = F.transform(F.array(text.cast("binary")), lambda raw: F.transform(F.sequence(F.lit(0), count), lambda k: between(raw, k)))
+    return F.get(F.transform(parts, joined), F.lit(0))
 
 
 def substring_dedup(docs: DataFrame, percent: int = PERCENT, run: int = RUN, scratch: Scratch | None = None) -> DataFrame:
@@ -251,7 +251,7 @@ def substring_dedup(docs: DataFrame, percent: int = PERCENT, run: int = RUN, scr
     spans = runs.groupBy(F.col("doc_id").alias("_doc")).agg(F.sum("words").alias("_words"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"), F.sort_array(F.collect_set("first_doc")).alias("_firsts"))
     docs = docs.drop("removed_words", "spans", "first_docs")
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_without("text", "_spans")))
+    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_spans"))))
     return joined.select(*docs.columns, F.coalesce("_words", F.lit(0)).alias("removed_words"), F.col("_spans").alias("spans"), F.col("_firsts").alias("first_docs"))
 
 

@@ -7,7 +7,7 @@ sequence; a text without words has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +18,7 @@ BASE = 0x9E3779B97F4A7C15
 PLACES = np.array([pow(BASE, 2 * i + 3, 1 << 64) | 1 for i in range(WORDS)], np.uint64)
 SHORT = 0xD6E8FEB86659FD93
 #: Bytes that are handled at once, unless one text is longer.
-BATCH = 1 << 20
+BATCH = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,14 +43,14 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[::2], edge[1::2]
-    n = 1 << max(20, len(raw).bit_length())
+    n = 1 << max(18, len(raw).bit_length())
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(n, BASE)[: len(raw)], out=sums[1:])
     back = powers(n, pow(BASE, -1, 1 << 64))
     return start, end, mixed((sums[end] - sums[start]) * back[start])
 
 
-def batched(texts: list[str | None], size: int = BATCH) -> Iterator[list[bytes]]:
+def batched(texts: Iterable[str | None], size: int = BATCH) -> Iterator[list[bytes]]:
     part, held = [], 0
     for t in texts:
         raw = (t or "").encode("utf-8", "surrogatepass")
