@@ -504,3 +504,26 @@ def test_few_texts_of_a_batch_are_python_strings_at_once():
             return column.slice(at, n)
 
     assert list(strings(Seen())) == column.to_pylist() and max(taken) <= 64
+
+
+def test_new_pieces_go_to_the_library_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenfiles.tokenizer_path()
+    library, made = Tokenizer.from_file(path), tokenfiles.Encoder(path)
+    rnd, calls, ids = random.Random(22), [], made._ids
+    odd = [f"{rnd.randint(0, 10**9)}{rnd.choice(['', ',', '.', '!?', 'x.', 'é,'])}" for _ in range(3000)]
+    texts = [" ".join(odd), "\n".join(odd[:500]), *ODD, None, " a", "a ", "a,,b.", "don't, it's.", "x\n\ny", "\n", "é, à.\nñ,", "Straße. ﬁ, ǆ."]
+    monkeypatch.setattr(made, "_ids", lambda t: calls.append(t) or ids(t))
+    for _ in range(2):
+        got = made.encode(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    assert len(calls) < 200
+
+
+def test_segments_of_many_exceptions_round_trip():
+    rng = np.random.default_rng(23)
+    ids = np.where(rng.random(128 * 40) < 0.09, rng.integers(0, 2**32 - 1, 128 * 40), rng.integers(0, 300, 128 * 40)).astype(np.uint32)
+    raw = tokenfiles.write_segment([1], [len(ids)], ids)
+    assert (tokenfiles.read_segment(raw)[2] == ids).all()
+    assert all((tokenfiles.read_block(raw, b) == ids[128 * b : 128 * (b + 1)]).all() for b in range(40))

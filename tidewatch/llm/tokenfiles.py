@@ -15,11 +15,13 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,16 +29,24 @@ from pyspark.sql.window import Window
 
 from .bpe import byte_letters
 from .common import Scratch, table
+from .langid import chopped
 
 BLOCK = 128
 #: Share of a block's values that fit the packed width.
 PERCENTILE = 0.9
+KTH = int(np.ceil(BLOCK * PERCENTILE)) - 1
 #: Ids after which a segment is closed; encoded pieces that a worker keeps, and as many again of those used before.
 SEGMENT, CACHE = 1 << 17, 400_000
 #: The longest piece that is kept.
 LONGEST = 64
+#: Bytes of texts that are encoded at once, unless one text is longer.
+TEXTS = 1 << 22
 #: Latin letters.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+LETTERS = re.compile(LETTER.pattern + "+")
+#: Words that go to the library in one text.
+TOGETHER = 300
+ID = attrgetter("id")
 MAGIC, HEAD = b"PFR2", struct.Struct("<4sIQI")
 END_ID = 2
 
@@ -71,7 +81,7 @@ def write_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray
     low = grid.min(axis=1) if count else np.zeros(0, np.uint32)
     rest = grid - low[:, None]
     need = bits(rest)
-    width = np.maximum(np.sort(need, axis=1)[:, int(np.ceil(BLOCK * PERCENTILE)) - 1], 1) if count else np.zeros(0, np.uint8)
+    width = np.maximum(np.partition(need, KTH, axis=1)[:, KTH], 1) if count else np.zeros(0, np.uint8)
     out = need > width[:, None]
     extra = out.sum(axis=1)
     size = 6 + 16 * width.astype(np.int64) + 5 * extra
@@ -85,11 +95,11 @@ def write_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray
         head[:, 4], head[:, 5] = w, extra[at]
         block = np.concatenate([head, packed], axis=1)
         body[start[at][:, None] + np.arange(block.shape[1])] = block
-    for b in np.flatnonzero(extra):
-        where = np.flatnonzero(out[b])
-        at = start[b] + 6 + 16 * int(width[b])
-        body[at : at + len(where)] = where
-        body[at + len(where) : at + 5 * len(where)] = rest[b, where].astype("<u4").view(np.uint8)
+    b, where = np.nonzero(out)
+    k = np.arange(len(b)) - np.repeat(np.cumsum(extra) - extra, extra)
+    at = start[b] + 6 + 16 * width[b].astype(np.int64)
+    body[at + k] = where
+    body[(at + extra[b] + 4 * k)[:, None] + np.arange(4)] = rest[b, where].astype("<u4").view(np.uint8).reshape(-1, 4)
     return b"".join([HEAD.pack(MAGIC, len(doc_ids), n, count), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u8").tobytes(), np.packbits([d is None for d in doc_ids]).tobytes(), start.astype("<u8").tobytes(), body.tobytes()])
 
 
@@ -114,9 +124,11 @@ def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for w in np.unique(head[:, 4]):
             at = np.flatnonzero(head[:, 4] == w)
             ids[at] = unpack(body[start[at][:, None] + 6 + np.arange(16 * int(w))], int(w))
-        for b in np.flatnonzero(head[:, 5]):
-            k, at = int(head[b, 5]), start[b] + 6 + 16 * int(head[b, 4])
-            ids[b, body[at : at + k]] = body[at + k : at + 5 * k].copy().view("<u4")
+        extra = head[:, 5].astype(np.int64)
+        b = np.repeat(np.arange(count), extra)
+        k = np.arange(len(b)) - np.repeat(np.cumsum(extra) - extra, extra)
+        at = start[b] + 6 + 16 * head[b, 4].astype(np.int64)
+        ids[b, body[at + k]] = body[(at + extra[b] + 4 * k)[:, None] + np.arange(4)].view("<u4").ravel()
         ids += low[:, None]
     return doc_ids, lengths, ids.ravel()[:n]
 
@@ -134,27 +146,15 @@ def read_block(raw: bytes, number: int) -> np.ndarray:
     return ids + np.uint32(low)
 
 
-class Pieces(dict):
-    """What make() gives for each piece, made when it is first asked for, or taken from an older dictionary."""
-
-    def __init__(self, make: Callable[[str], bytes | None], old: dict[str, bytes | None]):
-        self.make, self.old = make, old
-
-    def __missing__(self, piece: str) -> bytes | None:
-        made = self.old[piece] if piece in self.old else self.make(piece)
-        if len(piece) <= LONGEST:
-            self[piece] = made
-        return made
-
-
 class Encoder:
     """The tokenizers library over whole texts, with what it made of each piece kept.
 
     A byte-level tokenizer always cuts before a space or a line feed that stands between
-    two characters that aren't white space, and between a letter and a stop or comma. So a
-    text's ids are those of its pieces; texts with other white space, or with a special
-    token's string, go to the library whole. A piece of letters is one word for the
-    library's model, which is asked for it without cutting it again.
+    two characters that aren't white space. So a text's ids are those of its pieces; texts
+    with other white space, or with a special token's string, go to the library whole. Arrow
+    cuts texts and tells pieces apart, so that a piece is looked up once for many texts; of
+    what isn't known yet, letters go to the library's model without being cut again, the rest
+    to the library in texts of many, a line feed before each.
     """
 
     def __init__(self, path: str):
@@ -162,12 +162,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = Pieces(self._piece, {})
+        self.cache: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.line = self._ids("\n")
         self.stops = {c: self._ids(c) for c in ".,"}
-        self.letters = byte_letters()
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -180,28 +180,81 @@ class Encoder:
         word = piece[1:] if line else piece
         if word[0].isspace() or "\x1c" <= word[-1] <= "\x1f":
             return None
-        before, after = self.line if line else b"", self.stops.get(word[-1], b"")
-        core = word[:-1] if after else word
-        if not PLAIN.fullmatch(core):
-            return before + self._ids(word if line else " " + word)
-        if not core.isascii():
-            core = core.encode().decode("latin-1").translate(self.letters)
-        return before + array("I", [t.id for t in self.model.tokenize(core if line else self.letters[32] + core)]).tobytes() + after
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers; none for null."""
-        special = self.special
-        pieces = [None if not t or any(s in t for s in special) else ("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        return (self.line if line else b"") + self._ids(word if line else " " + word)
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes | None]:
+        """What _piece() gives for each piece. Letters are one word for the model; other words without white space go to the library in texts of many."""
+        made, others = {}, []
+        tokenize, space, table, line = self.model.tokenize, self.letters[32], self.letters, self.line
+        for p in pieces:
+            begun = p[:1] == "\n"
+            w = p[1:] if begun else p
+            if LETTERS.fullmatch(w):
+                if not w.isascii():
+                    w = w.encode().decode("latin-1").translate(table)
+                ids = array("I", map(ID, tokenize(w if begun else space + w))).tobytes()
+                made[p] = line + ids if begun else ids
+            elif w.split() == [w]:
+                others.append(p)
+        for at in range(0, len(others), TOGETHER):
+            part = others[at : at + TOGETHER]
+            ids = np.frombuffer(self._ids("".join([p if p[0] == "\n" else "\n " + p for p in part])), "<u4")
+            starts = np.flatnonzero(ids == np.frombuffer(line, "<u4")[0])
+            if len(line) == 4 and len(starts) == len(part):  # else the vocabulary's line feed is no id of its own
+                raw, cut = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                made.update((p, raw[a if p[0] == "\n" else a + 4 : b]) for p, a, b in zip(part, cut, cut[1:]))
+        return made | {p: self._piece(p) for p in pieces if p not in made}
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, made or taken from either generation of the cache; none for what _piece() can't tell."""
         if len(self.cache) > CACHE:
-            self.cache = Pieces(self._piece, dict(self.cache))
-        cache = self.cache
-        made, cut = [], len(self.line)
-        for text, parts in zip(texts, pieces):
-            try:
-                made.append(b"".join(map(cache.__getitem__, parts))[cut:] if parts else None)
-            except TypeError:
-                made.append(None)
-        return [m if m is not None else self._ids(t) if t else b"" for m, t in zip(made, texts)]
+            self.cache, self.old = {}, self.cache
+        cache, old, passing = self.cache, self.old, {}
+        found = list(map(cache.get, pieces))
+        missing = [i for i, f in enumerate(found) if f is None]
+        # A stop or comma after a letter is always cut off, so that many pieces follow from others.
+        cores = [p[:-1] if p[-1:] in self.stops and LETTER.match(p[-2:-1]) else p for p in map(pieces.__getitem__, missing)]
+        new = []
+        for c in dict.fromkeys(cores):
+            if c not in cache:
+                if (f := old.get(c)) is None:
+                    new.append(c)
+                else:
+                    cache[c] = f
+        for c, raw in self._pieces(new).items() if new else ():
+            (cache if len(c) <= LONGEST else passing)[c] = raw or b""
+        for i, c in zip(missing, cores):
+            p, f = pieces[i], cache[c] if c in cache else passing[c]
+            found[i] = f + self.stops[p[-1]] if p != c and f else f
+        return found
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; none for null."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        whole = np.zeros(len(texts), bool)
+        for token in self.special:
+            whole |= pc.match_substring(texts, token).fill_null(False).to_numpy(zero_copy_only=False)
+        # Each list begins with an empty string, before the line feed that is put before a text.
+        spaced = pc.replace_substring(pc.binary_join_element_wise("\n", pc.fill_null(texts, ""), ""), "\n", " \n")
+        lists = pc.split_pattern(spaced, " ")
+        bounds, told = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        bounds, which = bounds - bounds[0], told.indices.to_numpy()
+        found = self._known(told.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = np.frombuffer(b"".join(found), "<u4")
+        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, count = (np.cumsum(count) - count)[which], count[which]
+        unknown = count == 0
+        unknown[bounds[:-1]] = False
+        whole |= np.logical_or.reduceat(unknown, bounds[:-1])
+        ends = np.cumsum(count)
+        raw = ids[np.repeat(first - ends + count, count) + np.arange(ends[-1])].tobytes()
+        ends = np.concatenate([[0], 4 * ends])[bounds].tolist()
+        made = [raw[a + len(self.line) : b] for a, b in zip(ends, ends[1:])]
+        for i in np.flatnonzero(whole | pc.equal(pc.fill_null(texts, ""), "").to_numpy(zero_copy_only=False)).tolist():
+            made[i] = self._ids(t) if (t := texts[i].as_py()) else b""
+        return made
 
 
 @lru_cache(2)
@@ -225,7 +278,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
 
     Shards follow each other in doc_id order, as do segments in a shard. shard_start is a
     segment's place in its shard. A null or empty text has the end id only; rows of equal
-    doc_id follow each other by text, those of null doc_id stand first. A worker holds one segment and 128 texts.
+    doc_id follow each other by text, those of null doc_id stand first. A worker holds one segment and TEXTS bytes of texts, or one longer text.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +294,8 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([at], pa.int64()), pa.array([doc_ids[0]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())], SEGMENTS.names)
 
         for batch in batches:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                for doc_id, raw in zip(part.column(0).to_pylist(), made.encode(part.column(1).to_pylist())):
+            for part in chopped(batch, TEXTS):
+                for doc_id, raw in zip(part.column(0).to_pylist(), made.encode(part.column(1))):
                     doc_ids.append(doc_id)
                     parts.append(raw + end)
                     held += len(parts[-1]) // 4
