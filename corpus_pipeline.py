@@ -33,6 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     scratch = Scratch(spark, "near-dedup")
     gone = scratch.keep(near_duplicates(docs, PERCENT, BANDS, ROWS, scratch).filter("not kept").select("doc_id").distinct())
+    scratch.drop_all_but(gone)
     return among(docs.select(*COLUMNS), gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

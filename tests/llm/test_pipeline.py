@@ -1,9 +1,14 @@
 """The pipeline's stages, one after another, on a small corpus."""
 
 import random
+import time
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewatch.llm import minhash
+from tidewatch.llm.common import RELEASE, Scratch
+from tidewatch.llm.paragraphs import substring_dedup
 
 from .test_ops import DOCS, words
 
@@ -51,3 +56,33 @@ def test_near_dedup_links_from_80_hundredths_on(spark, tmp_path):
 def test_bands_miss_few_pairs():
     for percent, bands, size in ((80, corpus_pipeline.BANDS, corpus_pipeline.ROWS), (85, minhash.BANDS, minhash.ROWS)):
         assert (1 - (percent / 100) ** size) ** bands < 1 / 86_000
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    before, setting = files(), spark.conf.get(RELEASE, None)
+    kept = Scratch(spark, "test").keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(RELEASE, None) == setting and kept.count() == 7
+
+
+def test_stages_drop_tables_that_nothing_reads(spark, tmp_path, monkeypatch):
+    rnd, made = random.Random(16), []
+    passage, near = words(rnd, 60), words(rnd, 100)
+    texts = [f"{words(rnd, 40)} {passage} {words(rnd, 40)}" for _ in range(6)] + [near, f"{near} more"]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(texts)] + [(None, "a b", "en", "x", 3)], DOCS)
+    scratch = Scratch(spark, "test")
+    own = scratch.keep(spark.range(3))
+    found = substring_dedup(docs, scratch=scratch)
+    assert len(scratch.kept) == 2 and scratch.kept[0][0] is own and own.count() == 3
+    rows = found.collect()
+    assert len(rows) == 9 and sum(passage in r.text for r in rows) == 1 and sum(r.removed_words > 40 for r in rows) >= 5
+    monkeypatch.setattr(corpus_pipeline, "Scratch", lambda *a: made.append(Scratch(*a)) or made[-1])
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {None, *range(7)} and len(made[0].kept) == 1

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shuffles_released
 
 #: Pivots of a bucket in the first round after its hub's, twice as many in each further one; small buckets take as
 #: many as make so many pairs.
@@ -41,12 +41,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(kept)
         kept = made
         ends = kept.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).select("u")
-        if kept.join(kept.select(F.col("v").alias("u")), "u", "left_semi").limit(1).select("u").unionByName(ends).isEmpty():
-            break
+        with shuffles_released(scratch.spark):
+            if kept.join(kept.select(F.col("v").alias("u")), "u", "left_semi").limit(1).select("u").unionByName(ends).isEmpty():
+                break
     roots = kept.select(F.col("v").alias("node")).distinct()
     return kept.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """(a): the distinct items of pairs (a, b)."""
+    return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+
+
 def hopeless(percent: int) -> Column:
     """Whether a set of size elements, own of them its own, can't be similar to any other of size least or more.
 
@@ -71,8 +77,12 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], own: Cal
     many elements of a node none of the others has. prepare: called once with the nodes of
     buckets of two and more. component is the smallest node that can be reached.
     """
-    ends = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("size", "node").alias("hub_size")).filter("hub < last")
-    members = scratch.keep(buckets.join(ends.select("key", "hub", "hub_size"), "key").distinct())
+    # Most keys are in one row: they are counted, in few bytes each, before hubs are looked for.
+    several = scratch.keep(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    found = buckets.join(several, "key").distinct()
+    hubs = found.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("size", "node").alias("hub_size")).filter("hub < last")
+    members = scratch.keep(found.join(hubs.select("key", "hub", "hub_size"), "key"))
+    scratch.drop(several)
     if prepare is not None:
         prepare(scratch.keep(members.select("node").distinct()))
 
@@ -83,14 +93,14 @@ def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], own: Cal
     labels = scratch.keep(components(compare(best), scratch).withColumnRenamed("component", "c"))
     here = members.select("key", "node", "size").join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
     state = scratch.keep(open_buckets(here))
-    scratch.drop(members)
+    scratch.drop(members, best)
 
     rows = state.count()
     for _ in range(PEELS if rows else 0):
         # An item is linked with items of an open bucket only, or with such as are in its component already.
-        counted = own(scratch.keep(state.select("node").distinct()))
-        less = scratch.keep(open_buckets(state.drop("own").join(counted, "node").filter(~hopeless(percent)).drop("least")))
-        scratch.drop(state)
+        nodes = scratch.keep(state.select("node").distinct())
+        less = scratch.keep(open_buckets(state.drop("own").join(own(nodes), "node").filter(~hopeless(percent)).drop("least")))
+        scratch.drop(state, nodes)
         before, state, rows = rows, less, less.count()
         if rows > 0.8 * before or not rows:
             break
@@ -140,6 +150,7 @@ def compared_in_rounds(state: DataFrame, compare: Callable[[DataFrame], DataFram
         in_order = F.col("node_a") < F.col("node_b")
         pairs = pairs.select(*(F.when(in_order, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(n) for x, n in (("node", "a"), ("c", "ca"))), *(F.when(in_order, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")).alias(n) for x, n in (("node", "b"), ("c", "cb"))))
         pairs = scratch.keep(pairs.distinct())
+        before = state
         state = state.join(chosen.select("key", F.col("node_a").alias("node"), F.lit(True).alias("now")), ["key", "node"], "left").withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now")
         met = None if pairs.isEmpty() else scratch.keep(compare(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         if met is not None and not met.isEmpty():
@@ -147,4 +158,4 @@ def compared_in_rounds(state: DataFrame, compare: Callable[[DataFrame], DataFram
             state = state.join(over, "c", "left").withColumn("c", F.coalesce("over", "c")).drop("over")
             joined = met if joined is None else joined.unionByName(met)
         state = scratch.keep(open_buckets(state).drop("least"))
-        scratch.drop(chosen, pairs)
+        scratch.drop(chosen, pairs, before)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, among, hand_back, strings, table
-from .linking import link
+from .linking import ends, link
 from .shingles import band_keys, batched, jaccard_counts, minhash, shingle_sets
 
 #: 48 bands of 9: of pairs at the threshold of 0.85, one in 310,000 shares no band; at 0.6, four in ten share one.
@@ -130,10 +130,6 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     hand_back()
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
 

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, among, hand_back, strings, table
-from .linking import link
+from .common import BROADCAST_IDS, Scratch, among, hand_back, strings, table
+from .linking import ends, link
 from .shingles import BASE, PLACES, SHORT, WORDS, batched, mixed, word_hashes
 
 RADIUS = 5
@@ -163,24 +163,33 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
     run repeated words are left out. Spans hold repeated paragraphs only, never a gap.
     """
     scratch = scratch or Scratch(docs.sparkSession, "paragraphs")
+    others = [frame for frame, _ in scratch.kept]
     # Size and keys follow from the set; as grouping columns they need no sort.
     found = paragraphs(docs, BAND_COLUMNS, percent).groupBy(*SET, "size", "keys").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     classes = scratch.keep(found.withColumn("node", F.monotonically_increasing_id()))
     buckets = classes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "size")
+    columns = [*SET, "node", "first_doc", "last_doc"]
+    copied = scratch.keep(classes.filter("first_doc < last_doc").select(columns))
 
-    sets = None
+    met = sets = None
 
     def prepare(nodes: DataFrame) -> None:
-        nonlocal sets
-        named = scratch.keep(classes.select(*SET, "node").join(nodes, "node"))
-        found = among(paragraphs(docs, MEMBER_COLUMNS), named.select("set_id").distinct(), "set_id")
+        nonlocal met, sets
+        met = scratch.keep(classes.select(columns).join(nodes, "node"))
+        scratch.drop(classes)  # most classes are of one document and meet no other
+        found = among(paragraphs(docs, MEMBER_COLUMNS), met.select("set_id").distinct(), "set_id")
         # Texts may have a set many times; members follow from it.
-        sets = scratch.keep(found.join(named, SET).groupBy("node", "members").agg(F.lit(1)).select("node", "members"))
+        sets = scratch.keep(found.join(met.select(*SET, "node"), SET).groupBy("node", "members").agg(F.lit(1)).select("node", "members"))
 
     def compare(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
+        # Later rounds have few pairs; sets of no pair aren't shuffled.
+        nodes = scratch.keep(ends(pairs))
+        here = sets.join(F.broadcast(nodes.withColumnRenamed("a", "node")), "node", "left_semi") if nodes.limit(FEW + 1).count() <= FEW else sets
+        both = pairs.join(here.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(here.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
         shared = F.size(F.array_intersect("ma", "mb"))
-        return scratch.keep(both.filter(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b"))
+        found = scratch.keep(both.filter(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b"))
+        scratch.drop(nodes)
+        return found
 
     def own(ids: DataFrame) -> DataFrame:
         """How many shingles of each paragraph no other of them has."""
@@ -190,9 +199,9 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
 
     near = link(buckets, compare, own, percent, scratch, prepare)
     # Classes of several documents or linked with others, and the first document of their component.
-    many = classes.select(*SET, "node", "first_doc", "last_doc").join(near, "node", "left").filter("first_doc < last_doc or component is not null")
+    many = copied.unionByName(met.filter("first_doc = last_doc")).join(near, "node", "left").filter("first_doc < last_doc or component is not null")
     many = scratch.keep(many.select(*SET, "first_doc", "last_doc", F.coalesce("component", "node").alias("component")))
-    scratch.drop(classes, sets)
+    scratch.drop_all_but(many, *others)
     firsts = many.groupBy("component").agg(F.min("first_doc").alias("first"), F.max("last_doc").alias("last")).filter("first < last")
     named = scratch.keep(many.join(firsts, "component").select(*SET, "component", F.col("first").alias("first_doc")))
     places = paragraphs(docs, PLACE_COLUMNS)
@@ -213,7 +222,7 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, run: int = RUN, gap:
     return blocks.withColumn("enough", enough).filter("enough").select("doc_id", "start", "end", "words", "first_doc", "component")
 
 
-#: Repeated sets whose ids are broadcast at most, at 8 bytes each.
+#: Repeated or compared sets whose ids are broadcast at most, at 8 bytes each.
 FEW = 150_000
 
 
@@ -247,10 +256,18 @@ def substring_dedup(docs: DataFrame, percent: int = PERCENT, run: int = RUN, scr
     result. Other columns pass through; those named like the added ones are replaced.
     """
     scratch = scratch or Scratch(docs.sparkSession, "paragraphs")
-    runs = scratch.keep(repeated_runs(docs, percent, run, scratch=scratch))
+    others = [frame for frame, _ in scratch.kept]
+    runs = repeated_runs(docs, percent, run, scratch=scratch)
     spans = runs.groupBy(F.col("doc_id").alias("_doc")).agg(F.sum("words").alias("_words"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"), F.sort_array(F.collect_set("first_doc")).alias("_firsts"))
+    spans = scratch.keep(spans)
+    scratch.drop_all_but(spans, *others)
     docs = docs.drop("removed_words", "spans", "first_docs")
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    same = F.col("doc_id").cast("long") == F.col("_doc")
+    if spans.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        joined = docs.join(spans, same, "left")
+    else:  # only texts with spans are shuffled
+        ids = F.broadcast(spans.select("_doc"))
+        joined = docs.join(ids, same, "left_semi").join(spans, same).unionByName(docs.join(ids, same, "left_anti"), allowMissingColumns=True)
     joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_spans"))))
     return joined.select(*docs.columns, F.coalesce("_words", F.lit(0)).alias("removed_words"), F.col("_spans").alias("spans"), F.col("_firsts").alias("first_docs"))
 
