@@ -1,5 +1,6 @@
 """Running totals, places, mid-ranks and percentiles over ranges, against plain loops; draws in chunks."""
 
+import hashlib
 import math
 import random
 
@@ -118,6 +119,31 @@ def test_draws_are_not_broadcast_and_keep_their_tasks(spark):
     assert found.agg(F.sum("w")).first()[0] == 60_000
 
 
+def test_rates_of_ten_thousand_replicates_shuffle_no_draws(spark, monkeypatch):
+    """As many replicates as the reference takes; blocks of 128 places, so that draws meet several."""
+    rows = [(i, i % 7 < 2 if i % 11 else None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, h boolean")
+    few = [resample.bootstrap_rate(frame, F.col("h"), "id", 200, "t:")]
+    monkeypatch.setattr(resample, "BLOCK", 128)
+    few.append(resample.bootstrap_rate(frame, F.col("h"), "id", 200, "t:"))
+    whole = resample.bootstrap_rate(frame.filter("id < 150"), F.col("h"), "id", 10_000, "t:")
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [(pos" in plan and "hashpartitioning(pos#" not in plan
+    assert sum("md5(" in line for line in plan.split("\n")) == 1  # a digest a draw
+    monkeypatch.setattr(resample, "BITS", 100)
+    few.append(resample.bootstrap_rate(frame, F.col("h"), "id", 200, "t:"))
+    assert "SortMergeJoin [pos" in few[-1]._jdf.queryExecution().executedPlan().toString()
+
+    def drawn(n, b, k):
+        return int(hashlib.md5(f"t:{b}:{k}".encode()).hexdigest()[:8], 16) % n
+
+    for found, n, replicates in [(f, 300, 200) for f in few] + [(whole, 150, 10_000)]:
+        shares = [sum(bool(rows[drawn(n, b, k)][1]) for k in range(n)) / n for b in range(replicates)]
+        assert np.allclose(found.first(), np.percentile(shares, [2.5, 97.5]))
+    none = resample.bootstrap_rate(frame.limit(0), F.col("h"), "id", 10, "t:").first()
+    assert tuple(none) == (0.0, 0.0)
+
+
 def test_scores_of_a_replicate_share_their_draws(spark, monkeypatch):
     made, draws = [], resample.draws
     monkeypatch.setattr(resample, "draws", lambda *a: made.append(a) or draws(*a))
